@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as _line_dedup
+from . import mixing as _mixing
+from .quality_rules import apply_policy, rule_ledger
 from .substring_dedup import substring_dedup
 
 
@@ -12,11 +15,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_policy(rule_ledger(_documents(spark, sf_dir)))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup.line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix_report(_documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_documents(spark, sf_dir), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": _line_dedup.ORACLE_SQL,
+    "op3_mixing": _mixing.ORACLE_SQL,
+}
