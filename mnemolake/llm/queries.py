@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
+from .pii_surrogates import replace_pii
 from .quality_rules import apply_policy, rule_ledger
+from .secret_scan import scan_secrets, spans_text
 from .substring_dedup import substring_dedup
 
 
@@ -32,11 +34,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_documents(spark, sf_dir))
+    base = F.sha2(F.encode(spans_text(F.col("base_spans")), "utf-8"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_entropy", base, spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
