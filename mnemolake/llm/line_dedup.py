@@ -36,10 +36,8 @@ def later_windows(windows: DataFrame) -> DataFrame:
     """_id, _th, pos of the windows that occur before, by (_id, pos), null ids first."""
     place = F.struct("_id", "pos")
     firsts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    hot = F.broadcast(firsts.orderBy(F.desc("n"), "h").limit(HOT))
-    in_hot = windows.join(hot, "h")
-    others = windows.join(hot.select("h"), "h", "left_anti").join(firsts, "h")
-    return in_hot.unionByName(others).filter(place > F.col("first")).select("_id", "_th", "pos")
+    found = native.join_split(windows, firsts, "h", "n", HOT)
+    return found.filter(place > F.col("first")).select("_id", "_th", "pos")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = LINES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
@@ -36,3 +36,14 @@ def quoted(name: str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, even where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and the number of its rows as ``weight``.
+
+    The ``hot`` keys of the largest weight are broadcast, at most that many rows; the others,
+    of which each has under 1 / ``hot`` of all rows, are joined by shuffle.
+    """
+    top = F.broadcast(table.orderBy(F.desc(weight), key).limit(hot))
+    others = rows.join(top.select(key), key, "left_anti").join(table, key)
+    return rows.join(top, key).unionByName(others)

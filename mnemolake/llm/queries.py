@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
+from .minhash_dedup import near_duplicates
 from .pii_surrogates import replace_pii
 from .quality_rules import apply_policy, rule_ledger
 from .secret_scan import scan_secrets, spans_text
@@ -38,6 +39,10 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(_documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_documents(spark, sf_dir))
     base = F.sha2(F.encode(spans_text(F.col("base_spans")), "utf-8"), 256).alias("base_sha256")
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
 }
 
