@@ -271,3 +271,15 @@ def _estimated(pairs: DataFrame, sig_of: DataFrame, least: float) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(estimate(x, y) >= least))
 
     return joined.mapInArrow(rows, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, repeated rows once, with all their columns.
+
+    Documents without shingles are all kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, percent)
+    gone = found.filter(~F.col("kept")).select(native.quoted(id_col).alias("_gone_id")).distinct()
+    text_hash = F.xxhash64(native.quoted(text_col))
+    left = docs.withColumn("_text_hash", text_hash).join(gone, native.quoted(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    return left.dropDuplicates([id_col, "_text_hash"]).select(*(native.quoted(c) for c in docs.columns))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
+from .decontamination import find_leaks
 from .minhash_dedup import near_duplicates
 from .pii_surrogates import replace_pii
+from .quality_classifier import fit, score_quality
 from .quality_rules import apply_policy, rule_ledger
 from .secret_scan import scan_secrets, spans_text
 from .substring_dedup import substring_dedup
@@ -49,6 +51,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_entropy", base, spans_text(F.col("spans")).alias("spans"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -57,6 +68,8 @@ QUERIES = {
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {

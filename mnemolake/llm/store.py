@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder.
 
-    The folder is that of ``spark.checkpoint.dir``; where none is set, one beside the
-    warehouse is.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: that of ``spark.checkpoint.dir``, or else one beside the warehouse."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder as rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder as Parquet, for large tables."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

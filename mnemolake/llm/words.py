@@ -20,6 +20,8 @@ _MASK = (1 << 64) - 1
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII characters that are neither letters nor digits end a term.
+_NO_TERM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[65:91] = _BYTES[97:123]
@@ -93,10 +95,13 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mix(out)
 
 
-def of_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``data[offsets[j]:offsets[j + 1]]``; offsets start at 0."""
+def of_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, terms: bool = False) -> Words:
+    """Words of the texts ``data[offsets[j]:offsets[j + 1]]``; offsets start at 0.
+
+    With ``terms``, runs of letters, digits and characters beyond ASCII instead.
+    """
     n = len(data)
-    word = ~_IS_SEP[data]
+    word = ~(_NO_TERM if terms else _IS_SEP)[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins, finishes = word.copy(), word.copy()
@@ -108,7 +113,7 @@ def of_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES, terms: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, last row + 1, their words) of a text column, in slices of about ``limit`` bytes."""
     at = 0
     for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
@@ -122,7 +127,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         low = 0
         while low < n:
             high = min(n, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit))))
-            yield at + low, at + high, of_bytes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower)
+            yield at + low, at + high, of_bytes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, terms)
             low = high
         at += n
 
