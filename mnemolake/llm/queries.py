@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
 from .decontamination import find_leaks
+from .lm_scoring import score_documents
 from .minhash_dedup import near_duplicates
 from .pii_surrogates import replace_pii
 from .quality_classifier import fit, score_quality
@@ -37,6 +38,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(_documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
