@@ -130,3 +130,31 @@ def ablations(ledger: DataFrame, policy: str | int = DEFAULT_POLICY) -> DataFram
         each = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (hit, alone, without)]
         sums.append(F.struct(F.lit(name).alias("rule"), *(x.alias(k) for x, k in zip(each, ("n_failed", "n_failed_alone", "n_kept_without")))))
     return masks.agg(F.array(*sums).alias("rows")).select(F.inline("rows"))
+
+
+def _sql_bits(mask: int) -> str:
+    return " + ".join(f"(CASE WHEN {failing} THEN {BIT[name] & mask} ELSE 0 END)" for name, failing in RULES)
+
+
+_LINES_LIKE = "len(list_filter(ls, lambda l: regexp_matches(l, '{p}')))::BIGINT"
+_COUNT = "len(regexp_extract_all(t, '{p}'))::BIGINT"
+ORACLE_SQL = f"""
+WITH worded AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{native.WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{native.WORD}')) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM worded)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1)
+  GROUP BY doc_id
+), measured AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {_COUNT.format(p="[#*$%&|<>]")} AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls)::BIGINT AS n_text_lines,
+    {_COUNT.format(p=chr(92) + "p{L}")} AS n_letters, {_COUNT.format(p=chr(92) + "p{Lu}")} AS n_upper, {_COUNT.format(p="!+")} AS n_exclamations,
+    {_COUNT.format(p=chr(92) + "x{FFFD}")} AS n_replacement, {_LINES_LIKE.format(p="^[" + chr(92) + "x20" + chr(92) + "x09]*[-*" + chr(0x2022) + "]")} AS n_bullet_lines,
+    {_LINES_LIKE.format(p="(" + chr(92) + "." + chr(92) + "." + chr(92) + ".|" + chr(0x2026) + ")[" + chr(92) + "x20" + chr(92) + "x09" + chr(92) + "x0D]*$")} AS n_ellipsis_lines
+  FROM worded w LEFT JOIN covered c ON w.doc_id = c.doc_id
+), judged AS (SELECT *, ({_sql_bits(ALL)})::BIGINT AS fail_bits FROM measured)
+SELECT *, (fail_bits & {BASE}) <> 0 AS base_failed, (fail_bits & {POLICIES[DEFAULT_POLICY] | BASE}) = 0 AS kept FROM judged
+"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
+from . import quality_rules as _quality_rules
+from . import secret_scan as _secret_scan
 from .decontamination import find_leaks
 from .lm_scoring import score_documents
 from .minhash_dedup import near_duplicates
@@ -79,6 +81,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _quality_rules.ORACLE_SQL,
     "op2_line_dedup": _line_dedup.ORACLE_SQL,
     "op3_mixing": _mixing.ORACLE_SQL,
+    "op8_secret_scan": _secret_scan.ORACLE_SQL,
 }

@@ -125,3 +125,38 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def spans_text(spans: Column) -> Column:
     """kind:start:end of the spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _sql_found(column: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    total = "coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    start = f"({total.format(x='pieces[1:i]')} + {total.format(x='m[1:i - 1]')})::BIGINT"
+    return (
+        f"{column} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': {start}, 'v': m[i], 'p': g[i]}}), lambda x: length(x.p) >= {least}) AS {column}"
+        f" FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS pieces FROM texts))"
+    )
+
+
+def _sql_spans(column: str, rank: int, kind: str) -> str:
+    return f"list_transform({column}, lambda x: {{'start': x.s, 'rank': {rank}, 'end': x.s + length(x.v), 'kind': '{kind}'}})"
+
+
+def _sql_oracle() -> str:
+    found = [_sql_found(kind, pattern, group, least) for kind, (pattern, group, least) in BASE_KINDS.items()] + [_sql_found("candidate", CANDIDATE, 0, 20)]
+    entropy = f"list_max(list_transform(range(1, length(x.v) - {WINDOW - 2}), lambda k: list_aggregate(string_split(substr(x.v, k, {WINDOW}), ''), 'entropy')))"
+    limit = " ".join(f"WHEN regexp_matches(x.v, '{p}') THEN {bits}" for p, bits in CLASSES.values() if p) + f" ELSE {CLASSES['base64'][1]}"
+    secret = "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]')" + "".join(f" AND NOT regexp_matches(x.v, '{p}')" for p in ALLOW)
+    apart = "len(list_filter(base, lambda b: b.start < x.s + length(x.v) AND x.s < b.\"end\")) = 0"
+    base = " || ".join(_sql_spans(kind, k, kind) for k, kind in enumerate(BASE_KINDS))
+    text = "array_to_string(list_transform({x}, lambda y: y.kind || ':' || y.start || ':' || y.\"end\"), ',')"
+    joins = " ".join(f"JOIN {kind} ON {kind}.doc_id = texts.doc_id" for kind in (*BASE_KINDS, "candidate"))
+    return (
+        f"WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(found)},"
+        f" based AS (SELECT texts.doc_id, {', '.join(BASE_KINDS)}, candidate, list_sort({base}) AS base FROM texts {joins}),"
+        f" added AS (SELECT *, list_filter(candidate, lambda x: {secret} AND {apart} AND round({entropy}, 9) >= CASE {limit} END) AS more FROM based)"
+        f" SELECT doc_id, {', '.join(f'len({k})::BIGINT AS n_{k}' for k in BASE_KINDS)}, len(more)::BIGINT AS n_entropy, sha256({text.format(x='base')}) AS base_sha256,"
+        f" {text.format(x='list_sort(base || ' + _sql_spans('more', len(BASE_KINDS), 'entropy') + ')')} AS spans FROM added"
+    )
+
+
+ORACLE_SQL = _sql_oracle()
