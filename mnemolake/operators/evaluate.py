@@ -60,3 +60,32 @@ def distribution(df: DataFrame, column: str, target: float) -> DataFrame:
 def needle_places(needles: DataFrame, n_distractors: int, seed: int = 42) -> DataFrame:
     """Needles (query_id) with the place among the distractors that a hash deals them."""
     return needles.withColumn("place", F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(n_distractors + 1)).cast("int"))
+
+
+def coverage(scored: DataFrame) -> DataFrame:
+    """query_id, coverage: the best relevance (cosine to a context or answer), at least 0."""
+    return scored.groupBy("query_id").agg(F.greatest(F.lit(0.0), F.max("relevance")).alias("coverage"))
+
+
+def overall(df: DataFrame, *metrics: str) -> DataFrame:
+    """The rows with ``overall``: the mean of the metrics that are present."""
+    present = F.filter(F.array(*metrics), lambda x: x.isNotNull())
+    return df.withColumn("overall", F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)))
+
+
+# Targets of the metrics.
+TARGETS = {"recall": 0.7, "precision": 0.8, "faithfulness": 0.85, "ndcg": 0.8, "rr": 0.75}
+KINDS = ("single_hop", "multi_hop", "temporal", "knowledge_update", "adversarial")
+
+
+def synthetic_suite(df: DataFrame, n_queries: int, per_query: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(queries, relevant): queries of five kinds in turn, each with memories of one session that a hash picks."""
+    sessions = df.select("session_id").distinct()
+    ranked = sessions.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("session_id", F.lit(seed)), "session_id")))
+    n = sessions.count()
+    ids = df.sparkSession.range(n_queries).withColumnRenamed("id", "query_id")
+    kinds = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("query_id") % len(KINDS) + 1).cast("int"))
+    queries = ids.withColumns({"kind": kinds, "place": F.col("query_id") % max(n, 1) + 1}).join(ranked, "place").drop("place")
+    picked = Window.partitionBy("query_id").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    rows = queries.join(df.select("session_id", "id"), "session_id").withColumn("rank", F.row_number().over(picked)).filter(F.col("rank") <= per_query)
+    return queries.select("query_id", "kind", "session_id"), rows.select("query_id", "id")

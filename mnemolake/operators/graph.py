@@ -138,3 +138,26 @@ def top_entities(graph_nodes: DataFrame, k: int = 10) -> DataFrame:
 
 def rank_in_kind(graph_nodes: DataFrame) -> DataFrame:
     return graph_nodes.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("documents"), "key")))
+
+
+def pattern_relations(df: DataFrame, id_col: str = "id", text_col: str = "content", reach: int = 100) -> DataFrame:
+    """doc, source, target, relation: for each phrase of a relation, the nearest entity before and after it within ``reach`` characters.
+
+    A projection: the entities of the characters before and after are extracted where the text is split at the phrase.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    runs = lambda t: F.transform(F.filter(entity_array(t), lambda e: e["kind"].isin("person", "organization", "unknown", "technical")), lambda e: e["name"])
+    found = []
+    for pattern, name in RELATIONS:
+        pieces = F.split(text, f"(?i)(?:{pattern})", -1)
+        sides = F.transform(pieces, lambda p: F.struct(F.substr(p, F.greatest(F.lit(1), F.char_length(p) - reach + 1), F.lit(reach)).alias("before"), F.substr(p, F.lit(1), F.lit(reach)).alias("after")))
+        pairs = F.zip_with(F.slice(sides, F.lit(1), F.size(sides) - 1), F.slice(sides, F.lit(2), F.size(sides) - 1), lambda a, b: F.struct(a["before"].alias("before"), b["after"].alias("after")))
+        has = F.when(text.rlike(f"(?i)(?:{pattern})"), pairs).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+        found.append(_tagged(has, name))
+    rows = df.select(F.col(id_col).alias("doc"), F.explode(F.concat(*found)).alias("p")).select("doc", "p.*")
+    nearest = rows.select("doc", "relation", F.get(F.reverse(runs(F.col("before"))), F.lit(0)).alias("source"), F.get(runs(F.col("after")), F.lit(0)).alias("target"))
+    return nearest.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("doc", F.lower("source").alias("source"), F.lower("target").alias("target"), "relation")
+
+
+def _tagged(pairs: Column, relation: str) -> Column:
+    return F.transform(pairs, lambda p: F.struct(p["before"].alias("before"), p["after"].alias("after"), F.lit(relation).alias("relation")))

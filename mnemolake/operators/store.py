@@ -116,3 +116,14 @@ class MemoryTable:
     def compact(self, target: str) -> None:
         """Current rows as one version in another folder."""
         self.read().drop("version").withColumn("version", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("user_id").parquet(target)
+
+
+def within_retention(df: DataFrame, days: dict[str, int], as_of: datetime, default: int = 365) -> DataFrame:
+    """Rows no older than their tenant's days of retention."""
+    limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in days.items() for x in kv)), F.col("user_id")), F.lit(default)) if days else F.lit(default)
+    return df.filter(F.col("created_at") >= F.lit(as_of) - F.make_dt_interval(limit))
+
+
+def over_quota(df: DataFrame, quota: int) -> DataFrame:
+    """user_id, n of tenants with more live rows than the quota."""
+    return count_by_tenant(df).filter(F.col("n") > quota)

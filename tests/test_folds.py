@@ -213,3 +213,26 @@ def test_importance_bounds(spark):
     rows = spark.createDataFrame([("",), ("hello ok yes no maybe test",), ("Critical: must remember the password! Deadline 2024-01-02 10:30, $500 to bob@x.org?",)], "t string")
     low, plain, high = (r.x for r in rows.select(scoring.importance(F.col("t"), F.lit(2)).alias("x")).collect())
     assert low == 0.1 and plain < 0.7 and high == 1.0 and isinstance(pd.Series([high]).iloc[0], float)
+
+
+def test_pattern_relations(spark):
+    df = spark.createDataFrame([(1, "Ann Lee works at Acme Corp. Bob Ray reports to Ann Lee."), (2, "it uses nothing"), (3, None)], "id long, content string")
+    assert {(r.doc, r.source, r.relation, r.target) for r in graph.pattern_relations(df).collect()} == {(1, "ann lee", "WORKS_AT", "acme corp"), (1, "bob ray", "REPORTS_TO", "ann lee")}
+
+
+def test_context_and_suite(spark):
+    rows = [(1, k, 1 - k / 10, unit(k), 100, k / 10) for k in range(8)]
+    df = spark.createDataFrame(rows, "query_id long, id long, score double, vector array<double>, cost int, importance double")
+    out = summarize.optimize_context(df, 300).collect()
+    assert len(out) == 3 and sorted(r.position for r in out) == [0, 1, 2]
+    memories = spark.createDataFrame([(k, f"s{k % 3}") for k in range(30)], "id long, session_id string")
+    queries, relevant = evaluate.synthetic_suite(memories, 7)
+    assert queries.count() == 7 and relevant.count() == 21
+    cover = evaluate.overall(evaluate.coverage(df.select("query_id", F.col("score").alias("relevance"))).withColumn("other", F.lit(None).cast("double")), "coverage", "other").first()
+    assert cover.coverage == 1.0 and cover.overall == 1.0
+
+
+def test_retention_and_quota(spark):
+    df = spark.createDataFrame([(1, "a", T0, False), (2, "b", T0, False), (3, "a", T0, False)], "id long, user_id string, created_at timestamp, is_deleted boolean")
+    kept = store.within_retention(df, {"a": 10}, T0 + datetime.timedelta(days=20)).collect()
+    assert [r.id for r in kept] == [2] and [r.user_id for r in store.over_quota(df, 1).collect()] == ["a"]
