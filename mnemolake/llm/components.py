@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import checkpoint
+from .store import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,20 +13,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each step points a node's neighbours at its
     least neighbour, so the diameter halves about every round and a hub's edges are
-    aggregated, never gathered. Ends when the edges no longer change.
+    aggregated, never gathered. Ends when every node has one lesser neighbour, which has none.
     """
-    pairs = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+    pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    while not pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or _several(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs = checkpoint(small)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        pairs = written(small)
     roots = pairs.select(F.col("v").alias("node")).distinct()
-    return checkpoint(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))).distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def _several(pairs: DataFrame) -> bool:
+    """Whether a node has more than one lesser neighbour."""
+    return not pairs.groupBy("u").count().filter("count > 1").isEmpty()

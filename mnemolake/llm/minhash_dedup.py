@@ -7,10 +7,13 @@ estimate the similarity of candidates. Those that may reach the threshold are co
 on full sets.
 
 Exact copies of a set are folded into one representative first, by a partial aggregate.
-Representatives link to the least member of each band bucket and then, in buckets that
-still hold several components, to the members of other components that their signatures
-allow, until no such pair is untested. Buckets beyond SPLIT members are first dealt again
-by a further band, so that no task holds a large bucket as a whole.
+Representatives are
+confirmed against the least member of a band bucket. Buckets that still hold several
+components then give loose groups, of members whose signatures and sizes allow links
+between components, as one edge for each member; the links within a group are found on
+full sets and come out as a spanning forest. Pairs are compared where they lie and never
+emitted. Buckets and groups beyond SPLIT members are dealt again, by a further band or in
+pairs of blocks, so that no task holds a large one as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import native, words
 from .components import connected_components
-from .store import checkpoint
+from .store import written
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
@@ -96,9 +99,10 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of packed signatures, by bit counts, corrected for collisions of low bits."""
-    differs = np.bitwise_xor(a, b)
-    nibble = (differs & 0x0F != 0).astype(np.int32) + (differs & 0xF0 != 0)
-    equal = 1 - nibble.sum(axis=-1) / HASHES
+    x = np.bitwise_xor(a, b).view(np.uint64)
+    for k in (1, 2):  # a position differs if any of its BITS bits does
+        x = x | x >> np.uint64(k)
+    equal = 1 - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1) / HASHES
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -167,39 +171,92 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return joined.mapInArrow(rows, "a long, b long")
 
 
-def _cross(percent: int, most: int):
-    """Pairs of a bucket's members in different components whose signatures allow the threshold.
+def _loose(percent: int):
+    """Edges that join the members of a bucket which links between different components may reach.
 
-    Each member outside the largest component gives its ``most`` likeliest pairs; one that
-    has more also gives a pair (id, id), so that a later round is held.
+    A pair may be linked if its signatures and set sizes allow it; each member found in such
+    a pair gets one edge to the least member of its local group, so edges are fewer than members.
     """
     least = least_estimate(percent / 100)
 
     def rows(table: pa.Table) -> pa.Table:
-        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
         order = np.lexsort((ids, comps))
-        ids, comps = ids[order], comps[order]
+        ids, comps, sizes = ids[order], comps[order], sizes[order]
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-        _, starts, sizes = np.unique(comps, return_index=True, return_counts=True)
-        largest = comps[starts[np.argmax(sizes)]]
-        out_a, out_b = [], []
-        for i in np.flatnonzero(comps != largest):
-            other = np.flatnonzero((comps != comps[i]) & ((comps == largest) | (ids < ids[i])))
-            likely = np.concatenate([estimate(sigs[i], sigs[other[k : k + 4096]]) for k in range(0, len(other), 4096)]) if len(other) else np.zeros(0)
-            hit = np.flatnonzero(likely >= least)
-            hit = hit[np.argsort(-likely[hit], kind="stable")]
-            chosen = ids[other[hit[:most]]]
-            if len(hit) > most:
-                chosen = np.append(chosen, ids[i])
-            out_a.append(np.minimum(ids[i], chosen))
-            out_b.append(np.maximum(ids[i], chosen))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": a, "b": b})
+        _, starts, local, members = np.unique(comps, return_index=True, return_inverse=True, return_counts=True)
+        largest = int(np.argmax(members))
+        root = np.arange(len(starts))
+        touched = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(local != largest):
+            fits = (local == largest) | (local < local[i])
+            fits &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (local != local[i])
+            other = np.flatnonzero(fits)
+            for k in range(0, len(other), 4096):
+                part = other[k : k + 4096]
+                hit = part[estimate(sigs[i], sigs[part]) >= least]
+                if len(hit):
+                    touched[hit] = touched[i] = True
+                    own, found = _find(root, int(local[i])), {_find(root, int(c)) for c in np.unique(local[hit])}
+                    for c in found:
+                        root[max(c, own)] = own = min(c, own)
+        groups = np.array([_find(root, int(c)) for c in range(len(root))])[local]
+        picked = np.flatnonzero(touched)
+        a, b = [], []
+        for g in np.unique(groups[picked]):
+            own = np.sort(ids[picked[groups[picked] == g]])
+            a.append(np.full(len(own) - 1, own[0]))
+            b.append(own[1:])
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    return rows
+
+
+def _find(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        root[i] = i = root[root[i]]
+    return i
+
+
+def _exact(n: int, percent: int):
+    """Links between different components of a group's members, on full sets: a spanning forest of them."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        parts = list(shingle_sets(table.column("_text"), n))
+        sizes = np.concatenate([np.diff(offsets) for *_, offsets in parts])
+        _, values = np.unique(np.concatenate([h for _, _, h, _ in parts]), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        _, local, members = np.unique(comps, return_inverse=True, return_counts=True)
+        root, largest = np.arange(len(members)), int(np.argmax(members))
+        mark = np.zeros(int(values.max()) + 1, np.int32)
+        a, b = [], []
+        for i in np.flatnonzero(local != largest):
+            own = values[first[i] : first[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[values], first[:-1])
+            mark[own] = 0
+            for j in np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (local != local[i])):
+                x, y = _find(root, int(local[i])), _find(root, int(local[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """group, id, comp of members of loose groups; those beyond SPLIT are dealt to pairs of blocks of half as many."""
+    sizes = members.groupBy("loose").agg(F.count(F.lit(1)).alias("size"))
+    sized = native.join_split(members, sizes, "loose", "size")
+    blocks = F.when(F.col("size") <= SPLIT, F.lit(1)).otherwise(F.ceil(F.col("size") * 2 / SPLIT)).cast("int")
+    sized = sized.withColumns({"of": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    paired = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return paired.select(F.xxhash64("loose", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "id", "comp")
+
+
 def _dealt_again(members: DataFrame, reps: DataFrame) -> DataFrame:
     """Members of buckets beyond SPLIT, dealt to a bucket for each further band; the others as they are."""
     small = members.filter(F.col("n") <= SPLIT)
@@ -221,36 +278,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     lowest = -(1 << 63)
     own = docs.select(F.coalesce(native.quoted(id_col).cast("long"), F.lit(lowest)).alias("_id"), native.quoted(text_col).alias("_text"))
-    sigs = checkpoint(signatures(own, shingle))
-    reps = sigs.filter("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("_id", "sig", "bands")).alias("r")).select("fp", F.col("r._id").alias("id"), "r.sig", "r.bands")
+    sigs = written(signatures(own, shingle))
+    reps = sigs.filter("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("_id", "n_shingles", "sig", "bands")).alias("r"))
+    reps = written(reps.select("fp", F.col("r._id").alias("id"), "r.n_shingles", "r.sig", "r.bands"))
     buckets = _buckets(reps)
     crowded = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
-    members = checkpoint(native.join_split(buckets, crowded, "key", "n").select("key", "id", "least", "n"))
-    involved = checkpoint(members.select("id").distinct())
-    sig_of = reps.join(involved, "id", "left_semi").select("id", "fp", "sig")
-    sig_of = checkpoint(sig_of)
-    # one text for each representative
-    holders = own.join(involved.withColumnRenamed("id", "_id"), "_id", "left_semi")
-    texts = checkpoint(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
-
-    least = least_estimate(percent / 100)
-    star = members.filter("id <> least").groupBy(F.col("least").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    pairs = _estimated(star, sig_of, least)
-    tested = checkpoint(pairs.select("a", "b"))
-    links = checkpoint(confirm(tested, texts, shingle, percent))
-    most = 4
-    while True:
-        comps = connected_components(links)
-        labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-        split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-        open_members = _dealt_again(native.join_split(labelled, split, "key", "size").select("key", "id", "n", "comp"), reps).join(sig_of.select("id", "sig"), "id")
-        more = checkpoint(open_members.groupBy("key").applyInArrow(_cross(percent, most), "a long, b long").distinct())
-        untested = checkpoint(more.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
-        if untested.isEmpty() and more.filter("a = b").isEmpty():
-            break
-        links = links.unionByName(checkpoint(confirm(untested, texts, shingle, percent)))
-        tested = tested.unionByName(untested)
-        most *= 4
+    members = written(native.join_split(buckets, crowded, "key", "n").select("key", "id", "least", "n"))
+    # each representative meets the least member of its buckets that it meets most often
+    star = members.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("bands"))
+    star = star.groupBy("id").agg(F.min(F.struct((-F.col("bands")).alias("fewer"), "least")).alias("best")).select(F.col("best.least").alias("a"), F.col("id").alias("b"))
+    involved = members.select("id").distinct()
+    sig_of = written(reps.join(involved, "id", "left_semi").select("id", "n_shingles", "sig"))
+    holders = own.join(sig_of.select(F.col("id").alias("_id")), "_id", "left_semi")
+    texts = written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
+    links = written(confirm(_estimated(star, sig_of, least_estimate(percent / 100)), texts, shingle, percent))
+    comps = connected_components(links)
+    labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    open_members = _dealt_again(native.join_split(labelled, split, "key", "size").select("key", "id", "n", "comp"), reps).join(sig_of, "id")
+    loose = written(open_members.groupBy("key").applyInArrow(_loose(percent), "a long, b long").distinct())
+    if not loose.isEmpty():
+        groups = connected_components(loose).select(F.col("node").alias("id"), F.col("component").alias("loose"))
+        labelled = groups.join(comps.withColumnRenamed("node", "id"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
+        more = _blocks(labelled).join(texts, "id").groupBy("group").applyInArrow(_exact(shingle, percent), "a long, b long")
+        comps = connected_components(links.unionByName(more))
     classes = reps.select("fp", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     # a class can hold the least id of its component only through its representative
     out = sigs.select("_id", "n_shingles", "fp").join(classes, "fp", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("_id")))
