@@ -4,7 +4,8 @@ Words are summed for each source, weights become targets by water filling under
 repetition, and rate = target / size of the source. Each document is taken floor(rate)
 times, plus once more when a hash of its id and the seed falls below the fraction: the
 draw needs no state, so reruns and retries take the same copies, and copies of a source
-need not meet anywhere.
+need not meet anywhere. Few documents may hold most words of a source, so each source
+takes, of a fixed number of seeds, the one whose copies come nearest to its target.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import native
+from .store import written
 
 MAX_REPEATS = 3
+#: Seeds that each source chooses from.
+DRAWS = 16
 #: Up to so many sources, their targets are broadcast (under 100 bytes each, names besides); beyond, they are joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
 
 
-def uniform(id_col: Column, seed: str) -> Column:
+def uniform(id_col: Column, seed: Column) -> Column:
     """A value in [0, 1) from 52 bits of a hash of the seed and the id; a null id counts as an empty one."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
+    digits = F.substring(F.md5(F.concat(seed, F.lit(":"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -63,52 +67,65 @@ def targets(weighted: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     return df.select("source", "source_size", "weight", "target", rate.alias("rate"))
 
 
-def plan_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents and ``_mix_size, _mix_source_size, _mix_target, _mix_rate, _mix_copies``.
+def _copies(id_col: Column, rate: Column, seed: Column) -> Column:
+    whole = F.floor(rate)
+    return (whole + (uniform(id_col, seed) < rate - whole).cast("long")).cast("long")
+
+
+def _joined(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """Rows (_mix_source) with the columns of their source; ``small``: the table may be broadcast."""
+    table = table.withColumnRenamed("source", "_mix_key")
+    on = F.col("_mix_source").eqNullSafe(F.col("_mix_key"))
+    return rows.join(F.broadcast(table) if small else table, on).drop("_mix_key")
+
+
+def plan_mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, table, small): _mix_id, _mix_source, _mix_size of every document; source, source_size, target, rate, seed of every source; whether the table is small.
 
     Size is the number of words, 0 for a null text. ``weights``: source, weight (long, over
-    0) for every source; default: ``default_weights``. Documents with one id draw alike; a
-    null source is a source. An empty table gives no rows. Columns of ``docs`` stay as they
-    are, but names that begin with ``_mix`` are taken.
+    0) for every source; default: ``default_weights``. A source's seed is the one of DRAWS
+    whose copies come nearest to its target, the first of equals.
     """
-    sized = docs.withColumns({"_mix_size": native.n_words(native.quoted(text_col)), "_mix_source": native.quoted(source_col)})
-    sizes = source_sizes(sized.select("_mix_source", "_mix_size"), "_mix_source", "_mix_size")
+    rows = written(docs.select(native.quoted(id_col).alias("_mix_id"), native.quoted(source_col).alias("_mix_source"), native.n_words(native.quoted(text_col)).alias("_mix_size")))
+    sizes = source_sizes(rows, "_mix_source", "_mix_size")
+    small = sizes.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
     if weights is None:
         weighted = default_weights(sizes)
     else:
         named = weights.select(F.col("source").alias("_named"), F.col("weight").cast("long").alias("weight"))
         weighted = sizes.join(named, F.col("source").eqNullSafe(F.col("_named"))).drop("_named")
-    rates = targets(weighted, max_repeats).select(
-        F.col("source").alias("_mix_key"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate")
-    )
-    if sizes.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    mixed = sized.join(rates, F.col("_mix_source").eqNullSafe(F.col("_mix_key")))
-    whole = F.floor("_mix_rate")
-    extra = uniform(native.quoted(id_col), seed) < F.col("_mix_rate") - whole
-    return mixed.withColumn("_mix_copies", (whole + extra.cast("long")).cast("long")).drop("_mix_key", "_mix_source")
+    table = written(targets(weighted, max_repeats))
+    rated = _joined(rows, table.select("source", "rate"), small)
+    seeds = [f"{seed}{k}" for k in range(DRAWS)]
+    taken = [F.sum(F.col("_mix_size") * _copies(F.col("_mix_id"), F.col("rate"), F.lit(x))).cast("long").alias(f"t{k}") for k, x in enumerate(seeds)]
+    sums = rated.groupBy("_mix_source").agg(*taken)
+    named = _joined(sums, table, small)
+    misses = F.array(*(F.struct(F.abs(F.col(f"t{k}").cast("double") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(DRAWS)))
+    chosen = F.concat(F.lit(seed), F.array_min(misses)["k"].cast("string"))
+    return rows, written(named.select(F.col("_mix_source").alias("source"), "source_size", "target", "rate", chosen.alias("seed"))), small
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: words that the mix takes of each document, repeats counted."""
-    id_col = options.get("id_col", "doc_id")
-    planned = plan_mix(docs, **options)
-    return planned.select(
-        native.quoted(id_col).alias("doc_id"),
-        F.col("_mix_size").alias("size"),
-        F.col("_mix_source_size").alias("source_size"),
-        F.col("_mix_target").alias("target"),
-        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
-        F.col("_mix_rate").alias("rate"),
-        F.col("_mix_copies").alias("copies"),
+    """doc_id, size, source_size, target, taken (words that the mix takes of the document, repeats counted), rate, copies.
+
+    One row for each row of ``docs``. Documents with one id draw alike within a source; a null
+    source is a source and a null id an empty one. An empty table gives no rows. Other columns
+    are not read.
+    """
+    rows, table, small = plan_mix(docs, **options)
+    copies = _copies(F.col("_mix_id"), F.col("rate"), F.col("seed"))
+    return _joined(rows, table, small).select(
+        F.col("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_size") * copies).alias("taken"), "rate", copies.alias("copies")
     )
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the mix takes it, with the columns of ``docs``."""
-    planned = plan_mix(docs, **options)
-    copies = planned.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int"))))
-    return copies.select(*(native.quoted(c) for c in docs.columns))
+    """Every document as often as the mix takes it, with the columns of ``docs``; see ``mix_report``."""
+    _, table, small = plan_mix(docs, **options)
+    drawn = table.select("source", F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
+    rows = _joined(docs.withColumn("_mix_source", native.quoted(options.get("source_col", "source"))), drawn, small)
+    copies = _copies(native.quoted(options.get("id_col", "doc_id")), F.col("_mix_rate"), F.col("_mix_seed")).cast("int")
+    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(native.quoted(c) for c in docs.columns))
 
 
 MIX_SQL = """
@@ -132,10 +149,16 @@ WITH sized AS (
 ), rated AS (
   SELECT d.*, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0.0 END AS rate
   FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+), drawn AS (
+  SELECT r.*, k, CAST(floor(rate) AS BIGINT) + CAST(
+    CAST('0x' || substr(md5('mix' || k || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) AS BIGINT) AS copies
+  FROM rated r, range(16) g(k)
+), misses AS (
+  SELECT source, k, abs(CAST(sum(size * copies) AS DOUBLE) - any_value(target)) AS miss FROM drawn GROUP BY source, k
+), chosen AS (
+  SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY miss, k) AS n FROM misses) WHERE n = 1
 ), copied AS (
-  SELECT *, CAST(floor(rate) AS BIGINT) + CAST(
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) AS BIGINT) AS copies
-  FROM rated
+  SELECT d.* FROM drawn d JOIN chosen c ON d.k = c.k AND d.source IS NOT DISTINCT FROM c.source
 )
 """
 
