@@ -78,7 +78,7 @@ def tokens(w: words.Words) -> Tokens:
 
 @dataclass
 class Model:
-    """Frequent tokens (sorted hashes, and the rank of each), weights, and the size of each tail class."""
+    """Frequent tokens (sorted hashes, and the rank of each), weights with a column for each feature, and the size of each tail class."""
 
     frequent: np.ndarray
     rank: np.ndarray
@@ -96,15 +96,12 @@ class Model:
         rank = np.where(self.frequent[at] == t.hashes, self.rank[at], -1)
         return np.where(rank >= 0, rank // SLOTS, FREQUENT + t.form), np.where(rank >= 0, rank % SLOTS, -1)
 
-    def weights(self) -> list[np.ndarray]:
-        return [self.class_bias, self.slot_bias, self.class_rows, self.slot_rows]
-
 
 def _features(t: Tokens, low: int, high: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class features and of the slot features of tokens low:high."""
     one, two, three = (b[low:high] for b in t.before)
     s = _SALTS
-    row = lambda x, n: (words.mix(x) % np.uint64(n)).astype(np.uint16)
+    row = lambda x, n: (words.mix(x) % np.uint64(n)).astype(np.intp)
     of_class = np.stack([row(one * s[0], CLASS_ROWS), row(one * s[1] + two * s[2], CLASS_ROWS), row(two * s[3], CLASS_ROWS), row(three * s[4], CLASS_ROWS)])
     c = (classes.astype(np.uint64) + np.uint64(1)) * s[5]
     of_slot = np.stack([row(one * s[6] + c, SLOT_ROWS), row(two * s[7] + c, SLOT_ROWS)])
@@ -112,12 +109,14 @@ def _features(t: Tokens, low: int, high: int, classes: np.ndarray) -> tuple[np.n
 
 
 def _softmax(bias: np.ndarray, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
-    y = rows[features[0]] + bias
+    """One column of probabilities for each token; weights lie in columns, so that each sum runs along memory."""
+    y = np.take(rows, features[0], axis=1, mode="clip")
+    y += bias
     for f in features[1:]:
-        y += rows[f]
-    y -= y.max(axis=1, keepdims=True)
+        y += np.take(rows, f, axis=1, mode="clip")
+    np.minimum(y, 60, out=y)
     np.exp(y, out=y)
-    y /= y.sum(axis=1, keepdims=True)
+    y /= y.sum(axis=0)
     return y
 
 
@@ -129,9 +128,9 @@ def log_probabilities(m: Model, t: Tokens, counts: np.ndarray) -> np.ndarray:
         high = min(t.n, low + STEP_TOKENS)
         c, s = classes[low:high], slots[low:high]
         of_class, of_slot = _features(t, low, high, c)
-        p = _softmax(m.class_bias, m.class_rows, of_class)[np.arange(high - low), c].astype(np.float64)
+        p = _softmax(m.class_bias[:, None], m.class_rows, of_class)[c, np.arange(high - low)].astype(np.float64)
         inside = np.flatnonzero(s >= 0)
-        p[inside] *= _softmax(m.slot_bias[c[inside]], m.slot_rows, of_slot[:, inside])[np.arange(len(inside)), s[inside]]
+        p[inside] *= _softmax(np.take(m.slot_bias, c[inside], axis=1), m.slot_rows, of_slot[:, inside])[s[inside], np.arange(len(inside))]
         tail = np.flatnonzero(s < 0)
         p[tail] *= (counts[low:high][tail] + 1) / m.tail_size[c[tail] - FREQUENT]
         out[low:high] = np.log10(np.maximum(p, 1e-300))
@@ -139,31 +138,31 @@ def log_probabilities(m: Model, t: Tokens, counts: np.ndarray) -> np.ndarray:
 
 
 def _step(weights: np.ndarray, seen: np.ndarray, features: np.ndarray, grad: np.ndarray) -> None:
-    """One AdaGrad step of the rows that the features touch."""
-    for f in features:
-        order = np.argsort(f, kind="stable")
-        ordered = f[order]
-        start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        sums = np.add.reduceat(grad[order], start)
-        rows = ordered[start]
-        seen[rows] += sums * sums
-        weights[rows] -= RATE * sums / np.sqrt(seen[rows])
+    """One AdaGrad step by the summed gradients of all columns; those that no feature touches stay."""
+    at = features.ravel()
+    sums = np.empty_like(weights)
+    for k in range(len(weights)):
+        sums[k] = np.bincount(at, np.tile(grad[k], len(features)), minlength=weights.shape[1])
+    seen += sums * sums
+    sums *= RATE
+    sums /= np.sqrt(seen)
+    weights -= sums
 
 
 def train_slice(m: Model, seen: list[np.ndarray], t: Tokens) -> None:
-    """Gradient steps over the tokens of a slice; changes the rows of the model."""
+    """Gradient steps over the tokens of a slice; changes the weights of the model."""
     classes, slots = m.places(t)
     for low in range(0, t.n, STEP_TOKENS):
         high = min(t.n, low + STEP_TOKENS)
         c, s = classes[low:high], slots[low:high]
         of_class, of_slot = _features(t, low, high, c)
-        p = _softmax(m.class_bias, m.class_rows, of_class)
-        p[np.arange(high - low), c] -= 1
+        p = _softmax(m.class_bias[:, None], m.class_rows, of_class)
+        p[c, np.arange(high - low)] -= 1
         _step(m.class_rows, seen[0], of_class, p)
         inside = np.flatnonzero(s >= 0)
         if len(inside):
-            p = _softmax(m.slot_bias[c[inside]], m.slot_rows, of_slot[:, inside])
-            p[np.arange(len(inside)), s[inside]] -= 1
+            p = _softmax(np.take(m.slot_bias, c[inside], axis=1), m.slot_rows, of_slot[:, inside])
+            p[s[inside], np.arange(len(inside))] -= 1
             _step(m.slot_rows, seen[1], of_slot[:, inside], p)
 
 
@@ -175,9 +174,10 @@ def start_model(top: list[tuple[int, int]], forms: dict[int, tuple[int, int]]) -
     mass = np.full((FREQUENT, SLOTS), 1e-9)
     mass.reshape(-1)[: len(n)] += n
     tail = np.array([sum(forms.get(k, (0, 0))) + 1.0 for k in range(TAIL)])
+    of_class = np.concatenate([mass.sum(axis=1), tail])
     return Model(
-        h[order], order.astype(np.int64), np.log(np.concatenate([mass.sum(axis=1), tail])).astype(np.float32), np.log(mass).astype(np.float32),
-        np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32), tail,
+        h[order], order.astype(np.int64), np.log(of_class / of_class.sum()).astype(np.float32), np.log(mass / mass.sum(axis=1, keepdims=True)).T.astype(np.float32).copy(),
+        np.zeros((CLASSES, CLASS_ROWS), np.float32), np.zeros((SLOTS, SLOT_ROWS), np.float32), tail,
     )
 
 
