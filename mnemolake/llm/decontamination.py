@@ -29,7 +29,7 @@ from . import native, words
 THRESHOLD = 0.6
 SLACK = 0.37
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 4
 RUN = 3
 #: Least share of the runs of RUN terms of the question, and of the answer, that the passage holds.
 OVERLAP = 0.5
