@@ -21,6 +21,7 @@ CAPITALIZED = "(?:[A-Z][a-z]+\\s*)+"
 # Words that class capitalized runs, and technical terms.
 ORGANIZATION_WORDS = ("inc", "corp", "ltd", "llc", "co", "company", "corporation", "foundation", "association", "institute", "university", "college")
 PERSON_WORDS = ("mr", "mrs", "ms", "dr", "prof", "ceo", "cto", "cfo", "manager", "director")
+LOCATION_WORDS = ("city", "state", "country", "street", "avenue", "road")
 TECHNICAL_TERMS = (
     "API", "SDK", "CLI", "GUI", "URL", "HTTP", "HTTPS", "SQL", "JSON", "XML", "HTML", "CSS", "JavaScript", "Python", "Java", "C#", "NET",
     "Docker", "Kubernetes", "AWS", "Azure", "GCP", "database", "server", "algorithm", "framework", "library", "package", "module", "class",
@@ -51,9 +52,17 @@ def _found(text: Column, kind: str, pattern: str, confidence: float) -> Column:
 
 
 def named_kind(name: Column) -> Column:
+    """organization by a word of it, person by a title first, location by its last word, person for two words, else unknown."""
     words = F.split(F.lower(name), "\\s+")
-    has = lambda of: F.arrays_overlap(words, F.array(*map(F.lit, of)))
-    return F.when(has(ORGANIZATION_WORDS), "organization").when(has(PERSON_WORDS) | (F.size(words) == 2) | (F.size(words) == 3), "person").otherwise("unknown")
+    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    organization = F.arrays_overlap(words, F.array(*map(F.lit, ORGANIZATION_WORDS)))
+    return (
+        F.when(organization, "organization")
+        .when((F.size(words) > 1) & first.isin(*PERSON_WORDS), "person")
+        .when(last.isin(*LOCATION_WORDS), "location")
+        .when((F.size(words) == 2) & (F.char_length(first) > 1) & (F.char_length(last) > 1), "person")
+        .otherwise("unknown")
+    )
 
 
 def entity_array(text: Column) -> Column:
@@ -146,7 +155,7 @@ def pattern_relations(df: DataFrame, id_col: str = "id", text_col: str = "conten
     A projection: the entities of the characters before and after are extracted where the text is split at the phrase.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = lambda t: F.transform(F.filter(entity_array(t), lambda e: e["kind"].isin("person", "organization", "unknown", "technical")), lambda e: e["name"])
+    runs = lambda t: F.transform(F.filter(entity_array(t), lambda e: e["kind"].isin("person", "organization", "location", "unknown", "technical")), lambda e: e["name"])
     found = []
     for pattern, name in RELATIONS:
         pieces = F.split(text, f"(?i)(?:{pattern})", -1)

@@ -65,13 +65,17 @@ def variants(queries: DataFrame, query_col: str = "query", limit: int = 3) -> Da
     return queries.select(query_col, F.posexplode(every).alias("ordinal", "variant"))
 
 
+# What a hypothetical answer says, by a word that the query holds; the first counts, the empty one always.
+ANSWERS = (
+    ("how", "The process involves the following steps: {}. First, you need to understand the requirements. Then, implement the solution step by step."),
+    ("what", "The answer to '{}' is: This refers to a concept or entity that can be described as follows."),
+    ("why", "The reason for '{}' is: There are several factors that contribute to this, including important considerations."),
+    ("when", "Regarding '{}': The timing and circumstances are as follows, with specific dates and conditions."),
+    ("", "Information about '{}': This topic involves key concepts and details that are relevant to understanding the subject matter."),
+)
+
+
 def hypothetical_answer(query: Column) -> Column:
-    """A sentence that an answer might begin with, by the first question word that the query holds."""
-    lower = F.lower(query)
-    return (
-        F.when(F.contains(lower, F.lit("how")), F.concat(F.lit("The steps are as follows: "), query))
-        .when(F.contains(lower, F.lit("what")), F.concat(F.lit("It is defined as follows: "), query))
-        .when(F.contains(lower, F.lit("why")), F.concat(F.lit("The reason is as follows: "), query))
-        .when(F.contains(lower, F.lit("when")), F.concat(F.lit("The time is as follows: "), query))
-        .otherwise(F.concat(F.lit("The answer is as follows: "), query))
-    )
+    """A text that resembles an answer to the query, to be embedded beside it."""
+    texts = (F.when(F.contains(F.lower(query), F.lit(word)), F.replace(F.lit(text), F.lit("{}"), query)) for word, text in ANSWERS)
+    return F.coalesce(*texts)

@@ -137,6 +137,7 @@ def test_pii_spans():
     assert found == {("ssn", "078-05-1120"), ("email", "jane@x.org"), ("credit_card", "4111111111111111")}
     assert pii.redact_text("a jane@x.org b") == "a [EMAIL] b" and pii.redact_text("a jane@x.org b", "remove") == "a  b"
     assert pii.redact_text("a jane@x.org b", "full") == "a ********** b" and pii.redact_text("a jane@x.org b", ignore=frozenset({"email"})) == "a jane@x.org b"
+    assert pii.redact_text("a jane@x.org b", "partial", show=(1, 2)) == "a j*******rg b" and pii.redact_text("4111111111111111") == "[CREDITCARD]"
     assert pii.valid_iban("DE89 3704 0044 0532 0130 00") and not pii.valid_iban("DE88370400440532013000")
     assert pii.valid_routing("011000015") and not pii.valid_routing("011000016") and pii.spans(None) == []
 
