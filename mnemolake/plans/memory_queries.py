@@ -35,6 +35,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memories(spark, sf_dir, vectors=False, tombstones=False)
+
+
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
@@ -105,18 +109,18 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_filtered_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime
 
-    rows = store.scope(memories(spark, sf_dir), user="src3", since=datetime(2024, 1, 1, 1), until=datetime(2024, 1, 1, 12))
+    rows = store.scope(memories(spark, sf_dir, vectors=False), user="src3", since=datetime(2024, 1, 1, 1), until=datetime(2024, 1, 1, 12))
     return store.ordered(rows, "importance_desc", skip=3, limit=10).select("id", "session_id", "importance")
 
 
 @query("SELECT user_id, count(*) AS n FROM memories WHERE NOT is_deleted GROUP BY user_id")
 def count_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.count_by_tenant(memories(spark, sf_dir))
+    return store.count_by_tenant(memories(spark, sf_dir, vectors=False))
 
 
 @query("SELECT o AS ordinal, m.id, m.user_id FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 100), (4, -1)) a(o, i) JOIN memories m ON m.id = a.i")
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.multi_get(memories(spark, sf_dir), [7, 3, 7, 100, -1]).select(F.col("ordinal").cast("int").alias("ordinal"), "id", "user_id")
+    return store.multi_get(_texts(spark, sf_dir), [7, 3, 7, 100, -1]).select(F.col("ordinal").cast("int").alias("ordinal"), "id", "user_id")
 
 
 @query("SELECT id, user_id, type, preview FROM (SELECT id, user_id, CASE type WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' WHEN 2 THEN 'procedural' ELSE 'fact' END AS type, CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END AS preview FROM memories)")
@@ -124,7 +128,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import TYPES
 
     names = F.element_at(F.array(*map(F.lit, TYPES)), F.col("type") + 1)
-    return memories(spark, sf_dir).select("id", "user_id", names.alias("type"), tx.preview(F.col("content")).alias("preview"))
+    return _texts(spark, sf_dir).select("id", "user_id", names.alias("type"), tx.preview(F.col("content")).alias("preview"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
@@ -136,33 +140,33 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, is_deleted OR id % 7 = 0 AS is_deleted, CASE WHEN id % 7 = 0 THEN {AS_OF} ELSE created_at END AS updated_at FROM memories")
 def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    rows = memories(spark, sf_dir, vectors=False).withColumn("updated_at", F.col("created_at"))
     return store.soft_delete(rows, F.col("id") % 7 == 0, F.expr(AS_OF)).select("id", "is_deleted", "updated_at")
 
 
 @query("SELECT user_id, count(*) AS n, sum(id)::BIGINT AS ids FROM memories WHERE id % 7 <> 0 GROUP BY user_id")
 def hard_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir)
+    rows = _texts(spark, sf_dir)
     left = store.hard_delete(rows, rows.filter("id % 7 = 0").select("id"))
     return left.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 @query("SELECT user_id, sum(CASE WHEN id % 5 = 0 THEN 100 ELSE access_count END)::BIGINT AS accesses, count(*) AS n FROM memories GROUP BY user_id")
 def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir)
+    rows = _texts(spark, sf_dir)
     changed = rows.filter("id % 5 = 0").withColumn("access_count", F.lit(100))
     return store.replace_rows(rows, changed).groupBy("user_id").agg(F.sum("access_count").alias("accesses"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id, user_id FROM memories WHERE id % 3 = 0")
 def migrate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir)
+    rows = _texts(spark, sf_dir)
     return store.missing_rows(rows, rows.filter("id % 3 <> 0")).select("id", "user_id")
 
 
 @query("SELECT user_id, count(*) AS n_source, count(*) FILTER (WHERE id % 3 <> 0) AS n_destination, count(*) FILTER (WHERE id % 3 <> 0) >= count(*) AS complete FROM memories GROUP BY user_id")
 def migrate_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir)
+    rows = _texts(spark, sf_dir)
     return store.migration_counts(rows, rows.filter("id % 3 <> 0"))
 
 
@@ -173,7 +177,7 @@ _FREQUENCY = "greatest(0, least(1, ln(1 + access_count) / ln(101)))"
 @query(f"SELECT id, round({_RECENCY}, 6) AS recency, round({_FREQUENCY}, 6) AS frequency FROM memories")
 def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = scoring.recency(F.lit(None).cast("timestamp"), F.col("created_at"), F.expr(AS_OF))
-    return memories(spark, sf_dir).select("id", F.round(recent, 6).alias("recency"), F.round(scoring.frequency(F.col("access_count")), 6).alias("frequency"))
+    return _texts(spark, sf_dir).select("id", F.round(recent, 6).alias("recency"), F.round(scoring.frequency(F.col("access_count")), 6).alias("frequency"))
 
 
 @query(
@@ -221,7 +225,7 @@ _WORDED = "(SELECT *, len(list_filter(regexp_split_to_array(content, '\\s+'), la
 def importance_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English texts, as case and word classes agree there between the engines."""
     parts = scoring.importance_parts(F.col("content"), F.col("type"))
-    return memories(spark, sf_dir).filter("lang = 'en'").select("id", *(F.round(parts[k], 6).alias(k) for k in _IMPORTANCE))
+    return _texts(spark, sf_dir).filter("lang = 'en'").select("id", *(F.round(parts[k], 6).alias(k) for k in _IMPORTANCE))
 
 
 _SPECIFIC = (
@@ -238,7 +242,7 @@ _TOTAL = f"greatest(0.1, least(1, 0.5 + {' + '.join(_IMPORTANCE.values())} + {_S
 @query(f"SELECT id, round(({_TOTAL})::DOUBLE, 6) AS importance, CASE WHEN round(({_TOTAL})::DOUBLE, 6) >= 0.8 THEN 'critical' WHEN round(({_TOTAL})::DOUBLE, 6) >= 0.6 THEN 'high' WHEN round(({_TOTAL})::DOUBLE, 6) >= 0.4 THEN 'medium' WHEN round(({_TOTAL})::DOUBLE, 6) >= 0.2 THEN 'low' ELSE 'minimal' END AS label FROM {_WORDED}")
 def importance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.round(scoring.importance(F.col("content"), F.col("type")), 6)
-    rows = memories(spark, sf_dir).filter("lang = 'en'").select("id", score.alias("importance"))
+    rows = _texts(spark, sf_dir).filter("lang = 'en'").select("id", score.alias("importance"))
     return rows.withColumn("label", scoring.importance_label(F.col("importance")))
 
 
@@ -247,7 +251,7 @@ _TERMS = "list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{Mn}\\p{
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM (SELECT id, unnest({_TERMS}) AS term FROM memories) GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.doc_terms(memories(spark, sf_dir))
+    found = search.doc_terms(_texts(spark, sf_dir))
     return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -272,7 +276,7 @@ def _with(body: str, terms: list[str], more: str = "") -> str:
 
 @query()
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(search.bm25(memories(spark, sf_dir), _ASKED), 10).select("id", F.round("score", 6).alias("score"))
+    return search.top(search.bm25(_texts(spark, sf_dir), _ASKED), 10).select("id", F.round("score", 6).alias("score"))
 
 
 ORACLE_SQL["bm25_topk"] = _with("SELECT id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 10", _ASKED.split())
@@ -280,7 +284,7 @@ ORACLE_SQL["bm25_topk"] = _with("SELECT id, round(score, 6) AS score FROM bm25 O
 
 @query()
 def fts_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fts_search(memories(spark, sf_dir), "the tion and", 10).select("id", F.round("score", 6).alias("score"), F.round("fts_score", 6).alias("fts_score"))
+    return search.fts_search(_texts(spark, sf_dir), "the tion and", 10).select("id", F.round("score", 6).alias("score"), F.round("fts_score", 6).alias("fts_score"))
 
 
 ORACLE_SQL["fts_all_terms"] = _with("SELECT id, round(score, 6) AS score, round(1 / (1 + abs(score)), 6) AS fts_score FROM bm25 WHERE present = 3 ORDER BY score DESC, id LIMIT 10", ["the", "tion", "and"])
@@ -288,7 +292,7 @@ ORACLE_SQL["fts_all_terms"] = _with("SELECT id, round(score, 6) AS score, round(
 
 @query("SELECT id, score::DOUBLE AS score FROM (SELECT id, contains(lower(content), 'ati')::INT + contains(lower(content), 'tio')::INT + contains(lower(content), 'ion')::INT + contains(lower(content), 'ont')::INT AS score FROM memories) WHERE score > 0 ORDER BY score DESC, id LIMIT 25")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.trigram_search(memories(spark, sf_dir), "ationt", 25)
+    return search.trigram_search(_texts(spark, sf_dir), "ationt", 25)
 
 
 _FUSED = (
@@ -333,7 +337,7 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, sha256(content) AS hash FROM memories")
 def hash_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", tx.content_hash(F.col("content")).alias("hash"))
+    return _texts(spark, sf_dir).select("id", tx.content_hash(F.col("content")).alias("hash"))
 
 
 _NORMALIZED = "upper(sha256(regexp_replace(regexp_replace(lower(content), '^\\s+|\\s+$', '', 'g'), '\\r\\n|\\r', chr(10), 'g')))"
@@ -341,7 +345,7 @@ _NORMALIZED = "upper(sha256(regexp_replace(regexp_replace(lower(content), '^\\s+
 
 @query(f"SELECT hash, count(*) AS n, min(id) AS first_id FROM (SELECT id, {_NORMALIZED} AS hash FROM memories) GROUP BY hash HAVING count(*) > 1")
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_duplicates(memories(spark, sf_dir))
+    return dedup.exact_duplicates(_texts(spark, sf_dir))
 
 
 _PAIRS = f"SELECT a.user_id AS tenant, a.id AS a, b.id AS b, {_sql_cos('a.embedding', 'b.embedding')} AS s FROM memories a JOIN memories b ON a.user_id = b.user_id AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL"
@@ -369,4 +373,4 @@ def dup_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT hash, first(id ORDER BY created_at, importance DESC, id) AS primary_id, count(*) AS n, sum(access_count)::BIGINT AS access_count, max(importance) AS importance FROM (SELECT *, sha256(content) AS hash FROM memories) GROUP BY hash"
 )
 def dup_merge_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.merge_groups(memories(spark, sf_dir).withColumn("hash", tx.content_hash(F.col("content"))), "hash")
+    return dedup.merge_groups(_texts(spark, sf_dir).withColumn("hash", tx.content_hash(F.col("content"))), "hash")

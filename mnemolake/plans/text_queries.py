@@ -24,6 +24,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memories(spark, sf_dir, vectors=False, tombstones=False)
+
+
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -38,7 +42,7 @@ _NUMBERED = f"(SELECT id, ordinal - 1 AS ordinal, s[ordinal] AS unit FROM (SELEC
 
 @query(f"SELECT id, ordinal, unit FROM {_NUMBERED} WHERE id < 200")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = chunking.unit_sentences(memories(spark, sf_dir).filter("id < 200"), "id", "content")
+    units = chunking.unit_sentences(_texts(spark, sf_dir).filter("id < 200"), "id", "content")
     return units.select("id", F.col("ordinal").cast("long").alias("ordinal"), "unit")
 
 
@@ -91,7 +95,7 @@ def chunk_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, (length(content) // 4)::INT AS by_length, floor(len({_WORDS.format(x='content')}) * 1.3::DOUBLE)::INT AS by_words FROM memories")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", tx.tokens_by_length(F.col("content")).alias("by_length"), tx.tokens_by_words(F.col("content")).alias("by_words"))
+    return _texts(spark, sf_dir).select("id", tx.tokens_by_length(F.col("content")).alias("by_length"), tx.tokens_by_words(F.col("content")).alias("by_words"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in summarize.STOP_WORDS)
@@ -99,17 +103,17 @@ _STOP = ", ".join(f"'{w}'" for w in summarize.STOP_WORDS)
 
 @query(f"SELECT id, round(CASE WHEN len(t) > 0 THEN 1 - 0.4::DOUBLE * len(list_filter(t, lambda x: x IN ({_STOP}))) / len(t) ELSE 1 END, 6) AS ratio FROM (SELECT id, {_WORDS.format(x='lower(content)')} AS t FROM memories)")
 def compress_ratio_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", F.round(summarize.compression_estimate(F.col("content")), 6).alias("ratio"))
+    return _texts(spark, sf_dir).select("id", F.round(summarize.compression_estimate(F.col("content")), 6).alias("ratio"))
 
 
 @query()
 def compress_token_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize.prune_tokens(memories(spark, sf_dir).select("id", "content"), 0.5).drop("content")
+    return summarize.prune_tokens(_texts(spark, sf_dir).select("id", "content"), 0.5).drop("content")
 
 
 @query()
 def compress_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", summarize.drop_stop_words(F.col("content"), 0.7).alias("compressed"))
+    return _texts(spark, sf_dir).select("id", summarize.drop_stop_words(F.col("content"), 0.7).alias("compressed"))
 
 
 @query()
@@ -121,7 +125,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).withColumn("cost", tx.tokens_by_length(F.col("content")))
+    rows = _texts(spark, sf_dir).withColumn("cost", tx.tokens_by_length(F.col("content")))
     return summarize.greedy_fill(rows, "user_id", F.lit(2000), "importance", "cost", "id")
 
 
@@ -129,14 +133,14 @@ def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, id, CASE WHEN n <= 2 THEN r WHEN r % 2 = 0 THEN r // 2 ELSE n - 1 - (r - 1) // 2 END AS position FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM memories)"
 )
 def long_context_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize.long_context_order(memories(spark, sf_dir), "user_id").select("user_id", "id", "position")
+    return summarize.long_context_order(_texts(spark, sf_dir), "user_id").select("user_id", "id", "position")
 
 
 @query(
     "SELECT user_id, id, ((r - 1) // greatest(3, n // 2))::INT AS chunk FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM memories)"
 )
 def hierarchy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize.hierarchical_chunks(memories(spark, sf_dir), "user_id", "id", 1, 3).select("user_id", "id", "chunk")
+    return summarize.hierarchical_chunks(_texts(spark, sf_dir), "user_id", "id", 1, 3).select("user_id", "id", "chunk")
 
 
 @query()
@@ -152,12 +156,12 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.document_entities(graph.mentions(memories(spark, sf_dir)))
+    return graph.document_entities(graph.mentions(_texts(spark, sf_dir)))
 
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT v) AS names FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, lower(unnest(regexp_extract_all(content, '{p}'))) AS v FROM memories" for k, p, _ in graph.PATTERNS) + ") GROUP BY kind")
 def entity_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.mentions(memories(spark, sf_dir)).filter(F.col("kind").isin(*{k for k, _, _ in graph.PATTERNS}))
+    found = graph.mentions(_texts(spark, sf_dir)).filter(F.col("kind").isin(*{k for k, _, _ in graph.PATTERNS}))
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("names"))
 
 
@@ -204,28 +208,28 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT relation, count(*) FILTER (WHERE n > 0) AS documents, sum(n)::BIGINT AS matches FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS relation, len(regexp_extract_all(lower(content), '{p}')) AS n FROM memories" for p, name in graph.RELATIONS) + ") GROUP BY relation")
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.relation_counts(memories(spark, sf_dir))
+    return graph.relation_counts(_texts(spark, sf_dir))
 
 
 @query("SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{p}'))::BIGINT AS {k}" for k, p in pii.COUNTED.items()) + " FROM memories")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).select("id", *(c.alias(k) for k, c in pii.counts(F.col("content")).items()))
+    return _texts(spark, sf_dir).select("id", *(c.alias(k) for k, c in pii.counts(F.col("content")).items()))
 
 
 @query(f"SELECT id, regexp_replace(content, '{pii.COUNTED['email']}', '[EMAIL]', 'g') AS redacted FROM memories WHERE contains(content, '@')")
 def pii_redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).filter(F.contains("content", F.lit("@")))
+    rows = _texts(spark, sf_dir).filter(F.contains("content", F.lit("@")))
     return rows.select("id", pii.redact_emails(F.col("content")).alias("redacted"))
 
 
 @query()
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(memories(spark, sf_dir))
+    return pii.detect(_texts(spark, sf_dir))
 
 
 @query()
 def pii_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(memories(spark, sf_dir), mode="partial").select("id", "redacted")
+    return pii.redact(_texts(spark, sf_dir), mode="partial").select("id", "redacted")
 
 
 # Made up for these queries: the texts of the tables hold no attacks.

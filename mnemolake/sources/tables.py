@@ -18,29 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories: their source is the tenant, embeddings and labels come by id."""
-    d = table(spark, sf_dir, "documents")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    created = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
-    return (
-        d.join(e, "doc_id", "left")
-        .join(toxic, "doc_id", "left")
-        .select(
-            F.col("doc_id").alias("id"),
-            F.col("source").alias("user_id"),
-            F.concat(F.lit("s"), F.floor(F.col("doc_id") / 50).cast("bigint").cast("string")).alias("session_id"),
-            F.col("text").alias("content"),
-            "embedding",
-            created.alias("created_at"),
-            (F.col("doc_id") % 101).cast("int").alias("access_count"),
-            ((F.col("doc_id") % 11) / F.lit(10.0)).alias("importance"),
-            (F.floor(F.col("doc_id") / 20).cast("bigint") % 4).cast("int").alias("type"),
-            (F.coalesce("toxic", F.lit(0)) == 1).alias("is_deleted"),
-            "lang",
-        )
-    )
+def memories(spark: SparkSession, sf_dir: str, vectors: bool = True, tombstones: bool = True) -> DataFrame:
+    """Documents as memories: their source is the tenant, embeddings and labels come by id.
+
+    Without ``vectors`` or ``tombstones`` their joins, and columns, are left out: a scan of
+    the texts then needs no shuffle.
+    """
+    rows = table(spark, sf_dir, "documents")
+    if vectors:
+        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    if tombstones:
+        rows = rows.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    columns = {
+        "id": F.col("doc_id"),
+        "user_id": F.col("source"),
+        "session_id": F.concat(F.lit("s"), F.floor(F.col("doc_id") / 50).cast("bigint").cast("string")),
+        "content": F.col("text"),
+        "embedding": F.col("embedding") if vectors else None,
+        "created_at": F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60),
+        "access_count": (F.col("doc_id") % 101).cast("int"),
+        "importance": (F.col("doc_id") % 11) / F.lit(10.0),
+        "type": (F.floor(F.col("doc_id") / 20).cast("bigint") % 4).cast("int"),
+        "is_deleted": F.coalesce("toxic", F.lit(0)) == 1 if tombstones else None,
+        "lang": F.col("lang"),
+    }
+    return rows.select(*(c.alias(k) for k, c in columns.items() if c is not None))
 
 
 #: The same relation for DuckDB, as the body of a common table expression.
