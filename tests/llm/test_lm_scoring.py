@@ -85,3 +85,13 @@ def test_edges(spark):
     assert L.score_documents(docs.limit(0)).count() == 0
     only = documents(spark, ["a b"], ids=[next(i for i in range(99) if parts(i, "")[0])])
     check_base([(only.first().doc_id, "a b")], L.score_documents(only).collect())
+
+
+def test_lookup():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(1 << 20))
+    asked = np.concatenate([keys, keys + np.uint64(1), np.zeros(2, np.uint64)])
+    got = W.Lookup(keys, np.arange(len(keys)) + 1).get(asked)
+    known = {int(k): i + 1 for i, k in enumerate(keys)}
+    assert got.tolist() == [known.get(int(a), 0) for a in asked]
+    assert W.Lookup(keys[:0], np.zeros(0, np.int64)).get(asked[:3], -1).tolist() == [-1] * 3
