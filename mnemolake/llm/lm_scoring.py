@@ -90,10 +90,7 @@ class Model:
 
     def places(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(class, slot) of each token; slot -1 in tail classes."""
-        if not len(self.frequent):
-            return FREQUENT + t.form, np.full(t.n, -1)
-        at = np.minimum(np.searchsorted(self.frequent, t.hashes), len(self.frequent) - 1)
-        rank = np.where(self.frequent[at] == t.hashes, self.rank[at], -1)
+        rank = words.Lookup(self.frequent, self.rank).get(t.hashes, -1)
         return np.where(rank >= 0, rank // SLOTS, FREQUENT + t.form), np.where(rank >= 0, rank % SLOTS, -1)
 
 
@@ -285,15 +282,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not table.num_rows:
             return _SCORED.empty_table()
         h = known.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], known.column("n").to_numpy()[order]
+        known_counts = words.Lookup(h, known.column("n").to_numpy())
         columns = [[], [], [], []]
         for low, high, w in words.slices(table.column("_text"), lower=True):
             t, size = tokens(w), high - low
-            times = np.zeros(t.n, np.int64)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, t.hashes), len(h) - 1)
-                times = np.where(h[at] == t.hashes, c[at], 0)
+            times = known_counts.get(t.hashes)
             base = np.bincount(t.owner, np.log10(times + 1.0), minlength=size)
             n_tokens = np.bincount(t.owner, minlength=size)
             for column, x in zip(columns, (n_tokens, np.bincount(t.owner[times > 0], minlength=size), base - n_tokens * unit, np.bincount(t.owner, log_probabilities(shared.value, t, times), minlength=size))):

@@ -7,11 +7,10 @@ estimate the similarity of candidates. Those that may reach the threshold are co
 on full sets.
 
 Exact copies of a set are folded into one representative first, by a partial aggregate.
-Representatives are
-confirmed against the least member of a band bucket. Buckets that still hold several
-components then give loose groups, of members whose signatures and sizes allow links
-between components, as one edge for each member; the links within a group are found on
-full sets and come out as a spanning forest. Pairs are compared where they lie and never
+Representatives are confirmed against the least member of a band bucket. Buckets that
+still hold several components then give loose groups, of members whose signatures and
+sizes allow links between components, as one edge for each member; the links within a
+group are found on full sets and come out as a spanning forest. Pairs are compared where they lie and never
 emitted. Buckets and groups beyond SPLIT members are dealt again, by a further band or in
 pairs of blocks, so that no task holds a large one as a whole.
 """
@@ -273,8 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower-case (A-Z) word shingles. ``component_id`` is the least id reachable by links,
     ``kept`` says that it is the row's own. A text of fewer words than a shingle is one
     shingle of all its words; an empty or null text has no shingles and links with nothing.
-    Rows with one id and one set are one document, and all kept or none; a null id counts as
-    smaller than all others. Shingles are compared by 64-bit hashes. Other columns are not read.
+    Rows with one id and one set are one document, and all kept or none; of rows with one id and
+    different sets, the links of the least text count. A null id counts as smaller than all
+    others. Shingles are compared by 64-bit hashes. Other columns are not read.
     """
     lowest = -(1 << 63)
     own = docs.select(F.coalesce(native.quoted(id_col).cast("long"), F.lit(lowest)).alias("_id"), native.quoted(text_col).alias("_text"))
@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.groupBy("id").agg(F.min(F.struct((-F.col("bands")).alias("fewer"), "least")).alias("best")).select(F.col("best.least").alias("a"), F.col("id").alias("b"))
     involved = members.select("id").distinct()
     sig_of = written(reps.join(involved, "id", "left_semi").select("id", "n_shingles", "sig"))
-    holders = own.join(sig_of.select(F.col("id").alias("_id")), "_id", "left_semi")
+    # the ids grow with the corpus, so they are not left to a broadcast at small sizes
+    holders = own.filter(F.col("_text").rlike(native.WORD)).join(sig_of.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     texts = written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
     links = written(confirm(_estimated(star, sig_of, least_estimate(percent / 100)), texts, shingle, percent))
     comps = connected_components(links)

@@ -151,6 +151,33 @@ def inside(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(counts.sum()) - before[owner] + first[:-1][owner], owner
 
 
+class Lookup:
+    """Values by well-mixed 64-bit keys, each given once: a table with open addressing, filled and read by arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask, self.at = size - 1, np.full(size, -1)
+        self.keys, self.values = keys, values
+        pending, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(pending):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = pending[free]
+            left = self.at[slot] != pending
+            pending, slot = pending[left], slot[left] + 1 & self.mask
+        self.stored = np.where(self.at >= 0, keys[self.at], 0) if len(keys) else np.zeros(size, np.uint64)
+
+    def get(self, keys: np.ndarray, missing: int = 0) -> np.ndarray:
+        out = np.full(len(keys), missing, self.values.dtype)
+        slot, asked, place = (keys & np.uint64(self.mask)).astype(np.int64), keys, None
+        while len(slot):
+            at = self.at[slot]
+            hit = (self.stored[slot] == asked) & (at >= 0)
+            out[np.flatnonzero(hit) if place is None else place[hit]] = self.values[at[hit]]
+            go = np.flatnonzero(~hit & (at >= 0))
+            place, slot, asked = (go if place is None else place[go]), slot[go] + 1 & self.mask, asked[go]
+        return out
+
+
 def hash_word(word: bytes) -> int:
     """The hash that ``of_bytes`` gives this word."""
     return int(of_bytes(np.frombuffer(word, np.uint8), np.array([0, len(word)])).hashes[0])
