@@ -9,7 +9,8 @@ Only (passage, block) pairs whose sum of these can still reach the threshold are
 in full. A retrieved item counts as a leak if runs of its question and of its answer both
 stand in the passage.
 
-Passages are twice as long as the longest item, and start at every multiple of its length:
+Items are dealt to classes by length, up to LONGEST terms, twice that, and so on. A class's
+passages are twice as long as its longest item, and start at every multiple of its length:
 an item stands whole in one of them.
 """
 
@@ -33,7 +34,7 @@ BLOCK = 4
 RUN = 3
 #: Least share of the runs of RUN terms of the question, and of the answer, that the passage holds.
 OVERLAP = 0.5
-#: Items of more terms are indexed in parts of so many.
+#: Terms of the first class of items; each further class reaches twice as far.
 LONGEST = 256
 #: Bytes of item texts in one broadcast index; a larger benchmark is searched by several, one after another.
 INDEX_BYTES = 16 << 20
@@ -41,7 +42,7 @@ INDEX_BYTES = 16 << 20
 
 @dataclass
 class Index:
-    """Items in order of id; postings of essential terms by term; all impacts by item."""
+    """Items of one class in order of id; postings of essential terms by term; all impacts by item."""
 
     ids: list[int]
     terms: np.ndarray  # sorted hashes of all terms
@@ -75,8 +76,8 @@ def _answer_start(text: str, n: int) -> int:
     return n - max(1, n // 3)
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """The index of (id, text) items; those without a term are left out."""
+def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
+    """The indexes of (id, text) items, one for each class of lengths, with weights by all items; those without a term are left out."""
     parts, ids, halves = [], [], []
     for item, text in sorted(items):
         data = (text or "").encode()
@@ -84,12 +85,9 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         if not len(h):
             continue
         cut = _answer_start(text, len(h))
-        for low in range(0, len(h), LONGEST):
-            part = h[low : low + LONGEST]
-            k = cut - low if 0 < cut - low < len(part) else len(part) - max(1, len(part) // 3)
-            parts.append(part)
-            ids.append(item)
-            halves.append((_runs(part[:k]) or _runs(part), _runs(part[k:])))
+        parts.append(h)
+        ids.append(item)
+        halves.append((_runs(h[:cut]) or _runs(h), _runs(h[cut:])))
     n = len(parts)
     mean = sum(map(len, parts)) / max(n, 1)
     counted = [np.unique(p, return_counts=True) for p in parts]
@@ -102,8 +100,24 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         weight = weight / weight.sum()
         impacts.append(dict(zip(t.tolist(), weight.tolist())))
         entries.append((at, weight))
+    classes: dict[int, list[int]] = {}
+    for k, p in enumerate(parts):
+        classes.setdefault((-(-len(p) // LONGEST) - 1).bit_length(), []).append(k)
+    out = []
+    for _, own in sorted(classes.items()):
+        keys, most = _postings([entries[k] for k in own], df)
+        owner = np.array([t for t, _ in keys], np.int64)
+        out.append(Index(
+            [ids[k] for k in own], terms, np.searchsorted(owner, np.arange(len(terms) + 1)), np.array([b for _, b in keys], np.int64), np.array(most, np.float64),
+            [impacts[k] for k in own], [halves[k][0] for k in own], [halves[k][1] for k in own], max(len(parts[k]) for k in own),
+        ))
+    return out
+
+
+def _postings(entries: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray) -> tuple[list[tuple[int, int]], list[float]]:
+    """(term, block) of the essential terms in order, and the largest impact of each."""
     postings: dict[tuple[int, int], float] = {}
-    for low in range(0, n, BLOCK):
+    for low in range(0, len(entries), BLOCK):
         members = entries[low : low + BLOCK]
         # the commonest terms first, while no item of the block gets more than SLACK from them
         order = sorted({int(x) for at, _ in members for x in at}, key=lambda x: (-df[x], x))
@@ -121,11 +135,16 @@ def build_index(items: list[tuple[int, str]]) -> Index:
                     key = (t, low // BLOCK)
                     postings[key] = max(w, postings.get(key, 0.0))
     keys = sorted(postings)
-    owner = np.array([t for t, _ in keys], np.int64)
-    return Index(
-        ids, terms, np.searchsorted(owner, np.arange(len(terms) + 1)), np.array([b for _, b in keys], np.int64), np.array([postings[k] for k in keys], np.float64),
-        impacts, [q for q, _ in halves], [a for _, a in halves], max((len(p) for p in parts), default=1),
-    )
+    return keys, [postings[k] for k in keys]
+
+
+def search_all(w: words.Words, classes: list[Index], threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
+    """The leaks of all classes, each text and item once."""
+    best: dict[tuple[int, int], tuple] = {}
+    for index in classes:
+        for leak in search(w, index, threshold):
+            best[leak[:2]] = max(best.get(leak[:2], leak), leak)
+    return sorted(best.values())
 
 
 def search(w: words.Words, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
@@ -185,14 +204,14 @@ def _runs_as(h: np.ndarray, runs: set) -> set:
     return {x for n in range(1, RUN + 1) for x in words.window_hashes(h, n).tolist()}
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of at most about INDEX_BYTES of item texts each, which together hold every item."""
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
+    """The classes' indexes of at most about INDEX_BYTES of item texts each time, which together hold every item."""
     items = benchmark.select(native.quoted(id_col).cast("long").alias("item"), native.quoted(text_col).alias("t")).filter("item IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // INDEX_BYTES))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield build_index([(r.item, r.t) for r in part.collect()])
+        yield build_indexes([(r.item, r.t) for r in part.collect()])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,13 +224,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own = docs.select(native.quoted(id_col).alias("_id"), native.quoted(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
     out = None
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for classes in indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low, _, w in words.slices(batch.column(1), lower=True, terms=True):
-                    if found := search(w, shared.value, threshold):
+                    if found := search_all(w, shared.value, threshold):
                         text, item, score, question, answer = zip(*found)
                         ids = batch.column(0).take(pa.array([low + j for j in text]))
                         yield pa.record_batch([ids, pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in (score, question, answer))], ["_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -224,14 +243,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with all their columns; see ``find_leaks``."""
     out, place = docs, docs.columns.index(text_col)
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for classes in indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for low, _, w in words.slices(batch.column(place), lower=True, terms=True):
-                    keep[[low + j for j, *_ in search(w, shared.value, threshold)]] = False
+                    keep[[low + j for j, *_ in search_all(w, shared.value, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(rows, docs.schema)

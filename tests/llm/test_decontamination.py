@@ -92,3 +92,38 @@ def test_edges(spark, monkeypatch):
         assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert D.find_leaks(documents(spark, []), bench).count() == 0
     assert D.find_leaks(docs, bench.filter("item_id > 9")).count() == 0
+
+
+def test_long_items_are_held_whole(spark):
+    rng = random.Random(5)
+    word = lambda k: f"q{k}x{rng.randrange(10**6)}"
+    items = []
+    for k, n in enumerate((20, 256, 257, 513, 515, 1300)):
+        x = [word(k) for _ in range(n - 5)] + ["tail", *(word(k) for _ in range(3)), "end"]
+        items.append((k, " ".join(x[:-20]) + ". " + " ".join(x[-20:])))
+    parts = {k: t.split() for k, t in items}
+    texts = ["the end", "tail end", "end"] + [" ".join(x[-1:]) for x in parts.values()] + [" ".join(x[-8:]) for k, x in parts.items() if k]
+    texts += [" ".join(x[:-20]) for k, x in parts.items() if k]  # questions without answers
+    clean = len(texts)
+    texts += [" ".join([word(9) for _ in range(rng.randrange(700))] + x + [word(9) for _ in range(rng.randrange(700))]) for x in parts.values()]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = result(D.find_leaks(docs, bench))
+    assert set(got) == {(clean + k, k) for k in parts} and all(v == pytest.approx((1, 1, 1)) for v in got.values())
+    assert sorted(r.doc_id for r in D.remove_leaks(docs, bench).collect()) == list(range(clean))
+
+
+def test_classes_of_lengths_are_found_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "LONGEST", 400)
+    rng = random.Random(8)
+    word = lambda: f"t{int(rng.paretovariate(0.6)) % 4000}"
+    items = [(k, " ".join(word() for _ in range(700 + 5 * k)) + ". " + " ".join(word() for _ in range(30))) for k in range(12)]
+    texts = []
+    for _ in range(60):
+        x = [word() for _ in range(rng.randrange(900))]
+        y = [w if rng.random() > rng.choice([0, 0.1, 0.3]) else word() for w in rng.choice(items)[1].split()]
+        at = rng.randrange(len(x) + 1)
+        x[at:at] = y[: rng.randrange(300, 800)]
+        texts.append(" ".join(x))
+    got = result(D.find_leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")))
+    same(got, brute(list(enumerate(texts)), items))
+    assert got
