@@ -3,16 +3,18 @@
 Entities are found by one pattern for each kind. An entity's canonical form (digits of a
 phone number, lower-case mail parts, one name token) gets a candidate from SHA-512 of the
 key, kind, form and attempt, in the shape of the form: digits for digits, letters for
-letters of the same script, card check digits that hold if they held, given names from the
-list of the same gender and script. Distinct forms are then checked globally: of the forms
-that drew one candidate, or a candidate that is itself a form in the data, all but the
-least draw again. The table of forms goes back to its places by a join, so one person is
+letters of the same script, card check digits that hold if they held. Distinct forms are then
+checked globally: of the forms that drew one candidate, or a candidate that is itself a form
+in the data, all but the least draw again. Given names take the next of their list of one
+gender and script in an order by the key, so no two share one and none stays. The table of forms goes back to its places by a join, so one person is
 one surrogate in every document, and the surrogate takes the case and separators of each
 mention.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +95,24 @@ def _canonical(kind: Column, text: Column) -> Column:
     )
 
 
+def given_surrogates(key: str) -> dict[str, dict[str, str]]:
+    """Each list's names with their surrogates: the next in the order by a hash of the key and the name, one cycle through the list."""
+    out = {}
+    for kind, members in GIVEN.items():
+        order = sorted(members, key=lambda n: (hashlib.sha512(f"{key}\x1f{kind}\x1f{n}".encode()).digest(), n))
+        out[kind] = dict(zip(order, order[1:] + order[:1]))
+    return out
+
+
 def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """A surrogate of a canonical form, of its kind, length (names and addresses of hosts aside) and shape."""
+    """A surrogate of a canonical form, of its kind, length (names and addresses of hosts aside) and shape.
+
+    Surnames and parts of mail addresses get longer by a letter with every second attempt if
+    they have one or two characters, with every eighth if more, as few others are that short.
+    """
+    step = F.when(F.char_length(form) < 3, F.lit(2)).otherwise(F.lit(8))
+    more = F.when(kind == "surname", F.substring(form, -1, 1)).otherwise(F.lit("a"))
+    form = F.when(kind.isin("surname", "mail_user", "mail_host"), F.concat(form, F.repeat(more, F.floor(attempt / step).cast("int")))).otherwise(form)
     seed = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
     digest = F.sha2(seed, 512)
     value = lambda i: F.conv(F.substr(digest, 2 * (i % 60) + 1, F.lit(4)), 16, 10).cast("int")
@@ -118,8 +136,9 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     iban = F.concat(F.substring(form, 1, 2), F.array_join(F.transform(F.slice(chars, F.lit(3), F.size(chars) - 2), shaped), ""))
     octets = F.transform(F.split(form, "\\."), lambda o, i: (value(2 * i) % 254 + 1).cast("string"))
     out = F.when(kind == "card", F.when(F.call_function("luhn_check", form), checked).otherwise(card)).when(kind == "ip", F.array_join(octets, ".")).when(kind == "iban", iban)
-    for name, members in GIVEN.items():
-        out = out.when(kind == name, F.element_at(F.array(*map(F.lit, members)), value(F.lit(0)) % len(members) + 1))
+    for name, following in given_surrogates(key).items():
+        place = F.array_position(F.array(*map(F.lit, following)), form).cast("int")
+        out = out.when(kind == name, F.get(F.array(*map(F.lit, following.values())), place - 1))
     return out.otherwise(any_shape)
 
 
@@ -127,19 +146,19 @@ def assign_surrogates(forms: DataFrame, key: str) -> DataFrame:
     """kind, form -> and surrogate, distinct in each kind and no form of the data.
 
     ``forms`` holds each pair once. Of the forms with one candidate, the least takes it and the
-    others draw again, up to MAX_ATTEMPTS; given names draw once, as each list is short: names
-    stay apart by their surnames. A form of one or two characters may have no free surrogate;
-    it then keeps its last candidate with the attempt appended.
+    others draw again, up to MAX_ATTEMPTS; what is left then keeps its last candidate with a hash
+    of the form appended. Given names have a surrogate each from the start, which may be a name
+    of the data, as each list is short; surnames keep clear of all lists.
     """
     forms = checkpoint(forms)
-    # given names, and forms too short to leave room, are not held apart
-    tight = F.col("kind").isin(*GIVEN) | (F.char_length("form") < 3)
-    done = forms.filter(tight).withColumn("surrogate", candidate(key, F.col("kind"), F.col("form"), F.lit(0)))
-    pending = forms.filter(~tight).withColumn("attempt", F.lit(0))
-    taken = forms.filter(~tight).select("kind", F.col("form").alias("surrogate"))
+    given = F.col("kind").isin(*GIVEN)
+    done = forms.filter(given).withColumn("surrogate", candidate(key, F.col("kind"), F.col("form"), F.lit(0)))
+    pending = forms.filter(~given).withColumn("attempt", F.lit(0))
+    taken = forms.filter(~given).select("kind", F.col("form").alias("surrogate"))
+    listed = [n for names in GIVEN.values() for n in names]
     for attempt in range(MAX_ATTEMPTS):
         drawn = pending.withColumn("surrogate", candidate(key, F.col("kind"), F.col("form"), F.col("attempt")))
-        free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
+        free = drawn.filter(~((F.col("kind") == "surname") & F.col("surrogate").isin(listed))).join(taken, ["kind", "surrogate"], "left_anti")
         best = checkpoint(free.groupBy("kind", "surrogate").agg(F.min("form").alias("form")).select("kind", "form", "surrogate"))
         done = done.unionByName(best)
         pending = checkpoint(pending.join(best, ["kind", "form"], "left_anti").select("kind", "form", F.lit(attempt + 1).alias("attempt")))

@@ -68,6 +68,21 @@ def test_collisions_are_drawn_again(spark):
     assert not {r.surrogate for r in rows} & {r.form for r in rows}
 
 
+def test_given_names_and_short_forms_are_held_apart(spark):
+    short = [("surname", a + b) for a in "BDLWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    short += [("mail_user", x) for x in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("mail_host", x) for x in ("x", "y", "q1", "-")]
+    given = [(k, n) for k, names in P.GIVEN.items() for n in names]
+    rows = P.assign_surrogates(spark.createDataFrame(short + given, "kind string, form string"), "k").collect()
+    assert len(rows) == len(short) + len(given) == len({(r.kind, r.surrogate) for r in rows})
+    assert not any(r.form == r.surrogate for r in rows) and not {(r.kind, r.surrogate) for r in rows} & set(short)
+    assert all((r.surrogate in P.GIVEN[r.kind]) for r in rows if r.kind in P.GIVEN)
+    names = [f"{g} {s}" for _, g in given for s in ("Li", "Wu", "Xu", "Smith")]
+    out = replaced(spark, ["Yesterday " + n + " came" for n in names])
+    people = [t.removeprefix("Yesterday ").removesuffix(" came") for t in out]
+    assert len(set(people)) == len(names)
+    assert all(set(a.split()).isdisjoint(b.split()) for a, b in zip(names, people))
+
+
 def test_edges(spark):
     docs = documents(spark, ["a@b.co x", "a@b.co x", "a@b.co y", "z " * 50000 + "a@b.co"], ids=[None, 1, 1, 2]).selectExpr("*", "1 AS n_entities", "2 AS kind", "3 AS form")
     out = P.replace_pii(docs)
