@@ -95,18 +95,24 @@ def nodes(entities: DataFrame) -> DataFrame:
     return entities.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), first.alias("e")).select("key", "e.*", "documents")
 
 
-def edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", most: int = 50) -> DataFrame:
+def edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", block: int = 50) -> DataFrame:
     """source, target, weight: documents with a sentence that holds both entities, source < target.
 
     Entities are matched in the sentences of their own document as a nested expression, so
-    sentences aren't joined with entities; a sentence that holds over ``most`` entities gives
-    the edges of neighbours in order only, as its pairs are bounded.
+    sentences aren't joined with entities. A sentence's entities are cut into blocks in order,
+    and every two blocks, and each with itself, are a row, dealt by hash: no row makes over
+    ``block`` squared pairs, and no task has all pairs of a long sentence.
     """
     own = entities.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_keys"))
-    units = df.select(F.col(id_col).alias("doc"), F.explode(tx.sentences(F.lower(F.col(text_col)), newlines=False)).alias("s")).join(own, F.col("doc") == F.col("_doc"))
+    units = df.select(F.col(id_col).alias("doc"), F.posexplode(tx.sentences(F.lower(F.col(text_col)), newlines=False)).alias("unit", "s")).join(own, F.col("doc") == F.col("_doc"))
     held = F.sort_array(F.filter("_keys", lambda k: F.contains(F.col("s"), k)))
-    pairs = F.flatten(F.transform("held", lambda a, i: F.transform(F.slice("held", i + 2, F.when(F.size("held") > most, F.lit(1)).otherwise(F.lit(most))), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    linked = units.withColumn("held", held).filter(F.size("held") > 1).select("doc", F.explode(F.array_distinct(pairs)).alias("p")).select("doc", "p.*").distinct()
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("held") - 1) / block).cast("int")), lambda i: F.slice("held", i * block + 1, F.lit(block)))
+    rows = units.select("doc", "unit", held.alias("held")).filter(F.size("held") > 1).select("doc", "unit", blocks.alias("blocks"))
+    rows = rows.select("doc", "unit", "blocks", F.posexplode("blocks").alias("i", "left"))
+    rows = rows.select("doc", "unit", "i", "left", F.posexplode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("j", "right")).repartition("doc", "unit", "i", "j")
+    # block i with itself where j is 0: what follows in it
+    pairs = F.flatten(F.transform("left", lambda a, k: F.transform(F.when(F.col("j") == 0, F.slice("right", k + 2, F.lit(block))).otherwise(F.col("right")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
+    linked = rows.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*").distinct()
     return linked.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 

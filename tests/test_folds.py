@@ -160,6 +160,16 @@ def test_graph(spark):
     assert {r.relation: r.documents for r in graph.relation_counts(df).collect()}["WORKS_AT"] == 1
 
 
+def test_edges_of_sentences_with_many_entities(spark):
+    name = lambda k: "n" + chr(97 + k // 26) + chr(97 + k % 26)
+    sizes = (2, 49, 50, 51, 101, 130)
+    texts = [(d, ", ".join(name(k) for k in range(n)) + ". " + name(200) + " and " + name(201)) for d, n in enumerate(sizes)]
+    found = spark.createDataFrame([(d, name(k)) for d, n in enumerate(sizes) for k in (*range(n), 200, 201)], "doc int, key string")
+    got = {(r.source, r.target): r.weight for r in graph.edges(spark.createDataFrame(texts, "id int, content string"), found).collect()}
+    want = {(name(a), name(b)): sum(b < n for n in sizes) for b in range(130) for a in range(b)} | {(name(200), name(201)): len(sizes)}
+    assert got == want
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame([(1, k, k) for k in (1, 2, 3)] + [(2, 9, 1)], "query_id long, id long, rank int")
     relevant = spark.createDataFrame([(1, 3), (2, 8), (2, 7)], "query_id long, id long")
