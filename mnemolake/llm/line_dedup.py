@@ -48,25 +48,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text), null ids first. Rows with one id and one text are one document: their windows
     don't remove each other. A null text stays null and has 0 lines; a text of fewer than n
     lines with a word stays. Windows are compared by 64-bit hashes. The order of the other
-    columns stays; columns named ``n_lines`` or ``n_removed_lines`` are replaced.
+    columns stays; columns named ``n_lines`` or ``n_removed_lines`` are replaced. A very long
+    text is worked through line by line in one row; its windows are rows of their own.
     """
     text = native.quoted(text_col)
     gone = later_windows(line_windows(docs, id_col, text_col, n)).groupBy("_id", "_th").agg(F.collect_set("pos").alias("_pos"))
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "_pos")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    base = docs.select(*(native.quoted(c) for c in kept_columns), F.xxhash64(text).alias("_line_th"))
-    df = base.join(gone, native.quoted(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_line_th") == F.col("_gone_th")), "left")
-    lines = F.split(text, "\n")
-    df = df.withColumn("_lines", lines)
-    places = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(native.WORD), i)), lambda i: i.isNotNull())
-    covered = F.array_distinct(F.flatten(F.transform("_pos", lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: p + k))))
+    gone_id, gone_th, own_th, pos, all_lines, gone_lines = native.fresh(kept_columns, "_gone_id", "_gone_th", "_line_th", "_pos", "_lines", "_covered")
+    gone = gone.select(F.col("_id").alias(gone_id), F.col("_th").alias(gone_th), F.col("_pos").alias(pos))
+    base = docs.select(*(native.quoted(c) for c in kept_columns), F.xxhash64(text).alias(own_th))
+    df = base.join(gone, native.quoted(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own_th) == F.col(gone_th)), "left")
+    df = df.withColumn(all_lines, F.split(text, "\n"))
+    places = F.filter(F.transform(all_lines, lambda line, i: F.when(line.rlike(native.WORD), i)), lambda i: i.isNotNull())
+    covered = F.array_distinct(F.flatten(F.transform(pos, lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: p + k))))
     covered = native.let(places, lambda own: F.transform(covered, lambda j: F.get(own, j)))
-    df = df.withColumn("_covered", F.when(F.col("_pos").isNotNull(), covered))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")
-    kept_text = native.let(F.col("_lines"), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n"))
-    new_text = F.when(F.col("_covered").isNull(), text).otherwise(kept_text)
+    df = df.withColumn(gone_lines, F.when(F.col(pos).isNotNull(), covered))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone_lines)
+    kept_text = native.let(F.col(all_lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n"))
+    new_text = F.when(F.col(gone_lines).isNull(), text).otherwise(kept_text)
     out = [new_text.alias(c) if c == text_col else native.quoted(c) for c in kept_columns]
-    counts = (F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_covered"), F.lit(0)))
+    counts = (F.coalesce(F.size(all_lines), F.lit(0)), F.coalesce(F.size(gone_lines), F.lit(0)))
     return df.select(*out, *(F.greatest(x, F.lit(0)).cast("long").alias(c) for x, c in zip(counts, ("n_lines", "n_removed_lines"))))
 
 

@@ -109,8 +109,8 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes of the document, repeats counted), rate, copies.
 
     One row for each row of ``docs``. Documents with one id draw alike within a source; a null
-    source is a source and a null id an empty one. An empty table gives no rows. Other columns
-    are not read.
+    source is a source and a null id an empty one. An empty table gives no rows. A very long
+    text counts with all its words and is taken or left as a whole. Other columns are not read.
     """
     rows, table, small = plan_mix(docs, **options)
     copies = _copies(F.col("_mix_id"), F.col("rate"), F.col("seed"))
@@ -122,10 +122,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """Every document as often as the mix takes it, with the columns of ``docs``; see ``mix_report``."""
     _, table, small = plan_mix(docs, **options)
-    drawn = table.select("source", F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
-    rows = _joined(docs.withColumn("_mix_source", native.quoted(options.get("source_col", "source"))), drawn, small)
-    copies = _copies(native.quoted(options.get("id_col", "doc_id")), F.col("_mix_rate"), F.col("_mix_seed")).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(native.quoted(c) for c in docs.columns))
+    source, key, rate, seed, copy = native.fresh(docs.columns, "_mix_source", "_mix_key", "_mix_rate", "_mix_seed", "_mix_copy")
+    drawn = table.select(F.col("source").alias(key), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    rows = docs.withColumn(source, native.quoted(options.get("source_col", "source")))
+    rows = rows.join(F.broadcast(drawn) if small else drawn, F.col(source).eqNullSafe(F.col(key)))
+    copies = _copies(native.quoted(options.get("id_col", "doc_id")), F.col(rate), F.col(seed)).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*(native.quoted(c) for c in docs.columns))
 
 
 MIX_SQL = """

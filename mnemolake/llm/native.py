@@ -33,6 +33,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each led by as many underscores as keep it apart from the columns in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, even where ``body`` uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -157,12 +157,14 @@ def held_out(id_col: str, folds: int = 4, fold: int = 2):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
     """A machine trained on at most ``sample`` labelled documents outside the held-out fold.
 
-    An id with several labels counts once, with the least; null labels are passed over.
+    An id with several labels counts once, with the least, and one with several texts with the
+    least text; null labels are passed over. Without labels the machine knows no words.
     """
     known = labels.select(native.quoted(id_col).alias("_id"), native.quoted(label_col).cast("int").alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL")
     known = known.filter(~held_out("_id")).groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = F.broadcast(known.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample))
-    rows = docs.select(native.quoted(id_col).alias("_id"), native.quoted(text_col).alias("_text")).join(chosen, "_id").select("_id", "_label", "_text")
+    rows = docs.select(native.quoted(id_col).alias("_id"), native.quoted(text_col).alias("_text")).join(chosen, "_id")
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_id", "_label", "_text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +194,9 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
     """One row for each row of ``docs``: the id, held_out, score, predicted (1 if score >= ``accept``).
 
     A null text counts as an empty one, which is scored from its statistics. Ids are passed
-    on, null or repeated; only the text is an input of the score. Other columns are not read.
+    on, null or repeated; only the text is an input of the score, and all of it: features of a
+    very long text take memory in proportion to its words. An empty table gives no rows. Other
+    columns are not read.
     """
     own = docs.select(native.quoted(id_col).alias("_id"), held_out(id_col).alias("held_out"), native.quoted(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(machine)

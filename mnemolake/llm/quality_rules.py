@@ -97,7 +97,9 @@ def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null or empty text has no words, lines or symbols: every measurement is 0, and it fails
     ``too_few_words``. Ids are passed on as they are, null or repeated. Windows are compared
-    by 64-bit hashes within one text. Other columns are not read.
+    by 64-bit hashes within one text. A very long text is measured whole, in one row, with work
+    in proportion to its words, sorting aside. An empty table gives no rows. Other columns are
+    not read.
     """
     measured = measure(docs.select(native.quoted(id_col).alias("_id"), native.quoted(text_col).alias("_source")), "_source")
     bits = None

@@ -14,8 +14,9 @@ from .lm_scoring import score_documents
 from .minhash_dedup import near_duplicates
 from .pii_surrogates import replace_pii
 from .quality_classifier import fit, score_quality
-from .quality_rules import apply_policy, rule_ledger
+from .quality_rules import MEASURES, apply_policy, rule_ledger
 from .secret_scan import scan_secrets, spans_text
+from .store import written
 from .substring_dedup import substring_dedup
 
 
@@ -24,7 +25,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_policy(rule_ledger(_documents(spark, sf_dir)))
+    judged = apply_policy(written(rule_ledger(_documents(spark, sf_dir))))
+    first = ["doc_id", *MEASURES[:5], "base_failed", "kept"]
+    return judged.select(*first, *(c for c in judged.columns if c not in first))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_documents(spark, sf_dir))
     base = F.sha2(F.encode(spans_text(F.col("base_spans")), "utf-8"), 256).alias("base_sha256")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_entropy", base, spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, spans_text(F.col("spans")).alias("spans"), "n_entropy")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

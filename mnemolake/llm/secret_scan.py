@@ -3,9 +3,10 @@
 Everything is a projection of the text. Places are found by splitting the text at a
 pattern and adding up the lengths of pieces and matches. Candidates are runs of key
 characters with a letter and a digit; each is classed by its alphabet (hex, alphanumeric,
-base64), and a window slides over it with one count for each character: a step changes
-two counts and the two terms of the entropy sum that belong to them. Strings that match
-the allow-list are passed over.
+base64), and a window slides over it: a step changes the counts of the character that
+enters and of the one that leaves, and the two terms of the entropy sum that belong to
+them. Strings that match the allow-list are passed over. Work grows with the text, a
+little more than in proportion where one text has very many matches.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ BASE_KINDS = {
 }
 #: Runs of key characters with at least one letter and one digit.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 WINDOW = 20
 #: class -> (pattern of the whole string, bits a character at which a window is secret).
 CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.0), "alnum": ("^[0-9A-Za-z]+$", 3.5), "base64": ("", 3.6)}
@@ -42,50 +42,69 @@ ALLOW = (
 )
 
 
+def running_sums(sizes: Column) -> Column:
+    """The sum of the items before each item, in blocks of about the square root of their number.
+
+    Sums within a block and the sums of blocks are appended one by one, which copies what is
+    there: of n items, each is copied about sqrt(n) times, so a text with 100,000 matches is no burden.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+    none = F.array().cast("array<int>")
+
+    def before(x: Column, start: Column) -> Column:
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(x, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def blocked(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: F.slice(x, i * size + 1, size))
+        return native.let(blocks, lambda own: F.flatten(F.zip_with(own, before(F.transform(own, total), F.lit(0)), before)))
+
+    return native.let(sizes, lambda x: F.when(F.size(x) > 0, blocked(x)).otherwise(none))
+
+
 def _matches(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(F.zip_with(whole, part, lambda w, p: F.struct(w.alias("w"), p.alias("p"))), pieces, lambda m, before: F.struct(m["w"].alias("w"), m["p"].alias("p"), F.char_length(before).alias("gap")))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x)), F.lit(1), F.size(whole))
+    pair = F.zip_with(whole, part, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+    steps = F.zip_with(pair, gaps, lambda m, gap: F.struct(m["w"].alias("w"), m["p"].alias("p"), gap.alias("gap"), (gap + F.char_length(m["w"])).alias("step")))
+
+    def placed(all_steps: Column) -> Column:
+        ends = running_sums(F.transform(all_steps, lambda s: s["step"]))
+        at = lambda s, before: F.struct(
+            (before + s["gap"]).alias("start"), (before + s["step"]).alias("end"), s["w"].alias("value"), F.char_length(s["p"]).alias("size")
+        )
+        kept = F.filter(F.zip_with(all_steps, ends, at), lambda m: m["size"] >= least)
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.aggregate(
-        F.filter(steps, lambda s: s["w"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.char_length(s["w"])).alias("at"),
-            F.when(
-                F.char_length(s["p"]) >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.char_length(s["w"])).alias("end"), s["w"].alias("value")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), native.let(steps, placed)).otherwise(empty)
 
 
 def max_window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of a window of a string of ALPHABET characters.
+    """The largest Shannon entropy, in bits a character, of a window of a string.
 
-    A string shorter than the window is one window.
+    A string shorter than the window is one window. Only the sum of n log n over the counts is
+    carried: a step changes the terms of the character that enters and of the one that leaves,
+    whose counts are those of the window that it makes.
     """
     size = F.least(F.char_length(value), F.lit(window))
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    count = lambda own, c: F.char_length(own) - F.char_length(F.replace(own, c, F.lit("")))
 
     def step(acc: Column, i: Column) -> Column:
-        new = F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1)))
-        old = F.when(i > window, F.instr(F.lit(ALPHABET), F.substr(value, i - window, F.lit(1)))).otherwise(F.lit(0))
-        up, down = F.get(acc["counts"], new), F.get(acc["counts"], old)
-        change = F.when(new == old, F.lit(0.0)).otherwise(term(up + 1) - term(up) + F.when(old > 0, term(down - 1) - term(down)).otherwise(F.lit(0.0)))
+        # before the window is full, nothing leaves: the substring from below 1 is cut to the first i
+        own = F.substr(value, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))
+        new, old = F.substr(value, i, F.lit(1)), F.when(i > window, F.substr(value, i - window, F.lit(1))).otherwise(F.lit(""))
+        up, down = count(own, new), F.when(old != "", count(own, old)).otherwise(F.lit(0))
+        change = F.when(new == old, F.lit(0.0)).otherwise(term(up) - term(up - 1) + F.when(old != "", term(down) - term(down + 1)).otherwise(F.lit(0.0)))
         total = acc["total"] + change
-        counts = F.when(new == old, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, j: n + F.when(j == new, 1).when((j == old) & (old > 0), -1).otherwise(0)))
         full = F.when(i >= size, F.greatest(acc["best"], F.log2(size.cast("double")) - total / size)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("total"), full.alias("best"))
+        return F.struct(total.alias("total"), full.alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
 
 
 def _secret(value: Column, allow: tuple[str, ...]) -> Column:
@@ -105,7 +124,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are structs of (start, rank, end, kind), in code points, end exclusive, by start and
     then kind. Spans of the base kinds stay as they are; a high-entropy candidate adds one of
     kind ``entropy`` unless it overlaps a base span. A null text is empty. Ids are passed on
-    as they are, null or repeated. Other columns are not read.
+    as they are, null or repeated; an empty table gives no rows; whole texts are searched,
+    however long. Other columns are not read.
     """
     df = docs.select(native.quoted(id_col).alias("_id"), F.coalesce(native.quoted(text_col), F.lit("")).alias("_text"))
     for kind, (pattern, group, least) in BASE_KINDS.items():

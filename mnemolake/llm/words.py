@@ -15,18 +15,16 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII characters that are neither letters nor digits end a term.
 _NO_TERM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTES_LOWER = _BYTES.copy()
-_BYTES_LOWER[65:91] = _BYTES[97:123]
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What stays of the eight bytes at a place of which so many belong to the word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,23 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _geometric(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base & _MASK
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step & _MASK
-    return out
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        _POWERS = _geometric(_BASE, n)
-        _INVERSE = _geometric(pow(_BASE, -1, 1 << 64), n)
-    return _POWERS, _INVERSE
-
-
 @dataclass
 class Words:
     """The words of consecutive texts.
@@ -80,19 +61,26 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    i, block = 0, 1 << 19
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block)))
-        low, high = int(starts[i]), int(ends[j - 1])
-        powers, inverse = _powers(high - low)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(table[data[low:high]] * powers[: high - low], out=sums[1:])
-        at = starts[i:j] - low
-        out[i:j] = (sums[ends[i:j] - low] - sums[at]) * inverse[at]
-        i = j
-    return mix(out)
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each word: its blocks of eight bytes, each mixed with its place, are summed with its length.
+
+    Mixing is not linear, so no pattern within words makes their hashes equal, and a very long
+    word costs as much for each byte as others.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    sums = mix((eight[starts] & _KEEP[np.minimum(sizes, 8)]) + _PLACE)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        blocks = (sizes[long] - 1) // 8
+        owner = np.repeat(np.arange(len(long)), blocks)
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        k = np.arange(len(owner)) - first[owner] + 1
+        left = np.minimum(sizes[long][owner] - 8 * k, 8)
+        more = mix((eight[starts[long][owner] + 8 * k] & _KEEP[left]) + _PLACE * (k + 1).astype(np.uint64))
+        sums[long] += np.add.reduceat(more, first)
+    return mix(sums ^ sizes.astype(np.uint64) * _PLACE)
 
 
 def of_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, terms: bool = False) -> Words:
@@ -109,7 +97,7 @@ def of_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, terms:
         begins[1:] &= ~word[:-1] | edge[1:n]
         finishes[:-1] &= ~word[1:] | edge[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    hashes = _hash_words(data, starts, ends, _BYTES_LOWER if lower else _BYTES)
+    hashes = _hash_words(_LOWER[data] if lower else data, starts, ends)
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 

@@ -41,8 +41,9 @@ def test_edges(spark):
 
 
 def test_columns(spark):
-    docs = documents(spark, ["a\nb\nc", "a\nb\nc"]).selectExpr("*", "1 AS n_lines", "2 AS h", "3 AS pos", "4 AS `a.b`")
+    docs = documents(spark, ["a\nb\nc", "a\nb\nc"]).selectExpr("*", "1 AS n_lines", "2 AS h", "3 AS pos", "4 AS `a.b`", "5 AS _lines", "6 AS _covered", "7 AS _pos", "8 AS _line_th", "9 AS _gone_id")
     out = line_dedup(docs)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "h", "pos", "a.b", "n_lines", "n_removed_lines"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "h", "pos", "a.b", "_lines", "_covered", "_pos", "_line_th", "_gone_id", "n_lines", "n_removed_lines"]
+    assert [(r._lines, r._covered, r._pos, r._line_th, r._gone_id) for r in out.collect()] == [(5, 6, 7, 8, 9)] * 2
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a\nb\nc", ""]
     assert line_dedup(documents(spark, [])).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm import secret_scan as S
 from tests.llm.common import documents, sample
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
 
@@ -46,7 +47,7 @@ def test_sample(spark):
 
 def test_planted(spark):
     rng = random.Random(5)
-    b64 = "".join(rng.choice(S.ALPHABET[:64]) for _ in range(44))
+    b64 = "".join(rng.choice(ALPHABET[:64]) for _ in range(44))
     texts = [
         None, "", 'é😀 password = "hunter2x" ok', "PassWord:abc secret:token:abcdef API_KEY='a.b-c_d/e'", "AKIA" + "Q7" * 8 + " AKIAAKIA12 xAKIA" + "Z" * 20,
         "0123456789abcdef01234567 0123456789abcdef0123456", f"see {b64} and {b64[:25]}", "123e4567-e89b-42d3-a456-426614174000", "the quick brown fox antidisestablishmentarianism",
@@ -63,12 +64,24 @@ def test_clean_documents_get_no_entropy_spans(spark):
 @pytest.mark.parametrize("n", [1, 5, 19, 20, 21, 60])
 def test_incremental_entropy(spark, n):
     rng = random.Random(n)
-    values = ["".join(rng.choice(S.ALPHABET[: rng.choice([2, 16, 67])]) for _ in range(n)) for _ in range(5)]
+    values = ["".join(rng.choice(ALPHABET[: rng.choice([2, 16, 67])]) for _ in range(n)) for _ in range(5)]
     got = spark.createDataFrame([(v,) for v in values], "v string").select("v", S.max_window_entropy(F.col("v")).alias("e")).collect()
     for r in got:
         assert r.e == pytest.approx(entropy(r.v))
 
 
+def test_very_many_matches_in_one_text(spark):
+    texts = ["token=abcdefgh " * 100_000, " ".join(f"secret=ab{k}cdef" for k in range(1000))]
+    check(documents(spark, texts))
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 15, 16, 17, 100):
+        sizes = [(7 * k) % 5 for k in range(n)]
+        got = spark.createDataFrame([(sizes,)], "x array<int>").select(S.running_sums(F.col("x")).alias("s")).first().s
+        assert got == [sum(sizes[:k]) for k in range(n)]
+
+
 def test_edges(spark):
     check(documents(spark, ["token=abcdefgh"] * 2 + ["x " * 100000 + "token=abcdefgh"], ids=[None, 1, 1]).selectExpr("*", "1 AS spans", "2 AS _hex"))
     assert S.scan_secrets(documents(spark, [])).count() == 0
