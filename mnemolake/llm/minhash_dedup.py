@@ -10,9 +10,10 @@ Exact copies of a set are folded into one representative first, by a partial agg
 Representatives are confirmed against the least member of a band bucket. Buckets that
 still hold several components then give loose groups, of members whose signatures and
 sizes allow links between components, as one edge for each member; the links within a
-group are found on full sets and come out as a spanning forest. Pairs are compared where they lie and never
-emitted. Buckets and groups beyond SPLIT members are dealt again, by a further band or in
-pairs of blocks, so that no task holds a large one as a whole.
+group are found on full sets and come out as a spanning forest. Pairs are compared where
+they lie and never emitted. Every member outside a bucket's or group's largest component
+meets all its members, in pairs of blocks of at most about SPLIT / 2, so that no task holds
+a large one as a whole and no pair that shares a band is passed over.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from . import native, words
 from .components import connected_components
-from .store import written
+from .store import Scratch, written
 
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 SHINGLE = 4
 #: Estimates so many standard errors below the threshold are given up: under one link in 10 ** 6 at the threshold, fewer above it.
 DEVIATIONS = 5.0
-#: Members of a bucket that one task compares as a whole.
+#: About the most rows of a bucket or group that one task compares.
 SPLIT = 2000
 _MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(8).integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -150,11 +151,24 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return reps.select("id", "bands").mapInArrow(rows, "key long, id long")
 
 
+def _spread(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with the columns of ``table`` (id, columns) for both ends, as a_ and b_.
+
+    A pair's a may be that of very many: its row of the table is repeated once for each SPLIT
+    pairs, and these are dealt by a hash of b.
+    """
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    dealt = native.join_split(pairs, sizes, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    left = table.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    left = left.join(sizes, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    right = table.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", *(f"a_{c}" for c in columns), *(f"b_{c}" for c in columns))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
-    left = texts.select(F.col("id").alias("a"), F.col("_text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("_text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    joined = _spread(pairs, texts, ["_text"])
 
     def rows(batches):
         for batch in batches:
@@ -170,6 +184,43 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return joined.mapInArrow(rows, "a long, b long")
 
 
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """Members (key, id, comp) of the keys that hold several components, with the key's largest component and sizes."""
+    counts = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("own"))
+    sizes = counts.groupBy(key).agg(
+        F.max_by("comp", F.struct("own", "comp")).alias("largest"), F.sum("own").alias("total"), (F.sum("own") - F.max("own")).alias("movers"), F.count(F.lit(1)).alias("comps")
+    )
+    return native.join_split(members, sizes.filter("comps > 1").drop("comps"), key, "total")
+
+
+def _dealt(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, i, j, alone, moves, id, comp, columns: the members in which every member outside the largest component meets all members.
+
+    Those outside it, the movers, are cut into blocks of about SPLIT / 2, and so are all
+    members; a task holds one block of each, whatever the size of the key's group.
+    ``alone`` says that there is one block of each: its rows are then given once, and the movers are those of another component than ``largest``.
+    """
+    blocks = lambda size: F.ceil(F.col(size) * 2 / SPLIT).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    hashed = lambda n, *salt: F.pmod(F.xxhash64("id", *map(F.lit, salt)), n).cast("int")
+    mover = F.col("comp") != F.col("largest")
+    alone = (blocks("movers") == 1) & (blocks("total") == 1)
+    sized = members.withColumns({"alone": alone, "mover": mover})
+    whole = sized.withColumns({"j": hashed(blocks("total")), "i": F.explode(numbers(blocks("movers")))}).withColumn("moves", F.col("mover") & F.col("alone"))
+    moved = sized.filter(mover & ~alone).withColumns({"i": hashed(blocks("movers"), 1), "j": F.explode(numbers(blocks("total")))}).withColumn("moves", F.lit(True))
+    rows = whole.select(key, "i", "j", "alone", "moves", "id", "comp", *columns).unionByName(moved.select(key, "i", "j", "alone", "moves", "id", "comp", *columns))
+    # by number, as tasks are few bytes but much work
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key, "i", "j")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(movers, members to meet): rows of a dealt group; alone, the movers are among the members."""
+    moves = table.column("moves").to_numpy(zero_copy_only=False)
+    alone = table.column("alone")[0].as_py()
+    return np.flatnonzero(moves), np.arange(len(moves)) if alone else np.flatnonzero(~moves)
+
+
 def _loose(percent: int):
     """Edges that join the members of a bucket which links between different components may reach.
 
@@ -180,33 +231,29 @@ def _loose(percent: int):
 
     def rows(table: pa.Table) -> pa.Table:
         ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
-        order = np.lexsort((ids, comps))
-        ids, comps, sizes = ids[order], comps[order], sizes[order]
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-        _, starts, local, members = np.unique(comps, return_index=True, return_inverse=True, return_counts=True)
-        largest = int(np.argmax(members))
-        root = np.arange(len(starts))
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        movers, others = _sides(table)
+        _, local = np.unique(comps, return_inverse=True)
+        root = np.arange(int(local.max()) + 1)
         touched = np.zeros(len(ids), bool)
-        for i in np.flatnonzero(local != largest):
-            fits = (local == largest) | (local < local[i])
-            fits &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (local != local[i])
-            other = np.flatnonzero(fits)
-            for k in range(0, len(other), 4096):
-                part = other[k : k + 4096]
-                hit = part[estimate(sigs[i], sigs[part]) >= least]
-                if len(hit):
-                    touched[hit] = touched[i] = True
-                    own, found = _find(root, int(local[i])), {_find(root, int(c)) for c in np.unique(local[hit])}
-                    for c in found:
-                        root[max(c, own)] = own = min(c, own)
-        groups = np.array([_find(root, int(c)) for c in range(len(root))])[local]
+        own_sizes, own_local, own_sigs = sizes[others], local[others], sigs[others]
+        for i in movers:
+            fits = (100 * np.minimum(own_sizes, sizes[i]) >= percent * np.maximum(own_sizes, sizes[i])) & (own_local != local[i])
+            near = np.flatnonzero(fits)
+            hit = others[near[estimate(sigs[i], own_sigs[near]) >= least]]
+            if len(hit):
+                touched[hit] = touched[i] = True
+                own, found = _find(root, int(local[i])), {_find(root, int(c)) for c in np.unique(local[hit])}
+                for c in found:
+                    root[max(c, own)] = own = min(c, own)
+        groups = np.array([_find(root, c) for c in range(len(root))])[local]
         picked = np.flatnonzero(touched)
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for g in np.unique(groups[picked]):
-            own = np.sort(ids[picked[groups[picked] == g]])
+            own = np.unique(ids[picked[groups[picked] == g]])
             a.append(np.full(len(own) - 1, own[0]))
             b.append(own[1:])
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return rows
 
@@ -222,20 +269,21 @@ def _exact(n: int, percent: int):
 
     def rows(table: pa.Table) -> pa.Table:
         ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        movers, others = _sides(table)
         parts = list(shingle_sets(table.column("_text"), n))
         sizes = np.concatenate([np.diff(offsets) for *_, offsets in parts])
         _, values = np.unique(np.concatenate([h for _, _, h, _ in parts]), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        _, local, members = np.unique(comps, return_inverse=True, return_counts=True)
-        root, largest = np.arange(len(members)), int(np.argmax(members))
+        _, local = np.unique(comps, return_inverse=True)
+        root = np.arange(int(local.max()) + 1)
         mark = np.zeros(int(values.max()) + 1, np.int32)
         a, b = [], []
-        for i in np.flatnonzero(local != largest):
+        for i in movers:
             own = values[first[i] : first[i + 1]]
             mark[own] = 1
-            common = np.add.reduceat(mark[values], first[:-1])
+            common = np.add.reduceat(mark[values], first[:-1])[others]
             mark[own] = 0
-            for j in np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (local != local[i])):
+            for j in others[(100 * common >= percent * (sizes[others] + sizes[i] - common)) & (local[others] != local[i])]:
                 x, y = _find(root, int(local[i])), _find(root, int(local[j]))
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -246,25 +294,6 @@ def _exact(n: int, percent: int):
     return rows
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """group, id, comp of members of loose groups; those beyond SPLIT are dealt to pairs of blocks of half as many."""
-    sizes = members.groupBy("loose").agg(F.count(F.lit(1)).alias("size"))
-    sized = native.join_split(members, sizes, "loose", "size")
-    blocks = F.when(F.col("size") <= SPLIT, F.lit(1)).otherwise(F.ceil(F.col("size") * 2 / SPLIT)).cast("int")
-    sized = sized.withColumns({"of": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    paired = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    return paired.select(F.xxhash64("loose", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "id", "comp")
-
-
-def _dealt_again(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of buckets beyond SPLIT, dealt to a bucket for each further band; the others as they are."""
-    small = members.filter(F.col("n") <= SPLIT)
-    keys = _buckets(reps).select(F.col("id"), F.col("key").alias("further"))
-    large = members.filter(F.col("n") > SPLIT).join(keys, "id").filter(F.col("further") != F.col("key"))
-    large = large.withColumn("key", F.xxhash64("key", "further")).drop("further")
-    return small.unionByName(large.select(*small.columns))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: the id, n_shingles, component_id, kept.
 
@@ -273,48 +302,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` says that it is the row's own. A text of fewer words than a shingle is one
     shingle of all its words; an empty or null text has no shingles and links with nothing.
     Rows with one id and one set are one document, and all kept or none; of rows with one id and
-    different sets, the links of the least text count. A null id counts as smaller than all
-    others. Shingles are compared by 64-bit hashes. Other columns are not read.
+    different sets, the links of the least text count. Ids are whole numbers. A null id counts as
+    smaller than all others; texts without an id are told apart by a hash of the text, and a
+    component that holds one has a null ``component_id``. Shingles are compared by 64-bit hashes.
+    A very long text is one row with its whole set. An empty table gives no rows. Other columns
+    are not read.
     """
-    lowest = -(1 << 63)
-    own = docs.select(F.coalesce(native.quoted(id_col).cast("long"), F.lit(lowest)).alias("_id"), native.quoted(text_col).alias("_text"))
-    sigs = written(signatures(own, shingle))
-    reps = sigs.filter("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("_id", "n_shingles", "sig", "bands")).alias("r"))
-    reps = written(reps.select("fp", F.col("r._id").alias("id"), "r.n_shingles", "r.sig", "r.bands"))
+    scratch = Scratch(docs.sparkSession)
+    text = native.quoted(text_col)
+    # ids below 2 ** 62 stand for rows without one, by the hash of the text
+    nameless = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.coalesce(F.xxhash64(text), F.lit(0)), 3)
+    own = docs.select(F.coalesce(native.whole_number(docs, id_col), nameless).alias("_id"), text.alias("_text"))
+    sigs = scratch.written(signatures(own, shingle))
+    reps = sigs.filter("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("_id", "n_shingles", "sig", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = scratch.written(reps.select("fp", F.col("r._id").alias("id"), "r.n_shingles", "r.sig", "r.bands", "copies"))
     buckets = _buckets(reps)
     crowded = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
-    members = written(native.join_split(buckets, crowded, "key", "n").select("key", "id", "least", "n"))
+    members = scratch.written(native.join_split(buckets, crowded, "key", "n").select("key", "id", "least"))
     # each representative meets the least member of its buckets that it meets most often
     star = members.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("bands"))
     star = star.groupBy("id").agg(F.min(F.struct((-F.col("bands")).alias("fewer"), "least")).alias("best")).select(F.col("best.least").alias("a"), F.col("id").alias("b"))
     involved = members.select("id").distinct()
-    sig_of = written(reps.join(involved, "id", "left_semi").select("id", "n_shingles", "sig"))
+    sig_of = scratch.written(reps.join(involved, "id", "left_semi").select("id", "n_shingles", "sig"))
     # the ids grow with the corpus, so they are not left to a broadcast at small sizes
     holders = own.filter(F.col("_text").rlike(native.WORD)).join(sig_of.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
-    texts = written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
-    links = written(confirm(_estimated(star, sig_of, least_estimate(percent / 100)), texts, shingle, percent))
-    comps = connected_components(links)
-    labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    open_members = _dealt_again(native.join_split(labelled, split, "key", "size").select("key", "id", "n", "comp"), reps).join(sig_of, "id")
-    loose = written(open_members.groupBy("key").applyInArrow(_loose(percent), "a long, b long").distinct())
+    texts = scratch.written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
+    links = scratch.written(confirm(_estimated(scratch.written(star), sig_of, least_estimate(percent / 100)), texts, shingle, percent))
+    comps = connected_components(links, scratch)
+    labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    still_open = _dealt(_open(labelled, "key").join(sig_of, "id"), "key", ["n_shingles", "sig"])
+    loose = scratch.written(still_open.groupBy("key", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct())
     if not loose.isEmpty():
-        groups = connected_components(loose).select(F.col("node").alias("id"), F.col("component").alias("loose"))
+        groups = connected_components(loose, scratch).select(F.col("node").alias("id"), F.col("component").alias("loose"))
         labelled = groups.join(comps.withColumnRenamed("node", "id"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
-        more = _blocks(labelled).join(texts, "id").groupBy("group").applyInArrow(_exact(shingle, percent), "a long, b long")
-        comps = connected_components(links.unionByName(more))
-    classes = reps.select("fp", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+        near = _dealt(_open(labelled, "loose").join(texts, "id"), "loose", ["_text"])
+        more = scratch.written(near.groupBy("loose", "i", "j").applyInArrow(_exact(shingle, percent), "a long, b long"))
+        comps = connected_components(links.unionByName(more), scratch)
+    classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component"))
     # a class can hold the least id of its component only through its representative
-    out = sigs.select("_id", "n_shingles", "fp").join(classes, "fp", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("_id")))
-    named = lambda c: F.when(F.col(c) != lowest, F.col(c))
-    return out.select(named("_id").alias(id_col), "n_shingles", named("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
+    placed = native.join_split(sigs.filter("n_shingles > 0").select("_id", "n_shingles", "fp"), classes, "fp", "copies").select("_id", "n_shingles", "component")
+    out = placed.unionByName(sigs.filter("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component")))
+    named = lambda c: F.when(F.col(c) >= -(1 << 62), F.col(c))
+    out = written(out.select(named("_id").alias(id_col), "n_shingles", named("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept")))
+    scratch.drop()
+    return out
 
 
 def _estimated(pairs: DataFrame, sig_of: DataFrame, least: float) -> DataFrame:
     """The pairs whose signatures allow a similarity of the threshold."""
-    a = sig_of.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    b = sig_of.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    joined = _spread(pairs, sig_of, ["sig"])
 
     def rows(batches):
         for batch in batches:
@@ -328,10 +364,15 @@ def _estimated(pairs: DataFrame, sig_of: DataFrame, least: float) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, repeated rows once, with all their columns.
 
-    Documents without shingles are all kept.
+    Documents without shingles are all kept. Of documents without an id, which no id tells
+    apart, each distinct text stays. Only rows of ids that occur more than once are compared
+    as rows; others are joined with the list of ids that go or repeat.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = found.filter(~F.col("kept")).select(native.quoted(id_col).alias("_gone_id")).distinct()
-    text_hash = F.xxhash64(native.quoted(text_col))
-    left = docs.withColumn("_text_hash", text_hash).join(gone, native.quoted(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
-    return left.dropDuplicates([id_col, "_text_hash"]).select(*(native.quoted(c) for c in docs.columns))
+    found = near_duplicates(docs, id_col, text_col, shingle, percent).filter(native.quoted(id_col).isNotNull())
+    verdict, times, keeps, own_th = native.fresh(docs.columns, "_verdict_id", "_times", "_keeps", "_text_hash")
+    special = found.groupBy(native.quoted(id_col).alias(verdict)).agg(F.count(F.lit(1)).alias(times), F.min("kept").alias(keeps)).filter(f"{times} > 1 OR NOT {keeps}")
+    marked = docs.join(special, native.quoted(id_col) == F.col(verdict), "left")
+    columns = [native.quoted(c) for c in docs.columns]
+    several = marked.filter(F.col(keeps) | native.quoted(id_col).isNull()).withColumn(own_th, F.xxhash64(native.quoted(text_col)))
+    single = marked.filter(F.col(verdict).isNull() & native.quoted(id_col).isNotNull())
+    return single.select(*columns).unionByName(several.dropDuplicates([id_col, own_th]).select(*columns))

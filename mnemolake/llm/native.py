@@ -33,6 +33,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_number(df: DataFrame, name: str) -> Column:
+    """A column of whole numbers as long; others are refused."""
+    kind = df.select(quoted(name)).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} must hold whole numbers, not {kind}")
+    return quoted(name).cast("long")
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each led by as many underscores as keep it apart from the columns in any case."""
     taken, out = {c.lower() for c in columns}, []

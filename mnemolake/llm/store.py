@@ -11,10 +11,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: that of ``spark.checkpoint.dir``, or else one beside the warehouse."""
+    """The session's checkpoint folder: that of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one beside its warehouse; a cluster has to name one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -25,14 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` computed once and kept in the shared folder as Parquet, for large tables.
 
     Shuffle files that served only to make it go as soon as it stands, not when the driver
     next collects its garbage: what comes after reads the table.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -40,3 +47,21 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one query, deleted when it no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}.parquet"
+        self.tables.append(written(df, path))
+        return self.tables[-1]
+
+    def drop(self, table: DataFrame | None = None) -> None:
+        """Delete one table, or all."""
+        place = "" if table is None else f"/{next(k for k, t in enumerate(self.tables) if t is table)}.parquet"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder + place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ import pytest
 
 from mnemolake.llm import minhash_dedup as M
 from mnemolake.llm.components import connected_components
+from mnemolake.llm.store import Scratch
 from tests.llm.common import documents, sample, words
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -68,6 +69,58 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     test_chains_and_large_groups(spark, 80, 4)
 
 
+@pytest.mark.parametrize("split", [2, 7, 1000])
+def test_every_member_outside_the_largest_component_meets_all(spark, monkeypatch, split):
+    """Each pair of a bucket that two components share is compared, even if it shares no other bucket."""
+    monkeypatch.setattr(M, "SPLIT", split)
+    rng = random.Random(split)
+    rows = [(key, 100 * key + k, 100 * key + min(rng.randrange(9), k)) for key in range(4) for k in range(1 + 13 * key)]
+    dealt = M._dealt(M._open(spark.createDataFrame(rows, "key long, id long, comp long"), "key"), "key", []).collect()
+    met, groups = set(), {}
+    for r in dealt:
+        groups.setdefault((r.key, r.i, r.j), []).append(r)
+    for g in groups.values():
+        others = g if g[0].alone else [r for r in g if not r.moves]
+        met |= {frozenset((x.id, y.id)) for x in g if x.moves for y in others if x.comp != y.comp}
+    assert met == {frozenset((x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]}
+    if split > 100:
+        assert len(groups) == 3
+
+
+def test_pairs_of_a_frequent_end(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPLIT", 4)
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "id long, x string")
+    pairs = {(0, k) for k in range(1, 30)} | {(5, 6), (5, 7)}
+    got = M._spread(spark.createDataFrame(sorted(pairs), "a long, b long"), table, ["x"]).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, f"t{a}", f"t{b}") for a, b in pairs)
+
+
+def test_rows_without_an_id(spark):
+    texts = ["a b c d e f", "a b c d e f", "x y z w v", "p q r s t u", None]
+    got = sorted(map(tuple, M.near_duplicates(documents(spark, texts, ids=[None, 3, None, 4, None])).collect()), key=str)
+    assert got == sorted([(None, 3, None, True), (3, 3, None, False), (None, 2, None, True), (4, 3, 4, True), (None, 0, None, True)], key=str)
+    with pytest.raises(TypeError):
+        M.near_duplicates(documents(spark, ["a"]).selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
+def test_one_of_each_keeps_columns_and_repeats_once(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = documents(spark, [long, long + " x", "a b", "a b", "c", None, None], ids=[1, 2, 3, 3, None, 6, None]).selectExpr("*", "1 AS _times", "2 AS _keeps", "3 AS _text_hash", "4 AS _gone_id")
+    out = M.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, long), (3, "a b"), (None, "c"), (6, None), (None, None)], key=str)
+
+
+def test_tables_go_at_the_end(spark):
+    scratch = Scratch(spark)
+    a, b = scratch.written(spark.range(3)), scratch.written(spark.range(4))
+    scratch.drop(a)
+    assert b.count() == 4
+    scratch.drop()
+    with pytest.raises(Exception):
+        b.count()
+
+
 def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(200000))
     docs = documents(spark, [None, "", " \n", "A b", "a B", "a b c", "a b c", long, long + " y", "a b c d e"], ids=[1, 2, 3, 4, 5, 6, 6, 8, 7, None])
@@ -98,10 +151,10 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in root if x not in loops}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def test_shingle_sets_over_slices():
