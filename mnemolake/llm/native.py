@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of the texts of one group of documents that a Python worker holds at once, about.
+GROUP_BYTES = 32 << 20
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -41,6 +43,12 @@ def whole_number(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("long")
 
 
+def groups_by_bytes(df: DataFrame, text: str, partitions: int | None = None) -> tuple[int, int]:
+    """(groups to deal rows to, bytes of their texts): two for each shuffle partition, more where they would be over GROUP_BYTES."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(2 * (partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-size // GROUP_BYTES)), size
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each led by as many underscores as keep it apart from the columns in any case."""
     taken, out = {c.lower() for c in columns}, []

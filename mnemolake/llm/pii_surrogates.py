@@ -3,12 +3,14 @@
 Entities are found by one pattern for each kind. An entity's canonical form (digits of a
 phone number, lower-case mail parts, one name token) gets a candidate from SHA-512 of the
 key, kind, form and attempt, in the shape of the form: digits for digits, letters for
-letters of the same script, card check digits that hold if they held. Distinct forms are then
+letters of the same script, card check digits that hold if they held, endings of surnames
+that tell gender as they are. Distinct forms are then
 checked globally: of the forms that drew one candidate, or a candidate that is itself a form
 in the data, all but the least draw again. Given names take the next of their list of one
-gender and script in an order by the key, so no two share one and none stays. The table of forms goes back to its places by a join, so one person is
-one surrogate in every document, and the surrogate takes the case and separators of each
-mention.
+gender and script in an order by the key, so no two share one and none stays. Distinct
+names so get distinct surrogates, as each of their words does. The table of forms goes back
+to its places by a join, so one person is one surrogate in every document, and the surrogate
+takes the case and separators of each mention.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import native
-from .store import checkpoint
+from .store import checkpoint, written
 
 #: Given names by gender and script; a name's surrogate comes from its own list.
 GIVEN = {
@@ -44,6 +46,8 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these hold no entity; it is cheaper to look for than PATTERN.
 HINT = f"@|[0-9]{{3}}|[0-9]\\.[0-9]|(?<!\\p{{L}})(?:{_TITLES}|{_ANY_GIVEN})(?!\\p{{L}})"
+#: Endings of surnames that differ between women and men.
+GENDERED = "(?<=\\p{L})(?:[оеё]ва|[оеё]в|ина|ин|ская|ский|ской|цкая|цкий|ová|ova|eva|ov|ev|ska|ski|skaya|sky)$"
 MAX_ATTEMPTS = 64
 _LATIN_CONSONANTS, _LATIN_VOWELS = "bcdfghjklmnprstvwz", "aeiou"
 _CYRILLIC_CONSONANTS, _CYRILLIC_VOWELS = "бвгджзклмнпрстфхцчш", "аеиоуыэюя"
@@ -107,9 +111,12 @@ def given_surrogates(key: str) -> dict[str, dict[str, str]]:
 def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     """A surrogate of a canonical form, of its kind, length (names and addresses of hosts aside) and shape.
 
-    Surnames and parts of mail addresses get longer by a letter with every second attempt if
-    they have one or two characters, with every eighth if more, as few others are that short.
+    Surnames keep an ending that tells gender. Surnames and parts of mail addresses get longer
+    by a letter with every second attempt if they have one or two characters besides, with
+    every eighth if more, as few others are that short.
     """
+    ending = F.when(kind == "surname", F.regexp_extract(form, GENDERED, 0)).otherwise(F.lit(""))
+    form = F.substr(form, F.lit(1), F.char_length(form) - F.char_length(ending))
     step = F.when(F.char_length(form) < 3, F.lit(2)).otherwise(F.lit(8))
     more = F.when(kind == "surname", F.substring(form, -1, 1)).otherwise(F.lit("a"))
     form = F.when(kind.isin("surname", "mail_user", "mail_host"), F.concat(form, F.repeat(more, F.floor(attempt / step).cast("int")))).otherwise(form)
@@ -139,7 +146,7 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     for name, following in given_surrogates(key).items():
         place = F.array_position(F.array(*map(F.lit, following)), form).cast("int")
         out = out.when(kind == name, F.get(F.array(*map(F.lit, following.values())), place - 1))
-    return out.otherwise(any_shape)
+    return out.otherwise(F.concat(any_shape, ending))
 
 
 def assign_surrogates(forms: DataFrame, key: str) -> DataFrame:
@@ -191,27 +198,33 @@ def replace_pii(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_
     rows with one id and different texts are told apart by a hash of the text. Null ids are
     served like others. The same key gives the same surrogates as long as no form that it
     collides with comes or goes. A column named ``n_entities`` is replaced; the order of the
-    others stays. Only documents with an entity are shuffled with their texts.
+    others stays. An empty table gives no rows.
+
+    The texts are searched once: the table is written with what was found, and read from
+    there. Only documents with an entity are shuffled with their texts; the entities of one
+    document, however long, come together in one row.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
+    own_found, own_th, part_id, part_th, pieces_of, times = native.fresh(columns, "_found", "_hit_th", "_pii_id", "_pii_th", "_pii_all", "_pii_n")
     text = native.quoted(text_col)
-    has = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
-    marked = docs.select(*(native.quoted(c) for c in columns))
-    hit, clean = marked.filter(has), marked.filter(~has)
-    entities = hit.select(native.quoted(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_found")).distinct()
+    none = F.array().cast("array<string>")
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    marked = written(docs.select(*(native.quoted(c) for c in columns), found.alias(own_found)))
+    hit, clean = marked.filter(F.size(own_found) > 0), marked.filter(F.size(own_found) == 0)
+    entities = hit.select(native.quoted(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.col(own_found).alias("_found")).distinct()
     entities = entities.select("_id", "_th", F.posexplode("_found").alias("_at", "_value"))
     pieces = entities.select("_id", "_th", "_at", F.posexplode(_parts(_kind(F.col("_value")), F.col("_value"))).alias("_part", "_piece"))
     form = _canonical(F.col("_piece.kind"), F.col("_piece.text")).alias("form")
-    pieces = checkpoint(pieces.select("_id", "_th", "_at", "_part", "_piece.kind", "_piece.text", "_piece.masked", form))
+    pieces = written(pieces.select("_id", "_th", "_at", "_part", "_piece.kind", "_piece.text", "_piece.masked", form))
     forms = pieces.filter("masked AND form <> ''").select("kind", "form").distinct()
     table = assign_surrogates(forms, key)
     filled = pieces.join(table, ["kind", "form"], "left")
     value = F.when(F.col("surrogate").isNull(), F.col("text")).otherwise(_poured(F.col("text"), F.col("surrogate"), F.col("kind")))
     # an entity's pieces, then a document's entities, in order; both are bounded by the document
     parts = filled.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("_at", "_part", value.alias("value")))).alias("_all"), F.max("_at").alias("_last"))
-    parts = parts.select(F.col("_id").alias("_pii_id"), F.col("_th").alias("_pii_th"), "_all", (F.col("_last") + 1).cast("long").alias("_n"))
-    rebuilt = hit.withColumn("_hit_th", F.xxhash64(text)).join(parts, native.quoted(id_col).eqNullSafe(F.col("_pii_id")) & (F.col("_hit_th") == F.col("_pii_th")))
+    parts = parts.select(F.col("_id").alias(part_id), F.col("_th").alias(part_th), F.col("_all").alias(pieces_of), (F.col("_last") + 1).cast("long").alias(times))
+    rebuilt = hit.withColumn(own_th, F.xxhash64(text)).join(parts, native.quoted(id_col).eqNullSafe(F.col(part_id)) & (F.col(own_th) == F.col(part_th)))
     gaps = F.transform(F.split(text, PATTERN, -1), lambda g, i: F.struct(i.alias("_at"), F.lit(-1).alias("_part"), g.alias("value")))
-    joined = F.array_join(F.transform(F.sort_array(F.concat(gaps, "_all")), lambda x: x["value"]), "")
-    done = rebuilt.select(*(joined.alias(c) if c == text_col else native.quoted(c) for c in columns), F.col("_n").alias("n_entities"))
-    return done.unionByName(clean.withColumn("n_entities", F.lit(0).cast("long")))
+    joined = F.array_join(F.transform(F.sort_array(F.concat(gaps, pieces_of)), lambda x: x["value"]), "")
+    done = rebuilt.select(*(joined.alias(c) if c == text_col else native.quoted(c) for c in columns), F.col(times).alias("n_entities"))
+    return done.unionByName(clean.select(*(native.quoted(c) for c in columns), F.lit(0).cast("long").alias("n_entities")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,20 +33,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def freeing(spark: SparkSession):
+    """Shuffle files of the queries run within go at each query's end, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` computed once and kept in the shared folder as Parquet, for large tables.
 
-    Shuffle files that served only to make it go as soon as it stands, not when the driver
-    next collects its garbage: what comes after reads the table.
+    Shuffle files that served only to make it go as soon as it stands: what comes after reads the table.
     """
     spark = df.sparkSession
     path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with freeing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

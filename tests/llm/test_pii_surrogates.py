@@ -1,5 +1,8 @@
+import hashlib
 import re
 
+import regex
+
 from mnemolake.llm import pii_surrogates as P
 from tests.llm.common import documents, sample
 
@@ -83,10 +86,121 @@ def test_given_names_and_short_forms_are_held_apart(spark):
     assert all(set(a.split()).isdisjoint(b.split()) for a, b in zip(names, people))
 
 
+# Brute force: one loop over texts, one dictionary of forms, with the documented draw.
+PYTHON = regex.compile(P.PATTERN.replace("\\p{IsCyrillic}", "\\p{Cyrillic}"))
+VOWELS = {True: ("бвгджзклмнпрстфхцчш", "аеиоуыэюя"), False: ("bcdfghjklmnprstvwz", "aeiou")}
+
+
+def draw(key, kind, form, attempt):
+    for name, members in P.GIVEN.items():
+        if kind == name:
+            return P.given_surrogates(key)[kind][form]
+    ending = (regex.search(P.GENDERED, form) or [""])[0] if kind == "surname" else ""
+    body = form[: len(form) - len(ending)]
+    if kind in ("surname", "mail_user", "mail_host"):
+        body += (body[-1] if kind == "surname" else "a") * (attempt // (2 if len(body) < 3 else 8))
+    digest = hashlib.sha512("\x1f".join([key, kind, body, str(attempt)]).encode()).hexdigest()
+    value = lambda i: int(digest[2 * (i % 60) :][:4], 16)
+
+    def shaped(c, i):
+        if c in "0123456789":
+            return str(value(i) % 10)
+        if not regex.match(r"\p{L}", c):
+            return c
+        letters = VOWELS[bool(regex.match(r"\p{Cyrillic}", c))][i % 2]
+        out = letters[value(i) % len(letters)]
+        return out.upper() if regex.match(r"\p{Lu}", c) else out
+
+    every = lambda x: "".join(shaped(c, i) for i, c in enumerate(x))
+    if kind == "card":
+        out = body[0] + every(body[1:])
+        return next(out[:-1] + str(d) for d in range(10) if luhn(out[:-1] + str(d))) if luhn(body) else out
+    if kind == "iban":
+        return body[:2] + every(body[2:])
+    if kind == "ip":
+        return ".".join(str(value(2 * i) % 254 + 1) for i in range(4))
+    return every(body) + ending
+
+
+def pieces(value):
+    """(kind, text, masked) of an entity's parts."""
+    kind = next(k for k, p in P.KINDS.items() if regex.fullmatch(p, value))
+    if kind == "name":
+        title = (regex.match(f"(?:{P._TITLES})\\.?\\x20", value) or [""])[0]
+        out = [("title", title, False)]
+        for i, t in enumerate(value[len(title) :].split(" ")):
+            out += [("space", " " if i else "", False), (next((n for n, m in P.GIVEN.items() if t in m), "surname"), t, True)]
+        return out
+    if kind == "email":
+        user, _, rest = value.partition("@")
+        host, _, tld = rest.rpartition(".")
+        return [("mail_user", user, True), ("at", "@", False), ("mail_host", host, True), ("tld", "." + tld, False)]
+    if kind == "phone":
+        country = (re.match(r"\+[0-9]{1,3}[ .-]?", value) or [""])[0]
+        return [("country", country, False), ("phone", value[len(country) :], True)]
+    return [(kind, value, True)]
+
+
+def canonical(kind, text):
+    if kind in ("phone", "ssn", "card"):
+        return re.sub("[^0-9]", "", text)
+    return text.replace(" ", "") if kind == "iban" else text.lower() if kind in ("mail_user", "mail_host") else text
+
+
+def poured(kind, text, s):
+    if kind in ("phone", "ssn", "card", "iban"):
+        own = iter(s)
+        return "".join(next(own) if re.match("[0-9A-Z]", c) else c for c in text)
+    if kind in ("mail_user", "mail_host") and len(s) == len(text):
+        return "".join(a.upper() if re.match("[A-Z]", b) else a for a, b in zip(s, text))
+    return s
+
+
+def brute(texts, key="surrogate-key"):
+    found = [list(PYTHON.finditer(t)) if t else [] for t in texts]
+    forms = {(k, canonical(k, t)) for ms in found for m in ms for k, t, masked in pieces(m[0]) if masked and canonical(k, t)}
+    listed = {n for names in P.GIVEN.values() for n in names}
+    taken, out, pending = {f for f in forms if f[0] not in P.GIVEN}, {f: draw(key, *f, 0) for f in forms if f[0] in P.GIVEN}, sorted(f for f in forms if f[0] not in P.GIVEN)
+    for attempt in range(P.MAX_ATTEMPTS):
+        best = {}
+        for kind, form in pending:
+            s = draw(key, kind, form, attempt)
+            if (kind, s) not in taken and not (kind == "surname" and s in listed):
+                best.setdefault((kind, s), form)
+        out |= {(kind, form): s for (kind, s), form in best.items()}
+        taken |= set(best)
+        pending = [f for f in pending if f not in out]
+    assert not pending
+    done = []
+    for t, ms in zip(texts, found):
+        at, parts = 0, []
+        for m in ms:
+            parts += [t[at : m.start()], *(poured(k, x, out[k, canonical(k, x)]) if masked and canonical(k, x) else x for k, x, masked in pieces(m[0]))]
+            at = m.end()
+        done.append((None if t is None else "".join([*parts, t[at:]]), len(ms)))
+    return done, out
+
+
+def test_against_brute_force(spark):
+    texts = [r.text for r in sample(spark, "sf0.01").orderBy("doc_id").collect()]
+    texts += [f"{t} {g} {s} and {g} {s}-Li; {g.lower()}@{s.lower()}.org, +49 {k}21 555 {1000 + k}, 4{k:03d}111111111111" for k, (t, g, s) in enumerate(
+        (t, g, s) for t in ("Mr.", "Frau", "Señora") for names in P.GIVEN.values() for g in names[:6] for s in ("Li", "Иванова", "Petrov", "Bell", "Wu"))]
+    rows = P.replace_pii(documents(spark, texts)).orderBy("doc_id").collect()
+    want, table = brute(texts)
+    assert [(r.text, r.n_entities) for r in rows] == want
+    assert len({(k, s) for (k, _), s in table.items()}) == len(table) and not any(f == s for (_, f), s in table.items())
+
+
+def test_surnames_keep_gender(spark):
+    forms = ["Иванова", "Иванов", "Петровский", "Петровская", "Smith", "Novákova"]
+    got = {r.form: r.surrogate for r in P.assign_surrogates(spark.createDataFrame([("surname", f) for f in forms], "kind string, form string"), "k").collect()}
+    assert all(got[f].endswith(e) and got[f] != f for f, e in zip(forms, ("ова", "ов", "ский", "ская", "", "ova")))
+
+
 def test_edges(spark):
-    docs = documents(spark, ["a@b.co x", "a@b.co x", "a@b.co y", "z " * 50000 + "a@b.co"], ids=[None, 1, 1, 2]).selectExpr("*", "1 AS n_entities", "2 AS kind", "3 AS form")
+    docs = documents(spark, ["a@b.co x", "a@b.co x", "a@b.co y", "z " * 50000 + "a@b.co"], ids=[None, 1, 1, 2]).selectExpr("*", "1 AS n_entities", "2 AS kind", "3 AS form", "4 AS _found", "5 AS _hit_th", "6 AS _pii_id", "7 AS _pii_all")
     out = P.replace_pii(docs)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "kind", "form", "n_entities"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "kind", "form", "_found", "_hit_th", "_pii_id", "_pii_all", "n_entities"]
     rows = out.collect()
     assert len(rows) == 4 and all(r.n_entities == 1 and "a@b.co" not in r.text for r in rows)
     assert P.replace_pii(documents(spark, [])).count() == 0
