@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import native, words
 
 #: (period, cover): every difference modulo the period is that of two members.
 COVERS = ((1, (0,)), (3, (0, 1)), (7, (0, 1, 3)), (13, (0, 1, 3, 9)), (21, (0, 1, 4, 14, 16)))
@@ -145,11 +145,6 @@ def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def _parts(df: DataFrame, partitions: int | None) -> tuple[int, int]:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 2 * n, n
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, partitions: int | None = None) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller id.
 
@@ -157,16 +152,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words joined by one space). Windows are ``window`` consecutive words of one document,
     compared by 64-bit hashes and judged on the input. A null text has no words; a null id
     counts as the smallest; rows with one id are one document, and do not remove from each
-    other. An empty table gives no rows. Other columns are not read.
+    other. Ids are whole numbers. An empty table gives no rows; a very long text is a group
+    of its own. Other columns are not read.
 
-    ``partitions`` (default: the shuffle partitions) sets the groups of documents, twice
-    as many: a group's texts must fit into a Python worker several times over.
+    Documents are dealt to groups of about GROUP_BYTES of text, at least two for each of
+    ``partitions`` (default: the shuffle partitions); a Python worker holds one group several
+    times over, or one bucket of the hashes of about four groups.
     """
     v, cover, m = choose_cover(window)
-    groups, buckets = _parts(docs, partitions)
-    dealt = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).select(
-        F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int").alias("group"), "_id", "_text"
-    )
+    own = docs.select(native.whole_number(docs, id_col).alias("_id"), native.quoted(text_col).alias("_text"))
+    groups, _ = native.groups_by_bytes(own, "_text", partitions)
+    buckets = max(partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 4)
+    dealt = own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int").alias("group"), "_id", "_text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -260,5 +257,3 @@ _SENT = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("hashes", pa.
 _SENT_WINDOWS = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("hashes", pa.binary()), ("low", pa.int64()), ("width", pa.int32()), ("owners", pa.binary())])
 _ANSWER = pa.schema([("group", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 _RESULT = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-
-
