@@ -6,7 +6,8 @@ one threshold serves all. The search is block-max WAND over arrays: items lie in
 the commonest terms of a block are passed over as long as no item gets more than SLACK
 from them all, and postings of the other terms carry the largest impact in the block.
 Only (passage, block) pairs whose sum of these can still reach the threshold are scored
-in full. A retrieved item counts as a leak if runs of its question and of its answer both
+in full. The bounds of all pairs are summed by arrays, in place of moving from pivot to
+pivot one passage after another; the result is that of the full scores. A retrieved item counts as a leak if runs of its question and of its answer both
 stand in the passage.
 
 Items are dealt to classes by length, up to LONGEST terms, twice that, and so on. A class's
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import native, words
+from .store import written
 
 THRESHOLD = 0.6
 SLACK = 0.37
@@ -76,22 +78,54 @@ def _answer_start(text: str, n: int) -> int:
     return n - max(1, n // 3)
 
 
-def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
-    """The indexes of (id, text) items, one for each class of lengths, with weights by all items; those without a term are left out."""
+@dataclass
+class Statistics:
+    """Of all items with a term: their lengths, and the number of items that hold each of some terms (sorted hashes)."""
+
+    n: int
+    mean: float
+    longest: dict[int, int]  # of each class
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def _terms(text: str) -> np.ndarray:
+    data = (text or "").encode()
+    return words.of_bytes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True, True).hashes
+
+
+def local_statistics(items: list[tuple[int, str]]) -> Statistics:
+    """Those of a list of (id, text) items."""
+    parts = [h for h in (_terms(text) for _, text in items) if len(h)]
+    terms, df = np.unique(np.concatenate([np.unique(h) for h in parts]) if parts else np.zeros(0, np.uint64), return_counts=True)
+    longest: dict[int, int] = {}
+    for h in parts:
+        longest[class_of(len(h))] = max(len(h), longest.get(class_of(len(h)), 0))
+    return Statistics(len(parts), sum(map(len, parts)) / max(len(parts), 1), longest, terms, df)
+
+
+def class_of(length: int) -> int:
+    """The class of an item of so many terms: 0 up to LONGEST, 1 up to twice that, and so on."""
+    return (-(-length // LONGEST) - 1).bit_length()
+
+
+def build_indexes(items: list[tuple[int, str]], all_items: Statistics | None = None) -> list[Index]:
+    """The indexes of (id, text) items, one for each class of lengths; those without a term are left out.
+
+    Weights follow ``all_items``, which covers at least the terms of ``items``; default: these are all.
+    """
     parts, ids, halves = [], [], []
     for item, text in sorted(items):
-        data = (text or "").encode()
-        h = words.of_bytes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True, True).hashes
+        h = _terms(text)
         if not len(h):
             continue
         cut = _answer_start(text, len(h))
         parts.append(h)
         ids.append(item)
         halves.append((_runs(h[:cut]) or _runs(h), _runs(h[cut:])))
-    n = len(parts)
-    mean = sum(map(len, parts)) / max(n, 1)
+    all_items = all_items or local_statistics(items)
+    n, mean, terms, df = all_items.n, all_items.mean, all_items.terms, all_items.df
     counted = [np.unique(p, return_counts=True) for p in parts]
-    terms, df = np.unique(np.concatenate([t for t, _ in counted]) if counted else np.zeros(0, np.uint64), return_counts=True)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     impacts, entries = [], []
     for k, (t, tf) in enumerate(counted):
@@ -102,14 +136,14 @@ def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
         entries.append((at, weight))
     classes: dict[int, list[int]] = {}
     for k, p in enumerate(parts):
-        classes.setdefault((-(-len(p) // LONGEST) - 1).bit_length(), []).append(k)
+        classes.setdefault(class_of(len(p)), []).append(k)
     out = []
-    for _, own in sorted(classes.items()):
+    for c, own in sorted(classes.items()):
         keys, most = _postings([entries[k] for k in own], df)
         owner = np.array([t for t, _ in keys], np.int64)
         out.append(Index(
             [ids[k] for k in own], terms, np.searchsorted(owner, np.arange(len(terms) + 1)), np.array([b for _, b in keys], np.int64), np.array(most, np.float64),
-            [impacts[k] for k in own], [halves[k][0] for k in own], [halves[k][1] for k in own], max(len(parts[k]) for k in own),
+            [impacts[k] for k in own], [halves[k][0] for k in own], [halves[k][1] for k in own], all_items.longest[c],
         ))
     return out
 
@@ -204,22 +238,54 @@ def _runs_as(h: np.ndarray, runs: set) -> set:
     return {x for n in range(1, RUN + 1) for x in words.window_hashes(h, n).tolist()}
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """h, n: the distinct terms of every item, and its number of terms with one of them (the others have 0)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in words.slices(batch.column(0), lower=True, terms=True):
+                for j, count in enumerate(w.counts):
+                    if count:
+                        h = np.unique(w.hashes[w.first[j] : w.first[j + 1]])
+                        n = np.zeros(len(h), np.int64)
+                        n[0] = count
+                        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return items.select("t").mapInArrow(rows, "h long, n long")
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
-    """The classes' indexes of at most about INDEX_BYTES of item texts each time, which together hold every item."""
-    items = benchmark.select(native.quoted(id_col).cast("long").alias("item"), native.quoted(text_col).alias("t")).filter("item IS NOT NULL AND t IS NOT NULL")
+    """The classes' indexes of at most about INDEX_BYTES of item texts each time, which together hold every item.
+
+    Weights are by all items, counted before, so a score does not depend on how they are dealt.
+    """
+    items = benchmark.select(native.whole_number(benchmark, id_col).alias("item"), native.quoted(text_col).alias("t")).filter("item IS NOT NULL AND t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // INDEX_BYTES))
+    found = written(_item_terms(items))
+    counts = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("df")))
+    # a row for each class: the class is that of the length, a logarithm
+    by_class = found.filter("n > 0").groupBy(F.length(F.bin(F.ceil(F.col("n") / LONGEST) - 1)).alias("digits"), (F.col("n") > LONGEST).alias("beyond"))
+    lengths = by_class.agg(F.max("n").alias("longest"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("items")).collect()
+    number, length = sum(r["items"] for r in lengths), sum(r["total"] for r in lengths)
+    longest = {class_of(r["longest"]): r["longest"] for r in lengths}
     for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield build_indexes([(r.item, r.t) for r in part.collect()])
+        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        known = counts.join(_item_terms(part).select("h").distinct(), "h", "left_semi").select("h", "df").toArrow()
+        terms = known.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        own = Statistics(number, length / max(number, 1), longest, terms[order], known.column("df").to_numpy()[order])
+        yield build_indexes([(r.item, r.t) for r in part.collect()], own)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that leaked into it: the id, item_id, score, question_overlap, answer_overlap, contaminated (true).
 
     Terms are lower-cased (A-Z) runs of letters and digits. Null and empty texts and items
-    match nothing; items of one id count as one. Rows with one id give a row each; null ids
-    stay null. An empty benchmark or table gives no rows. Other columns are not read.
+    match nothing; repeated items count once, and texts of one item id give one row, the best.
+    Rows with one id give a row each; null ids stay null. A very long text is searched whole,
+    passage by passage; a very long item has an index and passages of its length. An empty
+    benchmark or table gives no rows. Other columns are not read.
     """
     own = docs.select(native.quoted(id_col).alias("_id"), native.quoted(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()

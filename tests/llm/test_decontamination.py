@@ -62,7 +62,7 @@ def test_sample(spark):
     assert D.remove_leaks(docs, bench).count() == len(rows) - len({d for d, _ in got})
 
 
-def test_random_passages_near_the_threshold(spark):
+def test_random_passages_near_the_threshold(spark, monkeypatch):
     rng = random.Random(2)
     word = lambda: f"t{int(rng.paretovariate(0.7)) % 3000}"
     items = [(k, " ".join(word() for _ in range(rng.randrange(4, 40))) + ". " + " ".join(word() for _ in range(rng.randrange(1, 8)))) for k in range(150)]
@@ -78,6 +78,9 @@ def test_random_passages_near_the_threshold(spark):
     got = result(D.find_leaks(documents(spark, texts), bench))
     same(got, brute(list(enumerate(texts)), items))
     assert len(got) > 50
+    monkeypatch.setattr(D, "INDEX_BYTES", 5000)  # in several indexes, with the same scores
+    assert len(list(D.indexes(bench))) >= 3
+    same(result(D.find_leaks(documents(spark, texts), bench)), got)
 
 
 def test_edges(spark, monkeypatch):
