@@ -37,7 +37,7 @@ from .store import checkpoint, freeing
 FREQUENT, SLOTS, TAIL, DIGITS = 16, 64, 16, 32
 CLASSES = FREQUENT + TAIL
 #: Tokens of the vocabulary that share a leaf, about; at most so many digits, which bounds what the driver holds.
-LEAF, MOST_LEVELS = 64, 3
+LEAF, MOST_LEVELS = 2048, 3
 #: Bits of the number of weight rows of each kind of choice: half of those of the training tokens, and one, within these bounds.
 LEAST_BITS, MOST_BITS = 8, 17
 ROUNDS = 2

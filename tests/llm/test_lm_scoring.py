@@ -153,7 +153,7 @@ def test_rounds_raise_the_likelihood():
 
 def test_model_grows_with_the_corpus():
     assert L.sizes_for(0, 0) == (1, L.LEAST_BITS) and L.sizes_for(10**10, 10**9) == (3, 17) and L.sizes_for(10**15, 10**11) == (3, L.MOST_BITS)
-    assert L.sizes_for(72 * 10**6, 10**6) == (2, 14)
+    assert L.sizes_for(72 * 10**6, 10**6) == (1, 14)
 
 
 def test_contexts_stay_within_a_text():
