@@ -14,17 +14,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps: each step points a node's neighbours at its
     least neighbour, so the diameter halves about every round. Nodes of the most neighbours
-    are joined by broadcast of their least neighbour, so that no hub's edges meet in one task.
+    are joined by broadcast of their least neighbour, so that no hub's edges meet in one task;
+    towards lesser neighbours there are no hubs. The other joins are not left to broadcasts,
+    as the driver would hold one for each round.
     Ends when every node has one lesser neighbour, which has none. Each round's table takes
     the place of the one before.
     """
     pairs = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while not pairs.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or _several(pairs):
+    while not pairs.join(pairs.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty() or _several(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = native.join_split(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = native.join_split(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         before, pairs = pairs, scratch.written(small)
         scratch.drop(before)
     roots = pairs.select(F.col("v").alias("node")).distinct()

@@ -161,9 +161,9 @@ def _spread(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
     dealt = native.join_split(pairs, sizes, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     left = table.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    left = left.join(sizes, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    left = left.join(sizes.hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     right = table.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    return dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", *(f"a_{c}" for c in columns), *(f"b_{c}" for c in columns))
+    return dealt.join(left.hint("merge"), ["a", "part"]).join(right.hint("merge"), "b").select("a", "b", *(f"a_{c}" for c in columns), *(f"b_{c}" for c in columns))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -329,16 +329,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
     links = scratch.written(confirm(_estimated(scratch.written(star), sig_of, least_estimate(percent / 100)), texts, shingle, percent))
     comps = connected_components(links, scratch)
-    labelled = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    still_open = _dealt(_open(labelled, "key").join(sig_of, "id"), "key", ["n_shingles", "sig"])
+    labelled = members.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    still_open = _dealt(_open(labelled, "key").join(sig_of.hint("merge"), "id"), "key", ["n_shingles", "sig"])
     loose = scratch.written(still_open.groupBy("key", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct())
     if not loose.isEmpty():
         groups = connected_components(loose, scratch).select(F.col("node").alias("id"), F.col("component").alias("loose"))
-        labelled = groups.join(comps.withColumnRenamed("node", "id"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
-        near = _dealt(_open(labelled, "loose").join(texts, "id"), "loose", ["_text"])
+        labelled = groups.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
+        near = _dealt(_open(labelled, "loose").join(texts.hint("merge"), "id"), "loose", ["_text"])
         more = scratch.written(near.groupBy("loose", "i", "j").applyInArrow(_exact(shingle, percent), "a long, b long"))
         comps = connected_components(links.unionByName(more), scratch)
-    classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component"))
+    classes = reps.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component"))
     # a class can hold the least id of its component only through its representative
     placed = native.join_split(sigs.filter("n_shingles > 0").select("_id", "n_shingles", "fp"), classes, "fp", "copies").select("_id", "n_shingles", "component")
     out = placed.unionByName(sigs.filter("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component")))

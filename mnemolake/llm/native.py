@@ -72,5 +72,5 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, hot: in
     of which each has under 1 / ``hot`` of all rows, are joined by shuffle.
     """
     top = F.broadcast(table.orderBy(F.desc(weight), key).limit(hot))
-    others = rows.join(top.select(key), key, "left_anti").join(table, key)
+    others = rows.join(top.select(key), key, "left_anti").join(table.hint("merge"), key)
     return rows.join(top, key).unionByName(others)
