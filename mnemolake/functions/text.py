@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 NOT_A_TERM = "[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+"
 
 
+#: A character of a word, and a name of ASCII letters that is a whole word.
+IN_WORD = "[\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]"
+CAPITALIZED = f"(?<!{IN_WORD})[A-Z][a-z]+(?!{IN_WORD})"
+
+
+def capitalized(text: Column) -> Column:
+    """The words of an ASCII capital and small letters, in order."""
+    return F.regexp_extract_all(text, F.lit(CAPITALIZED), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Lower-case search terms of at least two characters, in order."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_TERM), lambda x: F.char_length(x) >= 2)
@@ -57,3 +67,41 @@ def normalized_hash(text: Column) -> Column:
 
 def preview(text: Column, n: int = 100) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of the items before each item, in blocks of about the square root of their number.
+
+    Appending copies what is there, so one long array would cost the square of its length.
+    """
+    from .vector import let
+
+    none = F.array().cast("array<int>")
+
+    def before(x: Column, start: Column) -> Column:
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(x, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def blocked(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: F.slice(x, i * size + 1, size))
+        total = lambda b: F.aggregate(b, F.lit(0), lambda acc, v: acc + v)
+        return let(blocks, lambda own: F.flatten(F.zip_with(own, before(F.transform(own, total), F.lit(0)), before)))
+
+    return let(sizes, lambda x: F.when(F.size(x) > 0, blocked(x)).otherwise(none))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
+    from .vector import let
+
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.char_length), F.lit(1), F.size(whole))
+    steps = F.zip_with(whole, gaps, lambda w, gap: F.struct(w.alias("w"), gap.alias("gap"), (gap + F.char_length(w)).alias("step")))
+
+    def placed(own: Column) -> Column:
+        starts = running_sums(F.transform(own, lambda s: s["step"]))
+        return F.zip_with(own, starts, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["step"]).alias("end"), s["w"].alias("value")))
+
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), let(steps, placed)).otherwise(empty)

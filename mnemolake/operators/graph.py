@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vector as vx
 
 # Patterns of entities: kind, pattern, confidence.
 PATTERNS = (
@@ -65,12 +66,20 @@ def named_kind(name: Column) -> Column:
     )
 
 
+#: What a text must hold for a pattern to be worth a search.
+_NEEDS = ("@", "http", "-", "/", ":", None, "%")
+
+
 def entity_array(text: Column) -> Column:
     """The entities of a text in order of their extractors: patterns, capitalized runs, technical terms."""
     text = F.coalesce(text, F.lit(""))
-    parts = [_found(text, *rule) for rule in PATTERNS]
+    none = F.array().cast(ENTITY)
+    parts = []
+    for rule, need in zip(PATTERNS, _NEEDS):
+        found = _found(text, *rule).cast(ENTITY)
+        parts.append(found if need is None else F.when(F.contains(text, F.lit(need)), found).otherwise(none))
     runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CAPITALIZED), F.lit(0)), tx.stripped), lambda m: F.char_length(m) >= 2)
-    parts.append(F.transform(runs, lambda m: _entity(m, named_kind(m), F.when(named_kind(m) == "unknown", F.lit(0.5)).otherwise(F.lit(0.8)))))
+    parts.append(F.transform(runs, lambda m: vx.let(named_kind(m), lambda k: _entity(m, k, F.when(k == "unknown", F.lit(0.5)).otherwise(F.lit(0.8))))))
     lower = F.lower(text)
     terms = F.filter(F.array(*(F.when(F.contains(lower, F.lit(t.lower())), F.lit(t)) for t in TECHNICAL_TERMS)), lambda t: t.isNotNull())
     parts.append(F.transform(terms, lambda t: _entity(t, F.lit("technical"), F.lit(0.9))))
@@ -83,10 +92,30 @@ def mentions(df: DataFrame, id_col: str = "id", text_col: str = "content") -> Da
     return found.select("doc", "ordinal", F.lower("e.name").alias("key"), "e.*")
 
 
-def document_entities(found: DataFrame) -> DataFrame:
-    """Each document's entities once, the first mention's, with its number of mentions."""
-    first = F.min_by(F.struct("name", "kind", "confidence"), "ordinal")
-    return found.groupBy("doc", "key").agg(first.alias("e"), F.count(F.lit(1)).alias("mentions"), F.min("ordinal").alias("ordinal")).select("doc", "key", "ordinal", "mentions", "e.*")
+def distinct_entities(entities: Column) -> Column:
+    """array<struct<key, ordinal, mentions, name, kind, confidence>>: each entity once in any case, the first mention's, with its number of mentions.
+
+    Mentions are sorted within the row; a key's first is the one that follows another key.
+    """
+    keyed = F.sort_array(F.transform(entities, lambda e, i: F.struct(F.lower(e["name"]).alias("key"), i.alias("ordinal"), e["name"].alias("name"), e["kind"].alias("kind"), e["confidence"].alias("confidence"))))
+
+    def with_sorted(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["key"]))
+        starts = F.filter(F.transform(s, lambda x, i: F.when(~x["key"].eqNullSafe(F.get(before, i)), i)), lambda i: i.isNotNull())
+
+        def with_starts(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(s)))
+            one = lambda i, j: F.struct(F.get(s, i)["key"].alias("key"), F.get(s, i)["ordinal"].alias("ordinal"), (j - i).cast("long").alias("mentions"), F.get(s, i)["name"].alias("name"), F.get(s, i)["kind"].alias("kind"), F.get(s, i)["confidence"].alias("confidence"))
+            return F.when(F.size(at) > 0, F.zip_with(at, ends, one))
+
+        return vx.let(starts, with_starts)
+
+    return vx.let(keyed, with_sorted)
+
+
+def document_entities(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """doc, key, ordinal, mentions, name, kind, confidence: each document's entities once; a projection, without a shuffle."""
+    return df.select(F.col(id_col).alias("doc"), F.explode(distinct_entities(entity_array(F.col(text_col)))).alias("e")).select("doc", "e.*")
 
 
 def nodes(entities: DataFrame) -> DataFrame:
@@ -96,7 +125,12 @@ def nodes(entities: DataFrame) -> DataFrame:
 
 
 def edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", block: int = 50) -> DataFrame:
-    """source, target, weight: documents with a sentence that holds both entities, source < target.
+    """source, target, weight: documents with a sentence that holds both entities, source < target."""
+    return sentence_pairs(df, entities, id_col, text_col, block).groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def sentence_pairs(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", block: int = 50) -> DataFrame:
+    """doc, source, target: pairs of a document's entities that a sentence holds, source < target, each once.
 
     Entities are matched in the sentences of their own document as a nested expression, so
     sentences aren't joined with entities. A sentence's entities are cut into blocks in order,
@@ -112,8 +146,20 @@ def edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str
     rows = rows.select("doc", "unit", "i", "left", F.posexplode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("j", "right")).repartition("doc", "unit", "i", "j")
     # block i with itself where j is 0: what follows in it
     pairs = F.flatten(F.transform("left", lambda a, k: F.transform(F.when(F.col("j") == 0, F.slice("right", k + 2, F.lit(block))).otherwise(F.col("right")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    linked = rows.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*").distinct()
-    return linked.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    return rows.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*").distinct()
+
+
+def typed_edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """source, target, relation, weight: relations of phrases, directed, and RELATED_TO for pairs that share a sentence and have no phrase in either direction.
+
+    ``weight`` counts documents with the relation.
+    """
+    phrases = pattern_relations(df, id_col, text_col).distinct()
+    ends = lambda c: (F.least("source", "target") if c == 0 else F.greatest("source", "target"))
+    known = phrases.select("doc", ends(0).alias("source"), ends(1).alias("target")).distinct()
+    linked = sentence_pairs(df, entities, id_col, text_col).join(known, ["doc", "source", "target"], "left_anti").withColumn("relation", F.lit("RELATED_TO"))
+    every = phrases.select("doc", "source", "target", "relation").unionByName(linked.select("doc", "source", "target", "relation")).distinct()
+    return every.groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def relation_counts(df: DataFrame, text_col: str = "content") -> DataFrame:
@@ -133,6 +179,13 @@ def query_graph(graph_nodes: DataFrame, graph_edges: DataFrame, terms: list[str]
     return hits.withColumn("hop", F.lit(0)).unionByName(near.select("key", F.lit(0.0).alias("score"), F.lit(1).alias("hop")))
 
 
+def graph_statistics(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
+    """what, kind, n: entities by kind and edges by relation."""
+    a = graph_nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("entity").alias("what"), "kind", "n")
+    b = graph_edges.groupBy(F.col("relation").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("relation").alias("what"), "kind", "n")
+    return a.unionByName(b)
+
+
 def merge_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
     every = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
     return every.groupBy("key").agg(F.sum("documents").alias("documents"), F.min_by(F.struct("name", "kind"), "_side").alias("e")).select("key", "e.*", "documents")

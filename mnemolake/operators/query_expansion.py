@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vector as vx
+
 # Synonyms of query words and context terms of query phrases.
 SYNONYMS: dict[str, tuple[str, ...]] = {
     "who": ("person", "people", "team", "member", "colleague"),
@@ -56,12 +58,20 @@ def expanded(query: Column, synonyms: Mapping[str, Sequence[str]] = SYNONYMS, co
     return F.when(F.trim(query) == "", query).otherwise(F.array_join(F.concat(F.array(query), first), " "))
 
 
-def variants(queries: DataFrame, query_col: str = "query", limit: int = 3) -> DataFrame:
-    """query_col, ordinal, variant: the query, then with the first synonym in place of each word that has one, up to ``limit`` in all."""
-    known = F.create_map(*(x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(v[0]))))
-    words = F.filter(F.split(F.lower(query_col), "[^\\p{L}\\p{Nd}]+"), lambda w: F.char_length(w) > 2)
-    swapped = F.transform(F.filter(words, lambda w: F.element_at(known, w).isNotNull()), lambda w: F.replace(F.lower(query_col), w, F.element_at(known, w)))
-    every = F.slice(F.array_distinct(F.concat(F.array(F.col(query_col)), swapped)), 1, limit)
+def variants(
+    queries: DataFrame, query_col: str = "query", limit: int = 3, synonyms: Mapping[str, Sequence[str]] = SYNONYMS, contexts: Mapping[str, Sequence[str]] = CONTEXTS
+) -> DataFrame:
+    """query_col, ordinal, variant: the query, then with the first synonym in place of a word that has one, then with the first term of a context that it holds after it.
+
+    Each variant changes one word, wherever it stands and in any case; up to ``limit`` in all, each once.
+    """
+    query = F.col(query_col)
+    known = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k), F.lit(v[0]))))
+    words = F.filter(F.split(F.lower(query), "[^\\p{L}\\p{Nd}]+"), lambda w: (F.char_length(w) > 2) & F.element_at(known, w).isNotNull())
+    swapped = F.transform(words, lambda w: F.regexp_replace(query, F.concat(F.lit("(?iu)"), w), F.element_at(known, w)))
+    extended = F.array(*(F.when(F.contains(F.lower(query), F.lit(k)), F.concat(query, F.lit(" " + v[0]))) for k, v in contexts.items()))
+    every = F.array_distinct(F.concat(F.array(query), swapped, F.filter(extended, lambda x: x.isNotNull())))
+    every = F.when(F.trim(query) == "", F.array(query)).otherwise(F.slice(every, 1, limit))
     return queries.select(query_col, F.posexplode(every).alias("ordinal", "variant"))
 
 
@@ -79,3 +89,8 @@ def hypothetical_answer(query: Column) -> Column:
     """A text that resembles an answer to the query, to be embedded beside it."""
     texts = (F.when(F.contains(F.lower(query), F.lit(word)), F.replace(F.lit(text), F.lit("{}"), query)) for word, text in ANSWERS)
     return F.coalesce(*texts)
+
+
+def hypothetical_vector(query: Column, embed) -> Column:
+    """The normalized mean of the vectors of the query and of its hypothetical answer; ``embed``: text to vector."""
+    return vx.mean_of_two(embed(query), embed(hypothetical_answer(query)))

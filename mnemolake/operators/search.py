@@ -17,49 +17,73 @@ RRF_K = 60
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.6, 0.4
 
 
-def dense_topk(df: DataFrame, query: Sequence[float], k: int = 5, floor: float | None = None, score: Column | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows of the best score (default: cosine with the query), ties by id, at or above ``floor``.
+#: Bounds of arguments: how many rows a search may return, by kind, and thresholds of likeness.
+LIMITS = {"recall": 20, "list": 100, "search": 50}
+THRESHOLDS = (0.5, 0.99)
+
+
+def clamped_limit(k: int, kind: str = "search") -> int:
+    return max(1, min(LIMITS[kind], k))
+
+
+def clamped_threshold(x: float) -> float:
+    return max(THRESHOLDS[0], min(THRESHOLDS[1], x))
+
+
+def dense_topk(
+    df: DataFrame, query: Sequence[float], k: int = 5, floor: float | None = None, score: Column | None = None, id_col: str = "id", vector_col: str = "embedding", ties: Sequence[Column] = ()
+) -> DataFrame:
+    """The k rows of the best score (default: cosine with the query), ties by ``ties`` and id, at or above ``floor``.
 
     The floor is applied after the limit: rows are in order of the score, so the same remain,
     and each score is computed once.
     """
     score = vx.cosine(F.col(vector_col), vx.literal(query)) if score is None else score
-    top = df.filter(F.col(vector_col).isNotNull()).withColumn("score", score).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+    top = df.filter(F.col(vector_col).isNotNull()).withColumn("score", score).orderBy(F.desc("score"), *ties, F.asc(id_col)).limit(k)
     return top if floor is None else top.filter(F.col("score") >= floor)
 
 
-def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", block: int = 256) -> DataFrame:
-    """query_id, id, score: the k nearest rows by cosine for each row of queries (query_id, vector).
+def newest_first() -> list[Column]:
+    """The order of ties that puts the newest first."""
+    return [F.desc("created_at")]
+
 
-    Queries are collected in blocks of bounded size and broadcast; each partition of the
-    corpus gives its own k best by one matrix product, and a window keeps the k best of those.
+def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", block: int = 512) -> DataFrame:
+    """query_id, id, score, rank: the k nearest rows by cosine for each row of queries (query_id, vector).
+
+    Queries are dealt to blocks of about ``block`` and the corpus to as many parts as there are
+    shuffle partitions; each task multiplies a block by a part and keeps the k best of each
+    query, and a window keeps the k best of those. Nothing goes through the driver.
     """
-    out = None
-    rows = queries.select("query_id", "vector").orderBy("query_id").collect()
-    for low in range(0, len(rows), block):
-        part = rows[low : low + block]
-        ids = np.array([r.query_id for r in part])
-        q = np.array([r.vector for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
-
-        def local(batches, shared=shared):
-            ids, q = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf[vector_col].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = q @ x.T
-                n = min(k, scores.shape[1])
-                keys = pdf[id_col].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :n]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": keys[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-
-        best = corpus.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(local, "query_id long, id long, score double")
-        out = best if out is None else out.unionByName(best)
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").alias("v"), F.lit(0).alias("side"))
+    x = corpus.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.lit(1).alias("side"))
+    blocks = q.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+    own = F.when(F.col("side") == 0, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.lit(n))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.lit(n)).otherwise(F.col("blocks")) - 1))
+    dealt = q.unionByName(x).crossJoin(F.broadcast(blocks)).withColumns({"own": own, "other": other})
+    i, j = (F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")).alias(c) for s, c in ((0, "i"), (1, "j")))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = [], []
+        for s in (0, 1):
+            side = pdf[pdf["side"] == s]
+            if not len(side):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            v = np.stack(side["v"].to_numpy()).astype(np.float64)
+            ids.append(side["id"].to_numpy())
+            vectors.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))
+        out = []
+        for low in range(0, len(ids[0]), 64):
+            scores = vectors[0][low : low + 64] @ vectors[1].T
+            m = min(k, scores.shape[1])
+            order = np.lexsort((np.broadcast_to(ids[1], scores.shape), -scores), axis=1)[:, :m]
+            out.append(pd.DataFrame({"query_id": np.repeat(ids[0][low : low + 64], m), "id": ids[1][order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
+        return pd.concat(out)
+
+    local = dealt.select("id", "v", "side", i, j).groupBy("i", "j").applyInPandas(best, "query_id long, id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -81,15 +105,16 @@ def bm25(df: DataFrame, query: str, id_col: str = "id", text_col: str = "content
         "id", F.size("w").alias("dl"), *(_count(F.col("w"), t).alias(f"t{k}") for k, t in enumerate(wanted))
     )
     n_terms = range(len(wanted))
-    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"df{k}") for k in n_terms)).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
+    n_terms = range(len(wanted))
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"df{k}") for k in n_terms))
     score = F.lit(0.0)
     for k in n_terms:
-        idf = float(np.log((n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5) + 1))
+        idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5) + 1)
         tf = F.col(f"t{k}")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     present = sum(((F.col(f"t{k}") > 0).cast("int") for k in n_terms), F.lit(0))
-    return counts.filter(present == len(wanted) if require_all else present > 0).select("id", score.alias("score"))
+    held = counts.filter(present == len(wanted) if require_all else present > 0)
+    return held.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row of statistics
 
 
 def _count(terms: Column, term: str) -> Column:
@@ -107,9 +132,15 @@ def top(df: DataFrame, k: int) -> DataFrame:
     return df.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
+def searchable(df: DataFrame) -> DataFrame:
+    """id, content: the content with the topics and entities, where the table has them."""
+    lists = [F.array_join(F.col(c), " ") for c in ("topics", "entities") if c in df.columns]
+    return df.select("id", F.concat_ws(" ", "content", *lists).alias("content"))
+
+
 def fts_search(df: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """Rows that hold every term, best BM25 first; ``fts_score`` is 1 / (1 + score), lower for better matches."""
-    return top(bm25(df, query, require_all=True), k).withColumn("fts_score", 1 / (1 + F.abs("score")))
+    """Rows whose content, topics or entities hold every term, best BM25 first; ``fts_score`` is 1 / (1 + score), lower for better matches."""
+    return top(bm25(searchable(df), query, require_all=True), k).withColumn("fts_score", 1 / (1 + F.abs("score")))
 
 
 def trigram_search(df: DataFrame, query: str, k: int = 10, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -134,10 +165,32 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 5, dense_weight: float = D
     return top(scored, k)
 
 
-def hybrid_search(df: DataFrame, query: str, vector: Sequence[float], k: int = 5, over_fetch: int = 3) -> DataFrame:
-    """Dense and BM25 legs over the same filtered rows, ``over_fetch`` times as long, fused."""
-    dense = dense_topk(df, vector, k * over_fetch).select("id", "score")
-    return rrf(dense, top(bm25(df, query), k * over_fetch), k)
+def hybrid_search(df: DataFrame, query: str, vector: Sequence[float], k: int = 5, over_fetch: int = 3, index=None, floor: float | None = None) -> DataFrame:
+    """Dense and BM25 legs over the same filtered rows, ``over_fetch`` times as long, fused.
+
+    With a ``TermIndex`` of at least these rows the sparse leg reads its postings, and only
+    ids of ``df`` count; else the texts are searched.
+    """
+    dense = dense_topk(df, vector, k * over_fetch, floor).select("id", "score")
+    sparse = bm25(df, query) if index is None else index.scores(query, only=df)
+    return rrf(dense, top(sparse, k * over_fetch), k)
+
+
+def related(df: DataFrame, key: int, k: int = 5, index=None) -> DataFrame:
+    """The rows most like one of ``df`` by its own text and vector, without itself."""
+    own = df.filter(F.col("id") == key).select("content", "embedding").first()
+    if own is None:
+        return df.select("id", F.lit(0.0).alias("score"), F.lit(0.0).alias("dense_score"), F.lit(0.0).alias("sparse_score"), F.lit("").alias("kind")).limit(0)
+    vector = [float(x) for x in own["embedding"] or []]
+    found = hybrid_search(df.filter(F.col("id") != key), own["content"] or "", vector or [0.0], k, index=index)
+    return found
+
+
+def mmr_fused(fused: DataFrame, vectors: DataFrame, weight: float = 0.7) -> DataFrame:
+    """id, position: all rows of a fused result (id, score) in the order of marginal relevance; the best stays first."""
+    n = fused.count()  # of a top-k
+    rows = fused.join(vectors.select("id", "vector"), "id").select(F.lit(0).alias("query_id"), "id", "score", "vector")
+    return mmr(rows, n, weight, every=True).select("id", "position")
 
 
 def max_over_queries(hits: DataFrame, k: int) -> DataFrame:
@@ -145,21 +198,22 @@ def max_over_queries(hits: DataFrame, k: int) -> DataFrame:
     return top(hits.groupBy("id").agg(F.max("score").alias("score")), k)
 
 
-def mmr(candidates: DataFrame, k: int, weight: float = 0.7, group: str = "query_id") -> DataFrame:
+def mmr(candidates: DataFrame, k: int, weight: float = 0.7, group: str = "query_id", every: bool = False) -> DataFrame:
     """group, id, position: maximal marginal relevance over each group's candidates (id, score, vector).
 
-    Candidates are those of a top-k, so a group is short. With no more than k they stay in order.
+    Candidates are those of a top-k, so a group is short. With no more than k they stay in
+    order, unless ``every`` asks for all of them to be ordered anew.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         chosen = list(range(len(pdf)))
-        if len(pdf) > k:
+        if len(pdf) > k or every:
             x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             chosen, similar = [], np.zeros(len(pdf))
             left = np.ones(len(pdf), bool)
-            for _ in range(k):
+            for _ in range(min(k, len(pdf))):
                 gain = np.where(left, weight * pdf["score"].to_numpy() - (1 - weight) * similar, -np.inf)
                 best = int(np.argmax(gain))
                 chosen.append(best)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import TYPES, latest
@@ -37,6 +37,22 @@ def ordered(df: DataFrame, order: str = "created_desc", skip: int = 0, limit: in
     return df if limit is None else df.limit(limit)
 
 
+def scan_newest(df: DataFrame, user: str | None = None, session: str | None = None, types: list[int] | None = None, limit: int | None = None) -> DataFrame:
+    """The scan that knows tenant, session and types only, newest first."""
+    return ordered(scope(df, user, session, types), "created_desc", limit=limit)
+
+
+def scroll(df: DataFrame, user: str | None = None, types: list[int] | None = None, cap: int = 10_000) -> DataFrame:
+    """Up to ``cap`` rows by id."""
+    return scope(df, user, types=types).orderBy("id").limit(cap)
+
+
+def require_vectors(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """The rows as they are; a row without a vector fails the job that reads them."""
+    checked = F.when(F.col(vector_col).isNotNull(), F.col(vector_col)).otherwise(F.raise_error(F.lit(f"{vector_col} is missing")).cast(df.schema[vector_col].dataType))
+    return df.withColumn(vector_col, checked)
+
+
 def count_by_tenant(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("is_deleted")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -75,6 +91,37 @@ def migration_counts(source: DataFrame, destination: DataFrame, key: str = "id",
     return both.withColumn("complete", F.col("n_destination") >= F.col("n_source"))
 
 
+def migrate(source: DataFrame, destination: "MemoryTable", tenants: list[str], version: int) -> DataFrame:
+    """tenant, migrated, skipped, status: copies the tenants' rows that the destination lacks, in one job.
+
+    Without tenants nothing is copied, and the one row has the status ``skipped``. A failure
+    to write is a status ``failed`` with its message for every tenant, not an error.
+    """
+    spark = source.sparkSession
+    schema = "tenant string, migrated long, skipped long, status string, error string"
+    if not tenants:
+        return spark.createDataFrame([(None, 0, 0, "skipped", "no tenants named")], schema)
+    own = source.filter(F.col("user_id").isin(tenants))
+    try:
+        known = destination.read().select("id")
+    except Exception:  # the table is not there yet
+        known = own.select("id").limit(0)
+    present = own.join(known, "id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("skipped"))
+    missing = missing_rows(own, known)
+    counts = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(present, "user_id", "left").fillna(0, ["skipped"]).collect()  # a row for each tenant named
+    error = None
+    try:
+        destination.append(missing, version)
+    except Exception as e:
+        error = str(e).splitlines()[0]
+    found = {r["user_id"]: (r["n"], r["skipped"]) for r in counts}
+    rows = []
+    for t in tenants:
+        n, skipped = found.get(t, (0, 0))
+        rows.append((t, 0 if error else n - skipped, skipped, "failed" if error else "completed", error))
+    return spark.createDataFrame(rows, schema)
+
+
 def type_code(name: Column) -> Column:
     """The code of a type name; unknown names are episodic."""
     codes = F.create_map(*(F.lit(x) for k, t in enumerate(TYPES) for x in (t, k)))
@@ -99,8 +146,25 @@ class MemoryTable:
         df = latest(df, "id", "version")
         return df.filter(~F.coalesce(F.col("removed"), F.lit(False))) if "removed" in df.columns else df
 
-    def get(self, key: int) -> DataFrame:
-        return self.read().filter(F.col("id") == key)
+    def get(self, key: int, user: str | None = None) -> DataFrame:
+        """The current row of a key, tombstones included; only its own versions are read, and a tenant's folders if it is named."""
+        df = self.spark.read.parquet(self.path).filter(F.col("id") == key)
+        df = latest(df.filter(F.col("user_id") == user) if user else df, "id", "version")
+        return df.filter(~F.coalesce(F.col("removed"), F.lit(False))) if "removed" in df.columns else df
+
+    def multi_get(self, ids: list[int]) -> DataFrame:
+        return multi_get(self.read(), ids)
+
+    def list(self, order: str = "created_desc", skip: int = 0, limit: int | None = None, **scopes) -> DataFrame:
+        return ordered(scope(self.read(scopes.get("user")), **scopes), order, skip, limit)
+
+    def count(self, user: str | None = None, tombstones: bool = False) -> int:
+        return scope(self.read(user), user, deleted=tombstones).count()
+
+    def search(self, query, k: int = 5, floor: float | None = None, **scopes) -> DataFrame:
+        from .search import dense_topk
+
+        return dense_topk(scope(self.read(scopes.get("user")), **scopes), query, k, floor)
 
     def delete(self, ids: DataFrame, now: datetime, version: int, hard: bool = False) -> None:
         gone = self.read().join(ids, "id", "left_semi")
@@ -108,10 +172,25 @@ class MemoryTable:
         self.append(gone.drop("version"), version)
 
     def update(self, changed: DataFrame, now: datetime, version: int) -> int:
-        """Replace rows that exist; returns how many did."""
-        present = changed.join(self.read().select("id"), "id", "left_semi").withColumn("updated_at", F.lit(now)).cache()
-        self.append(present, version)
-        return present.count()
+        """Replace rows that exist; returns how many did, counted as they were written."""
+        present = changed.join(self.read().select("id"), "id", "left_semi").withColumn("updated_at", F.lit(now))
+        seen = Observation()
+        self.append(present.observe(seen, F.count(F.lit(1)).alias("n")), version)
+        return seen.get["n"]
+
+    def health(self) -> DataFrame:
+        """path, status, rows, error: whether the table can be read; an error is a value."""
+        schema = "path string, status string, rows long, error string"
+        try:
+            return self.spark.createDataFrame([(self.path, "healthy", self.read().count(), None)], schema)
+        except Exception as e:
+            return self.spark.createDataFrame([(self.path, "unavailable", 0, str(e).splitlines()[0])], schema)
+
+    def statistics(self) -> DataFrame:
+        """user_id, versions, rows, live: what is stored, for the decision to compact."""
+        stored = self.spark.read.parquet(self.path).groupBy("user_id").agg(F.count(F.lit(1)).alias("versions"))
+        current = self.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("is_deleted")).alias("live"))
+        return stored.join(current, "user_id", "left").fillna(0, ["rows", "live"])
 
     def compact(self, target: str) -> None:
         """Current rows as one version in another folder."""
@@ -127,3 +206,12 @@ def within_retention(df: DataFrame, days: dict[str, int], as_of: datetime, defau
 def over_quota(df: DataFrame, quota: int) -> DataFrame:
     """user_id, n of tenants with more live rows than the quota."""
     return count_by_tenant(df).filter(F.col("n") > quota)
+
+
+def allowed_types(df: DataFrame, types: dict[str, list[int]]) -> DataFrame:
+    """Rows of a type that their tenant may hold; tenants that are not named may hold all."""
+    if not types:
+        return df
+    known = F.create_map(*(F.lit(x) if k == 0 else F.array(*map(F.lit, x)) for kv in types.items() for k, x in enumerate(kv)))
+    own = F.element_at(known, F.col("user_id"))
+    return df.filter(own.isNull() | F.array_contains(own, F.col("type")))
