@@ -59,6 +59,11 @@ def _share(n: Column, ratio: Column | float) -> Column:
     return F.floor((n.cast("float") * ratio.cast("float")).cast("float")).cast("int")
 
 
+def _cut(x: Column) -> Column:
+    """A score to nine digits, cut where short decimals don't lie, so that the last bit of a sum never decides an order."""
+    return F.floor(x * 1e9 + 0.3719) / 1e9
+
+
 def token_scores(words: Column) -> Column:
     """Importance of each token of an array, by place, kind, form and length."""
     n = F.size(words)
@@ -69,7 +74,7 @@ def token_scores(words: Column) -> Column:
         kind = F.when(_capital(t), F.greatest(kind, F.lit(0.9))).when(t.rlike(NUMERIC), F.greatest(kind, F.lit(0.85))).otherwise(kind)
         form = F.when(t.rlike("^\\p{P}$"), F.lit(0.6)).otherwise(F.lit(0.4))
         length = F.when(F.char_length(t) > 4, F.lit(0.6)).otherwise(F.lit(0.4))
-        return F.round(F.least(F.lit(1.0), 0.2 * place + 0.1 * kind + 0.3 * form + 0.4 * length), 9)
+        return _cut(F.least(F.lit(1.0), 0.2 * place + 0.1 * kind + 0.3 * form + 0.4 * length))
 
     return F.transform(words, one)
 
@@ -125,7 +130,7 @@ def sentence_scores(sentences: Column) -> Column:
 
         def with_centre(c: Column) -> Column:
             place = lambda i: F.when(i < F.floor(n / 4), F.lit(0.8)).when(i > F.floor(3 * n / 4), F.lit(0.7)).otherwise(F.lit(0.5))
-            each = lambda s, i: F.round(0.4 * vx.cosine(F.get(vectors, i), c) + 0.2 * place(i) + 0.4 * content(s), 9)
+            each = lambda s, i: _cut(0.4 * vx.cosine(F.get(vectors, i), c) + 0.2 * place(i) + 0.4 * content(s))
             return F.transform(sentences, each)
 
         return vx.let(centre, with_centre)

@@ -125,8 +125,8 @@ _KIND = (
     f" CASE WHEN {_CAPITAL} THEN 0.9 WHEN {_NUMERIC} THEN 0.85 ELSE 0 END)::DOUBLE"
 )
 _SCORE = (
-    "round(least(1, 0.2::DOUBLE * (1 - abs((i - 1)::DOUBLE / len(t) - 0.5) * 0.3::DOUBLE + CASE WHEN i - 1 < 3 OR i - 1 > len(t) - 3 THEN 0.2::DOUBLE ELSE 0 END)"
-    f" + 0.1::DOUBLE * {_KIND} + 0.3::DOUBLE * CASE WHEN regexp_matches(x, '^\\p{{P}}$') THEN 0.6::DOUBLE ELSE 0.4 END + 0.4::DOUBLE * CASE WHEN length(x) > 4 THEN 0.6::DOUBLE ELSE 0.4 END), 9)"
+    "floor(least(1, 0.2::DOUBLE * (1 - abs((i - 1)::DOUBLE / len(t) - 0.5) * 0.3::DOUBLE + CASE WHEN i - 1 < 3 OR i - 1 > len(t) - 3 THEN 0.2::DOUBLE ELSE 0 END)"
+    f" + 0.1::DOUBLE * {_KIND} + 0.3::DOUBLE * CASE WHEN regexp_matches(x, '^\\p{{P}}$') THEN 0.6::DOUBLE ELSE 0.4 END + 0.4::DOUBLE * CASE WHEN length(x) > 4 THEN 0.6::DOUBLE ELSE 0.4 END) * 1e9::DOUBLE + 0.3719::DOUBLE) / 1e9::DOUBLE"
 )
 
 

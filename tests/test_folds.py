@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -171,7 +172,7 @@ def test_token_pruning(spark):
         number = re.fullmatch(r"\d+\.?\d*", w) is not None
         kind = 1.0 if w.lower() in compress.KEPT_WORDS else 0.1 if is_stop(w) else 0.8 if is_capital(w) else 0.7 if number else 0.5
         kind = max(kind, 0.9) if is_capital(w) else max(kind, 0.85) if number else kind
-        return round(min(1, 0.2 * place + 0.1 * kind + 0.3 * 0.4 + 0.4 * (0.6 if len(w) > 4 else 0.4)), 9)
+        return math.floor(min(1, 0.2 * place + 0.1 * kind + 0.3 * 0.4 + 0.4 * (0.6 if len(w) > 4 else 0.4)) * 1e9 + 0.3719) / 1e9
 
     scores = [score(w, i) for i, w in enumerate(words)]
     best = sorted(sorted(range(n), key=lambda i: (-scores[i], i))[: n // 2])
@@ -203,7 +204,7 @@ def sentence_prune(text, ratio):
         content += 0.3 if re.search(compress.CODE, s) else 0
         place = 0.8 if i < n // 4 else 0.7 if i > 3 * n // 4 else 0.5
         length = np.linalg.norm(v) * np.linalg.norm(centre)
-        scores.append(round(0.4 * (v @ centre / length if length else 0) + 0.2 * place + 0.4 * min(1, content), 9))
+        scores.append(math.floor((0.4 * (v @ centre / length if length else 0) + 0.2 * place + 0.4 * min(1, content)) * 1e9 + 0.3719) / 1e9)
     chosen, used, target = [], 0, int(np.float32(len(text) // 4) * np.float32(ratio))
     for i in sorted(range(n), key=lambda i: (-scores[i], i)):
         if used + len(parts[i]) // 4 <= target or not chosen:
