@@ -134,11 +134,11 @@ _SCORE = (
     f", worded AS (SELECT id, {_WORDS.format(x='content')} AS t FROM memories), each AS (SELECT id, len(t) AS n, i, x, {_SCORE} AS s FROM (SELECT id, t, i, t[i] AS x FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM worded))),"
     " placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, i) <= floor((n::FLOAT * 0.5::FLOAT)::FLOAT) AS kept FROM each)"
     " SELECT m.id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE kept), '') AS compressed, count(x) AS n_tokens, count(*) FILTER (WHERE kept) AS n_kept,"
-    " round(CASE WHEN count(x) = 0 THEN 1 ELSE coalesce(sum(s) FILTER (WHERE kept), 0) / sum(s) END, 4)::DOUBLE AS retention FROM memories m LEFT JOIN placed p ON p.id = m.id GROUP BY m.id"
+    " round(CASE WHEN count(x) = 0 THEN 1 ELSE coalesce(sum(s) FILTER (WHERE kept), 0) / sum(s) END, 6)::DOUBLE AS retention FROM memories m LEFT JOIN placed p ON p.id = m.id GROUP BY m.id"
 )
 def compress_token_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _texts(spark, sf_dir).select("id", compress.compress(F.col("content"), "tokens", 0.5).alias("c"))
-    return out.select("id", "c.compressed", "c.n_tokens", "c.n_kept", F.round("c.retention", 4).alias("retention"))
+    return out.select("id", "c.compressed", "c.n_tokens", "c.n_kept", "c.retention")
 
 
 def _compressed(spark: SparkSession, sf_dir: str, strategy: str, ratio: float) -> DataFrame:
