@@ -11,7 +11,7 @@ NOT_A_TERM = "[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+"
 
 #: A character of a word, and a name of ASCII letters that is a whole word.
 IN_WORD = "[\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]"
-CAPITALIZED = f"(?<!{IN_WORD})[A-Z][a-z]+(?!{IN_WORD})"
+CAPITALIZED = f"(?<!{IN_WORD})[A-Z][a-z]++(?!{IN_WORD})"
 
 
 def capitalized(text: Column) -> Column:

@@ -24,7 +24,7 @@ BULLET = "(?m)^[\\s]*[-*\u2022]\\s"
 _BEFORE, _AFTER = "(?:^|[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}])", "(?:$|[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}])"
 EMAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 URL = "https?://[^\\s]+"
-NUMBER = f"(?<!{tx.IN_WORD})[0-9]+(?!{tx.IN_WORD})"
+NUMBER = f"(?<!{tx.IN_WORD})[0-9]++(?!{tx.IN_WORD})"
 DATE = f"{_BEFORE}(?:[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|[0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}){_AFTER}"
 TIME = f"{_BEFORE}[0-9]{{1,2}}:[0-9]{{2}}{_AFTER}"
 CURRENCY = "[$\u20ac\u00a3\u00a5\u20a9][0-9]+|[0-9]+[$\u20ac\u00a3\u00a5\u20a9]"
