@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroid_clustering as _centroid_clustering
+from . import hard_negatives as _hard_negatives
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
 from . import quality_rules as _quality_rules
@@ -18,6 +20,7 @@ from .quality_rules import MEASURES, apply_policy, rule_ledger
 from .secret_scan import scan_secrets, spans_text
 from .store import written
 from .substring_dedup import substring_dedup
+from .url_filters import judge_urls, mine_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    noisy = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    found = _hard_negatives.mine_hard_negatives(noisy, F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _centroid_clustering.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("pages", "labels"))
+    rules = mine_rules(pages, labels, (F.col("quality") == 0) | (F.col("toxic") == 1))
+    return judge_urls(pages, rules)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +103,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": _line_dedup.ORACLE_SQL,
     "op3_mixing": _mixing.ORACLE_SQL,
     "op8_secret_scan": _secret_scan.ORACLE_SQL,
+    "op11_hard_negatives": _hard_negatives.ORACLE_SQL,
+    "op12_centroid_clustering": _centroid_clustering.ORACLE_SQL,
 }

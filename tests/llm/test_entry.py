@@ -1,4 +1,4 @@
-"""The ten queries, the pipeline and their SQL as the driver sees them."""
+"""The queries, the pipeline and their SQL as the driver sees them."""
 
 import __spark_entry__
 import corpus_pipeline
@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_dedup", "decontamination", "mixing"]
 
 
 def test_sql_of_the_operators(spark):
     con = connect(SF)
     sql = {k: v for k, v in __spark_entry__.oracle_sql().items() if k.startswith("op")}
-    assert sorted(sql) == ["op1_quality_rules", "op2_line_dedup", "op3_mixing", "op8_secret_scan"]
+    assert sorted(sql) == ["op11_hard_negatives", "op12_centroid_clustering", "op1_quality_rules", "op2_line_dedup", "op3_mixing", "op8_secret_scan"]
     for name, text in sql.items():
         got, want = compare(spark, con, __spark_entry__.queries()[name], text, SF)
         assert got == want, name
@@ -32,6 +32,9 @@ def test_contract_columns(spark):
         "op7_minhash_dedup": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
         "op8_secret_scan": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string",
         "op9_quality_classifier": "doc_id:bigint held_out:boolean score:double predicted:int",
+        "op11_hard_negatives": "anchor_id:bigint positive_id:bigint rank:int negative_id:bigint positive_score:bigint negative_score:bigint",
+        "op12_centroid_clustering": "vec_id:bigint cluster:int distance:bigint cluster_inertia:bigint inertia:bigint centroid_sha256:string",
+        "op13_url_filters": "page_id:bigint host:string path:string rule:string verdict:string",
     }
     for name, columns in want.items():
         kinds = [f"{c}:{t}" for c, t in __spark_entry__.queries()[name](spark, SF).dtypes]
