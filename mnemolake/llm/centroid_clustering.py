@@ -96,8 +96,8 @@ def cluster_vectors(
     ``seed:id``, ties by the vector; repeated rows count each, and where there are fewer vectors
     than ``clusters``, or none with an id, there are as many centroids as there are. A vector
     with a null id is assigned like others but starts no cluster; if there is no centroid at all,
-    there are no rows. Components beyond a long's range, and distances and sums of them, become
-    its ends. An empty table gives no rows. Other columns are not read.
+    there are no rows. Components beyond 9.2e18 become that, distances and sums of them beyond a
+    long's range its end. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)

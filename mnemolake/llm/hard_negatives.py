@@ -41,11 +41,10 @@ _LONG = (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as long; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of each component as long, within 9.2e18; null if the vector or a component is null or not finite."""
     double = F.transform(vector, lambda x: x.cast("double"))
     whole = vector.isNotNull() & F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    # beyond a long's range there are no doubles with a fraction: such components become the range's ends
-    edge = F.lit(9.2e18)
+    edge = F.lit(9.2e18)  # so that it fits a long
     return F.when(whole, F.transform(double, lambda x: F.floor(F.greatest(F.least(F.lit(scale) * x, edge), -edge))))
 
 
@@ -200,8 +199,8 @@ def mine_hard_negatives(
     part. Only vectors of the same length are compared; empty ones score 0. Rows that are equal
     in id, label and quantised vector count once; rows of one id that differ are separate, and
     ties between them go by a hash of both. A row is never the positive of another of its id. An
-    empty table, and an anchor without positives or negatives, gives no rows. Scores beyond a
-    long's range become its ends. Other columns are not read.
+    empty table, and an anchor without positives or negatives, gives no rows. Components beyond
+    9.2e18 become that, scores beyond a long's range its ends. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(native.whole_number(vectors, id_col).alias("vec_id"), native.whole_number(vectors, label_col).alias("label"), quantised(native.quoted(vector_col)).alias("v"))

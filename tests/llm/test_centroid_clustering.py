@@ -11,7 +11,7 @@ LONG = (1 << 63) - 1
 
 
 def brute(rows, clusters, rounds, dim):
-    kept = [(i, tuple(min(max(math.floor(256 * x), -(1 << 63)), LONG) for x in v)) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, tuple(math.floor(min(max(256 * x, -9.2e18), 9.2e18)) for x in v)) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
     start = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:clusters]
     centroids = [list(v) for _, v in start]
     if not centroids:

@@ -14,7 +14,7 @@ def brute(rows, positives=5, negatives=10):
     kept = set()
     for i, label, v in rows:
         if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            kept.add((i, label, tuple(min(max(math.floor(256 * x), -(1 << 63)), LONG) for x in v)))
+            kept.add((i, label, tuple(math.floor(min(max(256 * x, -9.2e18), 9.2e18)) for x in v)))
     out = []
     for i, label, v in kept:
         if i % 100:
