@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -19,6 +19,8 @@ PATTERNS = (
     ("numeric", "[0-9]+(?:\\.[0-9]+)?%", 1.0),
 )
 CAPITALIZED = "(?:[A-Z][a-z]+\\s*)+"
+#: The same without steps back, which the JVM would take by recursion, word for word.
+CAPITALIZED_RUN = "(?:[A-Z][a-z]++\\s*+)++"
 # Words that class capitalized runs, and technical terms.
 ORGANIZATION_WORDS = ("inc", "corp", "ltd", "llc", "co", "company", "corporation", "foundation", "association", "institute", "university", "college")
 PERSON_WORDS = ("mr", "mrs", "ms", "dr", "prof", "ceo", "cto", "cfo", "manager", "director")
@@ -49,7 +51,7 @@ def _entity(name: Column, kind: Column, confidence: Column) -> Column:
 
 
 def _found(text: Column, kind: str, pattern: str, confidence: float) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _entity(m, F.lit(kind), F.lit(confidence)))
+    return F.transform(F.regexp_extract_all(text, F.lit(tx.searched(pattern)), F.lit(0)), lambda m: _entity(m, F.lit(kind), F.lit(confidence)))
 
 
 def named_kind(name: Column) -> Column:
@@ -78,7 +80,7 @@ def entity_array(text: Column) -> Column:
     for rule, need in zip(PATTERNS, _NEEDS):
         found = _found(text, *rule).cast(ENTITY)
         parts.append(found if need is None else F.when(F.contains(text, F.lit(need)), found).otherwise(none))
-    runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CAPITALIZED), F.lit(0)), tx.stripped), lambda m: F.char_length(m) >= 2)
+    runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CAPITALIZED_RUN), F.lit(0)), tx.stripped), lambda m: F.char_length(m) >= 2)
     parts.append(F.transform(runs, lambda m: vx.let(named_kind(m), lambda k: _entity(m, k, F.when(k == "unknown", F.lit(0.5)).otherwise(F.lit(0.8))))))
     lower = F.lower(text)
     terms = F.filter(F.array(*(F.when(F.contains(lower, F.lit(t.lower())), F.lit(t)) for t in TECHNICAL_TERMS)), lambda t: t.isNotNull())
@@ -126,39 +128,72 @@ def nodes(entities: DataFrame) -> DataFrame:
 
 def edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", block: int = 50) -> DataFrame:
     """source, target, weight: documents with a sentence that holds both entities, source < target."""
-    return sentence_pairs(df, entities, id_col, text_col, block).groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = sentence_pairs(df, entities, id_col, text_col, block)
+    return pairs.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def sentence_pairs(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content", block: int = 50) -> DataFrame:
-    """doc, source, target: pairs of a document's entities that a sentence holds, source < target, each once.
+    """doc, source, target: pairs of a document's entities that a sentence holds, in the order of the document's entities, each once.
 
     Entities are matched in the sentences of their own document as a nested expression, so
     sentences aren't joined with entities. A sentence's entities are cut into blocks in order,
-    and every two blocks, and each with itself, are a row, dealt by hash: no row makes over
-    ``block`` squared pairs, and no task has all pairs of a long sentence.
+    and every two blocks, and each with itself, are a row; where there are several, they are
+    dealt by hash. No row makes over ``block`` squared pairs, and no task has all pairs of a long
+    sentence.
     """
-    own = entities.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_keys"))
+    own = entities.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "key"))).alias("_keys"))
     units = df.select(F.col(id_col).alias("doc"), F.posexplode(tx.sentences(F.lower(F.col(text_col)), newlines=False)).alias("unit", "s")).join(own, F.col("doc") == F.col("_doc"))
-    held = F.sort_array(F.filter("_keys", lambda k: F.contains(F.col("s"), k)))
+    held = F.filter("_keys", lambda e: F.contains(F.col("s"), e["key"]))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("held") - 1) / block).cast("int")), lambda i: F.slice("held", i * block + 1, F.lit(block)))
     rows = units.select("doc", "unit", held.alias("held")).filter(F.size("held") > 1).select("doc", "unit", blocks.alias("blocks"))
-    rows = rows.select("doc", "unit", "blocks", F.posexplode("blocks").alias("i", "left"))
-    rows = rows.select("doc", "unit", "i", "left", F.posexplode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("j", "right")).repartition("doc", "unit", "i", "j")
-    # block i with itself where j is 0: what follows in it
-    pairs = F.flatten(F.transform("left", lambda a, k: F.transform(F.when(F.col("j") == 0, F.slice("right", k + 2, F.lit(block))).otherwise(F.col("right")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return rows.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*").distinct()
+    pair = lambda a, b: F.struct(a["key"].alias("source"), b["key"].alias("target"))
+    within = lambda x: F.flatten(F.transform(x, lambda a, k: F.transform(F.slice(x, k + 2, F.lit(block)), lambda b: pair(a, b))))
+    short = rows.filter(F.size("blocks") == 1).select("doc", F.explode(within(F.get("blocks", F.lit(0)))).alias("p"))
+    long = rows.filter(F.size("blocks") > 1).select("doc", "unit", "blocks", F.posexplode("blocks").alias("i", "left"))
+    long = long.select("doc", "unit", "i", "left", F.posexplode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("j", "right")).repartition("doc", "unit", "i", "j")
+    # block i with itself where j is 0
+    across = F.when(F.col("j") == 0, within(F.col("left"))).otherwise(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: pair(a, b)))))
+    return short.unionByName(long.select("doc", F.explode(across).alias("p"))).select("doc", "p.*").distinct()
+
+
+def phrase_relations(df: DataFrame, id_col: str = "id", text_col: str = "content", reach: int = 100) -> DataFrame:
+    """doc, relation, place, source, target: for each phrase of a relation, at its place in code points, the two entities of the document that lie nearest.
+
+    Candidates are those that the text from ``reach`` before the phrase's start to ``reach``
+    after it holds, in any case. Their distance is that of their first place in this window from
+    ``reach`` / 2, ties by the order of the document's entities; the nearest is the source, the
+    next the target. A projection without a shuffle: phrases meet the entities of their own text
+    only. Null and empty texts, and texts with fewer than two entities, have no relations.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("doc"), text.alias("t")).filter(F.col("t").rlike("(?i)" + "|".join(p for p, _ in RELATIONS)))
+    placed = lambda name: lambda m: F.struct(F.lit(name).alias("relation"), m["start"].alias("place"))
+    found = [F.transform(tx.matches(F.col("t"), f"(?i)(?:{pattern})"), placed(name)) for pattern, name in RELATIONS]
+    entities = F.transform(distinct_entities(entity_array(F.col("t"))), lambda e: F.struct(e["ordinal"].alias("ordinal"), e["key"].alias("key")))
+    rows = rows.select("doc", "t", F.coalesce(entities, F.array().cast("array<struct<ordinal:int,key:string>>")).alias("entities"), F.concat(*found).alias("phrases"))
 
+    def nearest(at: Column) -> Column:
+        start = F.greatest(at - reach, F.lit(0))
+        window = F.lower(F.substr(F.col("t"), start + 1, at + reach - start))
+        ranked = lambda w: F.array_sort(F.transform(F.filter("entities", lambda e: F.contains(w, e["key"])), lambda e: F.struct(F.abs(F.call_function("locate", e["key"], w) - 1 - reach // 2).alias("away"), e["ordinal"].alias("ordinal"), e["key"].alias("key"))))
+        return vx.let(window, lambda w: F.slice(ranked(w), 1, 2))
 
-def typed_edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """source, target, relation, weight: relations of phrases, directed, and RELATED_TO for pairs that share a sentence and have no phrase in either direction.
+    near = F.transform("phrases", lambda p: F.struct(p["relation"].alias("relation"), p["place"].alias("place"), nearest(p["place"]).alias("near")))
+    pairs = rows.select("doc", F.explode(F.filter(near, lambda p: F.size(p["near"]) == 2)).alias("p"))
+    return pairs.select("doc", "p.relation", "p.place", F.get("p.near", F.lit(0))["key"].alias("source"), F.get("p.near", F.lit(1))["key"].alias("target"))
 
-    ``weight`` counts documents with the relation.
-    """
-    phrases = pattern_relations(df, id_col, text_col).distinct()
-    ends = lambda c: (F.least("source", "target") if c == 0 else F.greatest("source", "target"))
-    known = phrases.select("doc", ends(0).alias("source"), ends(1).alias("target")).distinct()
-    linked = sentence_pairs(df, entities, id_col, text_col).join(known, ["doc", "source", "target"], "left_anti").withColumn("relation", F.lit("RELATED_TO"))
-    every = phrases.select("doc", "source", "target", "relation").unionByName(linked.select("doc", "source", "target", "relation")).distinct()
+
+#: The relation of entities that a sentence holds both and no phrase relates.
+TOGETHER = "MENTIONED_WITH"
+
+
+def typed_edges(df: DataFrame, entities: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """source, target, relation, weight: relations of phrases, one for each phrase, and MENTIONED_WITH for each pair of a document that shares a sentence and that no phrase of the document relates in either direction."""
+    phrases = phrase_relations(df, id_col, text_col)
+    ends = (F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"))
+    known = phrases.select("doc", *ends).distinct()
+    linked = sentence_pairs(df, entities, id_col, text_col).select("*", *ends).join(known, ["doc", "low", "high"], "left_anti")
+    every = phrases.select("source", "target", "relation").unionByName(linked.select("source", "target", F.lit(TOGETHER).alias("relation")))
     return every.groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -192,7 +227,8 @@ def merge_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_edges(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    """Edges of two graphs by source, target and, where they have one, relation."""
+    return a.unionByName(b).groupBy(*(c for c in a.columns if c != "weight")).agg(F.sum("weight").alias("weight"))
 
 
 def node_degrees(graph_edges: DataFrame) -> DataFrame:
@@ -208,24 +244,41 @@ def rank_in_kind(graph_nodes: DataFrame) -> DataFrame:
     return graph_nodes.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("documents"), "key")))
 
 
-def pattern_relations(df: DataFrame, id_col: str = "id", text_col: str = "content", reach: int = 100) -> DataFrame:
-    """doc, source, target, relation: for each phrase of a relation, the nearest entity before and after it within ``reach`` characters.
+class StoredGraph:
+    """A typed graph under a folder, kept up by batches of documents: ``nodes`` and ``edges``, by batch.
 
-    A projection: the entities of the characters before and after are extracted where the text is split at the phrase.
+    A batch adds its own sums under its number, and written again replaces them, so a job that
+    is repeated counts nothing twice. Reading adds the batches up: that is the graph of all
+    documents at once, as no pair or phrase spans two. ``compact`` writes the sums of all
+    batches as the first.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = lambda t: F.transform(F.filter(entity_array(t), lambda e: e["kind"].isin("person", "organization", "location", "unknown", "technical")), lambda e: e["name"])
-    found = []
-    for pattern, name in RELATIONS:
-        pieces = F.split(text, f"(?i)(?:{pattern})", -1)
-        sides = F.transform(pieces, lambda p: F.struct(F.substr(p, F.greatest(F.lit(1), F.char_length(p) - reach + 1), F.lit(reach)).alias("before"), F.substr(p, F.lit(1), F.lit(reach)).alias("after")))
-        pairs = F.zip_with(F.slice(sides, F.lit(1), F.size(sides) - 1), F.slice(sides, F.lit(2), F.size(sides) - 1), lambda a, b: F.struct(a["before"].alias("before"), b["after"].alias("after")))
-        has = F.when(text.rlike(f"(?i)(?:{pattern})"), pairs).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
-        found.append(_tagged(has, name))
-    rows = df.select(F.col(id_col).alias("doc"), F.explode(F.concat(*found)).alias("p")).select("doc", "p.*")
-    nearest = rows.select("doc", "relation", F.get(F.reverse(runs(F.col("before"))), F.lit(0)).alias("source"), F.get(runs(F.col("after")), F.lit(0)).alias("target"))
-    return nearest.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("doc", F.lower("source").alias("source"), F.lower("target").alias("target"), "relation")
-
-
-def _tagged(pairs: Column, relation: str) -> Column:
-    return F.transform(pairs, lambda p: F.struct(p["before"].alias("before"), p["after"].alias("after"), F.lit(relation).alias("relation")))
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, df: DataFrame, batch: int, id_col: str = "id", text_col: str = "content") -> None:
+        """The documents of one batch; each document belongs to one batch."""
+        found = document_entities(df, id_col, text_col)
+        first = F.min_by(F.struct("doc", "ordinal", "name", "kind"), F.struct("doc", "ordinal"))
+        own = found.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), first.alias("first"))
+        for name, rows in (("nodes", own), ("edges", typed_edges(df, found, id_col, text_col))):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def nodes(self) -> DataFrame:
+        """key, name, kind, documents; name and kind are those of the first mention in the least document."""
+        each = self.spark.read.parquet(f"{self.path}/nodes")
+        merged = each.groupBy("key").agg(F.sum("documents").alias("documents"), F.min("first").alias("e"))
+        return merged.select("key", "e.name", "e.kind", "documents")
+
+    def edges(self) -> DataFrame:
+        """source, target, relation, weight."""
+        each = self.spark.read.parquet(f"{self.path}/edges")
+        return each.groupBy("source", "target", "relation").agg(F.sum("weight").alias("weight"))
+
+    def compact(self, target: str) -> StoredGraph:
+        """The same graph as one batch in another folder."""
+        out = StoredGraph(self.spark, target)
+        sums = self.spark.read.parquet(f"{self.path}/nodes").groupBy("key").agg(F.sum("documents").alias("documents"), F.min("first").alias("first"))
+        sums.write.mode("overwrite").parquet(f"{target}/nodes/batch=0")
+        self.edges().write.mode("overwrite").parquet(f"{target}/edges/batch=0")
+        return out

@@ -58,6 +58,7 @@ def importance_parts(text: Column, kind: Column) -> dict[str, Column]:
     lower = F.lower(text)
     words = F.regexp_count(text, F.lit("[^ ]+"))
     # most texts lack the mark that a pattern needs, and are spared the search for it
+    # where only presence counts, one character of a run is as good as the run, and is found in one pass
     has = lambda p, x, mark: F.when(mark & text.rlike(p), F.lit(x)).otherwise(F.lit(0.0))
     holds = lambda s: F.contains(text, F.lit(s))
     names, numbers = F.regexp_count(text, F.lit(tx.CAPITALIZED)), F.regexp_count(text, F.lit(NUMBER))
@@ -68,8 +69,8 @@ def importance_parts(text: Column, kind: Column) -> dict[str, Column]:
         + F.when(F.contains(text, F.lit("?")), F.lit(0.05)).otherwise(F.lit(0.0))
         + F.when(F.contains(text, F.lit("!")), F.lit(0.03)).otherwise(F.lit(0.0)),
         "kind": F.when(kind == 2, F.lit(0.15)).when(kind == 3, F.lit(0.1)).when(kind == 1, F.lit(0.05)).otherwise(F.lit(0.0)),
-        "entities": F.when(names > 2, F.least(F.lit(0.1), 0.02 * names)).otherwise(F.lit(0.0)) + has(EMAIL, 0.1, holds("@")) + has(URL, 0.05, holds("http")),
-        "specificity": F.least(F.lit(0.1), 0.03 * numbers) + has(DATE, 0.1, numbers > 0) + has(TIME, 0.05, holds(":")) + has(CURRENCY, 0.1, F.lit(True)),
+        "entities": F.when(names > 2, F.least(F.lit(0.1), 0.02 * names)).otherwise(F.lit(0.0)) + has(EMAIL.replace("+@", "@", 1), 0.1, holds("@")) + has(URL, 0.05, holds("http")),
+        "specificity": F.least(F.lit(0.1), 0.03 * numbers) + has(DATE, 0.1, numbers > 0) + has(TIME, 0.05, holds(":")) + has(CURRENCY.replace("]+", "]"), 0.1, F.lit(True)),
     }
 
 

@@ -102,10 +102,7 @@ def migrate(source: DataFrame, destination: "MemoryTable", tenants: list[str], v
     if not tenants:
         return spark.createDataFrame([(None, 0, 0, "skipped", "no tenants named")], schema)
     own = source.filter(F.col("user_id").isin(tenants))
-    try:
-        known = destination.read().select("id")
-    except Exception:  # the table is not there yet
-        known = own.select("id").limit(0)
+    known = destination.read().select("id") if destination.exists() else own.select("id").limit(0)
     present = own.join(known, "id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("skipped"))
     missing = missing_rows(own, known)
     counts = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(present, "user_id", "left").fillna(0, ["skipped"]).collect()  # a row for each tenant named
@@ -129,28 +126,38 @@ def type_code(name: Column) -> Column:
 
 
 class MemoryTable:
-    """Memories under a folder, one appended version for each write; the clock is the caller's."""
+    """Memories under a folder, one appended version for each write, of a number of its own; the clock is the caller's.
+
+    A row that moves to another tenant leaves a removed row of the same version in the folder of
+    the former, so that reading one tenant's folder gives what reading all does.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def append(self, df: DataFrame, version: int) -> None:
         """All rows of ``df`` in one committed job, partitioned by tenant."""
-        df.withColumn("version", F.lit(version).cast("long")).write.mode("append").partitionBy("user_id").parquet(self.path)
+        marks = {c: F.lit(False) for c in ("removed", "moved") if c not in df.columns}
+        df.withColumns(marks | {"version": F.lit(version).cast("long")}).write.mode("append").partitionBy("user_id").parquet(self.path)
+
+    def _current(self, df: DataFrame) -> DataFrame:
+        """The last version of each row; of one version, that of the tenant it moved to."""
+        stays = df.withColumn("_stays", ~F.col("moved"))
+        return latest(stays, "id", "version", "_stays").filter(~F.col("removed")).drop("_stays", "moved")
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, user: str | None = None) -> DataFrame:
         """Current rows, tombstones included, removed ones not; a tenant reads only its own folders."""
         df = self.spark.read.parquet(self.path)
-        if user:
-            df = df.filter(F.col("user_id") == user)
-        df = latest(df, "id", "version")
-        return df.filter(~F.coalesce(F.col("removed"), F.lit(False))) if "removed" in df.columns else df
+        return self._current(df.filter(F.col("user_id") == user) if user else df)
 
     def get(self, key: int, user: str | None = None) -> DataFrame:
         """The current row of a key, tombstones included; only its own versions are read, and a tenant's folders if it is named."""
         df = self.spark.read.parquet(self.path).filter(F.col("id") == key)
-        df = latest(df.filter(F.col("user_id") == user) if user else df, "id", "version")
-        return df.filter(~F.coalesce(F.col("removed"), F.lit(False))) if "removed" in df.columns else df
+        return self._current(df.filter(F.col("user_id") == user) if user else df)
 
     def multi_get(self, ids: list[int]) -> DataFrame:
         return multi_get(self.read(), ids)
@@ -173,9 +180,17 @@ class MemoryTable:
 
     def update(self, changed: DataFrame, now: datetime, version: int) -> int:
         """Replace rows that exist; returns how many did, counted as they were written."""
-        present = changed.join(self.read().select("id"), "id", "left_semi").withColumn("updated_at", F.lit(now))
+        known = self.read().select("id", F.col("user_id").alias("_former"))
+        present = changed.join(known, "id").withColumn("updated_at", F.lit(now))
         seen = Observation()
-        self.append(present.observe(seen, F.count(F.lit(1)).alias("n")), version)
+        present = present.observe(seen, F.count(F.lit(1)).alias("n"))
+        # a row for the new tenant, and one that removes it where the former tenant's rows are
+        own = F.struct(F.col("user_id").alias("user_id"), F.lit(False).alias("moved"))
+        left = F.struct(F.col("_former").alias("user_id"), F.lit(True).alias("moved"))
+        each = F.explode(F.when(F.col("user_id").eqNullSafe(F.col("_former")), F.array(own)).otherwise(F.array(own, left)))
+        rows = present.withColumn("_to", each).withColumns({"user_id": F.col("_to.user_id"), "moved": F.col("_to.moved")})
+        removed = F.col("moved") | (F.col("removed") if "removed" in changed.columns else F.lit(False))
+        self.append(rows.withColumn("removed", removed).drop("_former", "_to"), version)
         return seen.get["n"]
 
     def health(self) -> DataFrame:
@@ -194,7 +209,7 @@ class MemoryTable:
 
     def compact(self, target: str) -> None:
         """Current rows as one version in another folder."""
-        self.read().drop("version").withColumn("version", F.lit(0).cast("long")).write.mode("overwrite").partitionBy("user_id").parquet(target)
+        self.read().withColumns({"moved": F.lit(False), "version": F.lit(0).cast("long")}).write.mode("overwrite").partitionBy("user_id").parquet(target)
 
 
 def within_retention(df: DataFrame, days: dict[str, int], as_of: datetime, default: int = 365) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import dedup, scoring, search, store, term_index
+from ..sources.scratch import new_folder
 from ..sources.tables import MEMORIES_SQL, memories, table
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -47,8 +47,8 @@ def _index(spark: SparkSession, sf_dir: str) -> term_index.TermIndex:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's tables."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{new_folder(spark)}_{name}"
 
 
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -556,6 +556,26 @@ def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memory_table(spark, sf_dir).statistics()
 
 
+_MOVED = "(SELECT id, CASE WHEN id % 10 = 0 THEN 'moved' WHEN id % 15 = 0 THEN 'src2' ELSE user_id END AS user_id, is_deleted OR id % 20 = 0 AS is_deleted FROM memories WHERE id % 30 <> 0)"
+
+
+@query(f"SELECT t.reader, m.id, m.user_id, m.is_deleted FROM {_MOVED} m JOIN (VALUES ('src1'), ('src2'), ('moved')) t(reader) ON t.reader = m.user_id")
+def tenant_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three tenants read after every tenth memory, and some more, moved to another of them, and some that moved were deleted, softly or for good."""
+    table_of = store.MemoryTable(spark, _folder(spark, "tenants"))
+    rows = memories(spark, sf_dir, vectors=False).select(*_TABLE_COLUMNS, F.col("created_at").alias("updated_at"))
+    table_of.append(rows, 1)
+    table_of.update(rows.filter("id % 15 = 0").withColumn("user_id", F.lit("src2")), datetime(2024, 3, 1), 2)
+    table_of.update(rows.filter("id % 10 = 0").withColumn("user_id", F.lit("moved")), datetime(2024, 3, 2), 3)
+    table_of.delete(rows.filter("id % 20 = 0").select("id"), datetime(2024, 3, 3), 4)
+    table_of.delete(rows.filter("id % 30 = 0").select("id"), datetime(2024, 3, 4), 5, hard=True)
+    read = None
+    for tenant in ("src1", "src2", "moved"):
+        own = table_of.read(tenant).select(F.lit(tenant).alias("reader"), "id", "user_id", "is_deleted")
+        read = own if read is None else read.unionByName(own)
+    return read
+
+
 @query("SELECT 'healthy' AS status, count(*) FILTER (WHERE id % 11 <> 0) AS rows, true AS sound FROM memories UNION ALL SELECT 'unavailable', 0, false")
 def table_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table, and one that is not there."""

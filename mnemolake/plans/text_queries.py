@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import audit, chunking, compress, evaluate, graph, injection, pii, query_expansion, scoring, search, summarize
+from ..sources.scratch import new_folder
 from ..sources.tables import MEMORIES_SQL, memories, table
 from ..streaming import state
 
@@ -315,9 +316,13 @@ def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(_entities(spark, sf_dir))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph of the conversations' turns."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    turns = _turns(spark, sf_dir)
     found = graph.document_entities(turns)
     return graph.nodes(found), graph.edges(turns, found)
 
@@ -353,14 +358,77 @@ def graph_merged_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_entities(graph.merge_nodes(nodes, nodes)).select("key", "name", "kind", "documents")
 
 
-@query()
+#: Common words of the turns and the phrases that stand for them where relations are asked for, as the turns have none.
+_SPOKEN = ((" the ", " works at "), (" and ", " Reports to "), (" der ", " part of "), (" die ", " managesuses "), (" les ", " created by "), (" la ", " located in "), (" el ", " sent to "))
+
+
+def _related_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.col("content")
+    for word, phrase in _SPOKEN:
+        content = F.replace(content, F.lit(word), F.lit(phrase))
+    return _turns(spark, sf_dir).select("id", content.alias("content"))
+
+
+_RELATED_TEXTS = "(SELECT conv_id * 100 + turn AS doc, " + "replace(" * len(_SPOKEN) + "coalesce(text, '')" + "".join(f", '{word}', '{phrase}')" for word, phrase in _SPOKEN) + " AS t FROM conversations)"
+_SUM_OF_LENGTHS = "coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc, t, '{name}' AS relation, unnest(list_transform(range(1, len(m) + 1), lambda i: {_SUM_OF_LENGTHS.format(x='pieces[1:i]')} + {_SUM_OF_LENGTHS.format(x='m[1:i - 1]')}))::INT AS place"
+    f" FROM (SELECT doc, t, regexp_extract_all(t, '(?i)(?:{p})') AS m, regexp_split_to_array(t, '(?i)(?:{p})') AS pieces FROM {_RELATED_TEXTS}) WHERE len(m) > 0"
+    for p, name in graph.RELATIONS
+)
+_TYPED = (
+    f"WITH {_sql_entities(_RELATED_TEXTS)}, phrases AS ({_PHRASES}),"
+    " near AS (SELECT p.doc, p.relation, p.place, e.key, row_number() OVER (PARTITION BY p.doc, p.relation, p.place ORDER BY abs(strpos(p.w, e.key) - 1 - 50), e.ordinal) AS r"
+    " FROM (SELECT *, lower(substr(t, greatest(place - 100, 0) + 1, place + 100 - greatest(place - 100, 0))) AS w FROM phrases) p JOIN entities e ON e.doc = p.doc AND contains(p.w, e.key)),"
+    " related AS (SELECT a.doc, a.relation, a.place, a.key AS source, b.key AS target FROM near a JOIN near b ON a.doc = b.doc AND a.relation = b.relation AND a.place = b.place AND a.r = 1 AND b.r = 2),"
+    f" units AS (SELECT doc, unnest({_sql_sentences('lower(t)', newlines=False)}) AS s FROM {_RELATED_TEXTS}),"
+    " held AS (SELECT u.doc, u.s, e.key, e.ordinal FROM units u JOIN entities e ON e.doc = u.doc AND contains(u.s, e.key)),"
+    " pairs AS (SELECT DISTINCT a.doc, a.key AS source, b.key AS target FROM held a JOIN held b ON a.doc = b.doc AND a.s = b.s AND a.ordinal < b.ordinal),"
+    f" edges AS (SELECT source, target, relation, count(*) AS weight FROM (SELECT source, target, relation FROM related UNION ALL SELECT source, target, '{graph.TOGETHER}' FROM pairs p"
+    " WHERE NOT EXISTS (SELECT 1 FROM related r WHERE r.doc = p.doc AND least(r.source, r.target) = least(p.source, p.target) AND greatest(r.source, r.target) = greatest(p.source, p.target))) GROUP BY ALL)"
+)
+
+
+@query(f"{_TYPED} SELECT doc, relation, place, source, target FROM related")
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two entities nearest to each phrase of a relation, over all turns."""
+    return graph.phrase_relations(_related_turns(spark, sf_dir))
+
+
+@query(f"{_TYPED} SELECT 'entity' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation")
 def graph_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities by kind and edges by relation, those of phrases among them."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    turns = _related_turns(spark, sf_dir)
     found = graph.document_entities(turns)
     return graph.graph_statistics(graph.nodes(found), graph.typed_edges(turns, found))
 
 
+def _stored_graph(spark: SparkSession, sf_dir: str) -> graph.StoredGraph:
+    """A graph kept up by three batches of turns, one of which was written twice."""
+    stored = graph.StoredGraph(spark, new_folder(spark))
+    for batch in (0, 1, 2, 1):
+        stored.add(_related_turns(spark, sf_dir).filter(F.col("id") % 3 == batch), batch)
+    return stored
+
+
+@query(f"{_TYPED} SELECT source, target, relation, weight FROM edges")
+def graph_incremental_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_graph(spark, sf_dir).edges()
+
+
+@query(f"{_TYPED} SELECT key, name, kind, documents FROM nodes")
+def graph_incremental_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_graph(spark, sf_dir).nodes()
+
+
+@query(f"{_TYPED} SELECT source, target, relation, weight * 2 AS weight FROM edges WHERE relation <> '{graph.TOGETHER}'")
+def graph_merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of phrases of the graph merged with itself; relations stay apart."""
+    turns = _related_turns(spark, sf_dir)
+    own = graph.typed_edges(turns, graph.document_entities(turns)).filter(F.col("relation") != graph.TOGETHER)
+    return graph.merge_edges(own, own)
+
+
 @query("SELECT relation, count(*) FILTER (WHERE n > 0) AS documents, sum(n)::BIGINT AS matches FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS relation, len(regexp_extract_all(lower(content), '{p}')) AS n FROM memories" for p, name in graph.RELATIONS) + ") GROUP BY relation")
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relation_counts(_texts(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, without lineage, in the shared folder."""
     shared_folder(df.sparkSession)

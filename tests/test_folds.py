@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -435,7 +436,9 @@ def test_graph(spark):
         want[r.doc, r.key] = (n + 1, name, ordinal)
     assert grouped == want and grouped[1, "ann lee"][0] == 2
     typed = {(r.source, r.target, r.relation): r.weight for r in graph.typed_edges(df, found).collect()}
-    assert typed[("bob ray", "acme corp", "WORKS_AT")] == 1 and ("acme corp", "bob ray", "RELATED_TO") not in typed and typed[("2024-01-02", "ann lee", "RELATED_TO")] == 1
+    assert typed[("ann@x.org", "acme corp", "WORKS_AT")] == 1 and typed[("2024-01-02", "bob ray", "USES")] == 1
+    assert typed[("bob ray", "acme corp", "MENTIONED_WITH")] == 1
+    assert typed[("2024-01-02", "ann lee", "MENTIONED_WITH")] == 1 and ("2024-01-02", "bob ray", "MENTIONED_WITH") not in typed
     stats = {(r.what, r.kind): r.n for r in graph.graph_statistics(graph.nodes(found), graph.typed_edges(df, found)).collect()}
     assert stats[("entity", "person")] == 2 and stats[("relation", "WORKS_AT")] == 1
 
@@ -444,7 +447,7 @@ def test_edges_of_sentences_with_many_entities(spark):
     name = lambda k: "n" + chr(97 + k // 26) + chr(97 + k % 26)
     sizes = (2, 49, 50, 51, 101, 130)
     texts = [(d, ", ".join(name(k) for k in range(n)) + ". " + name(200) + " and " + name(201)) for d, n in enumerate(sizes)]
-    found = spark.createDataFrame([(d, name(k)) for d, n in enumerate(sizes) for k in (*range(n), 200, 201)], "doc int, key string")
+    found = spark.createDataFrame([(d, k, name(k)) for d, n in enumerate(sizes) for k in (*range(n), 200, 201)], "doc int, ordinal int, key string")
     got = {(r.source, r.target): r.weight for r in graph.edges(spark.createDataFrame(texts, "id int, content string"), found).collect()}
     want = {(name(a), name(b)): sum(b < n for n in sizes) for b in range(130) for a in range(b)} | {(name(200), name(201)): len(sizes)}
     assert got == want
@@ -506,9 +509,65 @@ def test_importance_bounds(spark):
     assert low == 0.1 and plain < 0.7 and high == 1.0 and isinstance(pd.Series([high]).iloc[0], float)
 
 
-def test_pattern_relations(spark):
-    df = spark.createDataFrame([(1, "Ann Lee works at Acme Corp. Bob Ray reports to Ann Lee."), (2, "it uses nothing"), (3, None)], "id long, content string")
-    assert {(r.doc, r.source, r.relation, r.target) for r in graph.pattern_relations(df).collect()} == {(1, "ann lee", "WORKS_AT", "acme corp"), (1, "bob ray", "REPORTS_TO", "ann lee")}
+def test_phrase_relations(spark):
+    """Against the rule as a plain loop, at windows that are cut on either side, and with phrases far from entities."""
+    rng = random.Random(8)
+    names = ["Ann Lee", "Acme Corp", "Bob Ray", "Oslo City", "a@b.org", "Python"]
+    phrases = ["works at", "REPORTS to", "uses", "located in", "managesuses"]
+    filler = ["and so on", "then", "it rained for many days on all of them", "x" * 60]
+    texts = [" ".join(rng.choice(names if rng.random() < 0.4 else phrases if rng.random() < 0.4 else filler) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["it uses nothing", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    found = {}
+    for r in graph.document_entities(df).orderBy("doc", "ordinal").collect():
+        found.setdefault(r["doc"], []).append(r["key"])
+    want = []
+    for i, t in enumerate(texts):
+        for pattern, name in graph.RELATIONS:
+            for m in re.finditer(f"(?i){pattern}", t or ""):
+                start = max(0, m.start() - 100)
+                window = t[start : m.start() + 100].lower()
+                near = sorted((abs(window.index(e) - 50), k, e) for k, e in enumerate(found.get(i, [])) if e in window)[:2]
+                if len(near) == 2:
+                    want.append((i, name, m.start(), near[0][2], near[1][2]))
+    got = [(r["doc"], r["relation"], r["place"], r["source"], r["target"]) for r in graph.phrase_relations(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 50
+
+
+def test_patterns_on_long_runs(spark):
+    """Runs of a quarter of a million characters neither overflow the JVM's stack nor take the square of their length."""
+    n = 1 << 18
+    runs = {"title": "Abc " * (n // 4), "letters": "x" * n + " x@", "blanks": " " * n + "x", "mails": "a.b" * (n // 3) + "@c.org", "digits": "7" * n + " %$", "paths": "ab1/" * (n // 4)}
+    df = spark.createDataFrame(list(runs.items()), "id string, content string").repartition(len(runs))
+    began = time.time()
+    entities = {r["id"]: r["n"] for r in df.select("id", F.size(graph.entity_array(F.col("content"))).alias("n")).collect()}
+    assert entities["title"] == 1 and entities["mails"] == 1
+    assert df.select(F.sum(F.length(tx.stripped(F.col("content"))))).first()[0] > n
+    assert df.select(scoring.importance(F.col("content"), F.lit(0)).alias("s")).filter("s >= 0.1").count() == len(runs)
+    assert {r["id"] for r in df.select("id", F.explode(pii.spans(F.col("content"))).alias("s")).filter("s.kind = 'email'").collect()} == {"mails"}
+    assert df.select(F.max(injection.score(F.col("content")))).first()[0] is not None
+    assert time.time() - began < 300
+
+
+def test_searched_patterns_match_alike(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab1.-@ %,$U") for _ in range(60)).replace("U", " USD ") for _ in range(400)] + ["x@b.co-y@c.org", "1,2345 USD 7%8%", "a@b.cd@e.fg"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (tx.EMAIL, graph.PATTERNS[5][1], graph.PATTERNS[6][1], graph.CAPITALIZED):
+        searched = graph.CAPITALIZED_RUN if pattern == graph.CAPITALIZED else tx.searched(pattern)
+        got = df.select("t", F.regexp_extract_all("t", F.lit(searched), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("b"))
+        assert got.filter("a <> b").count() == 0
+
+
+def test_stored_graph(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"Ann Lee works at Acme Corp. Bob Ray met Ann Lee in Oslo{'.' if k % 2 else ' uses Python.'}") for k in range(9)], "id long, content string")
+    whole = graph.document_entities(df)
+    parts = graph.StoredGraph(spark, str(tmp_path / "graph"))
+    for batch in (0, 1, 2, 0):
+        parts.add(df.filter(F.col("id") % 3 == batch), batch)
+    small = parts.compact(str(tmp_path / "small"))
+    for stored in (parts, small):
+        assert sorted(map(tuple, stored.nodes().collect())) == sorted(map(tuple, graph.nodes(whole).collect()))
+        assert sorted(map(tuple, stored.edges().collect())) == sorted(map(tuple, graph.typed_edges(df, whole).collect()))
 
 
 def test_context_and_suite(spark):
