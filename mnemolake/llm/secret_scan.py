@@ -33,12 +33,15 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: class -> (pattern of the whole string, bits a character at which a window is secret).
 CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.0), "alnum": ("^[0-9A-Za-z]+$", 3.5), "base64": ("", 3.6)}
+#: Paths of words, and the same for the JVM, which would step back into pieces by recursion: no piece can be taken in two ways.
+PATHS = "^/?([A-Za-z]{2,}[0-9]{0,2}[/_-])+[A-Za-z]{2,}[0-9]{0,4}$"
+_PATHS_SEARCHED = "^/?(?:[A-Za-z]{2,}+[0-9]{0,2}+[/_-])++[A-Za-z]{2,}+[0-9]{0,4}+$"
 #: Strings that are no secrets: UUIDs, placeholders and examples, dates and paths of words.
 ALLOW = (
     "^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     "EXAMPLE|[Ee]xample|[Pp]laceholder|[Xx]{6,}|0{8,}",
     "[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "^/?([A-Za-z]{2,}[0-9]{0,2}[/_-])+[A-Za-z]{2,}[0-9]{0,4}$",
+    PATHS,
 )
 
 
@@ -114,7 +117,7 @@ def _secret(value: Column, allow: tuple[str, ...]) -> Column:
         limit = F.when(value.rlike(pattern), F.lit(bits)) if limit is None else (limit.when(value.rlike(pattern), F.lit(bits)) if pattern else limit.otherwise(F.lit(bits)))
     plain = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     for pattern in allow:
-        plain = plain & ~value.rlike(pattern)
+        plain = plain & ~value.rlike(_PATHS_SEARCHED if pattern == PATHS else pattern)
     return F.when(plain, F.round(max_window_entropy(value), 9) >= limit).otherwise(F.lit(False))
 
 

@@ -75,6 +75,20 @@ def test_very_many_matches_in_one_text(spark):
     check(documents(spark, texts))
 
 
+def test_long_candidates(spark):
+    """Candidates of many pieces, which are paths or just miss being ones, and long runs of one kind."""
+    n = 20_000
+    texts = ["ab1/" * n + "ab", "ab1/" * n, "/" + "abc_" * n + "x9", "ab123/" * 50, "a1" * n, "f0" * 200, "token=" + "A" * n + "1", "key/" * n + "Zq8" * 5]
+    check(documents(spark, texts))
+
+
+def test_paths_are_judged_alike(spark):
+    rng = random.Random(11)
+    values = ["".join(rng.choice(["ab", "a", "b1", "/", "_", "-", "99", "7", "/"]) for _ in range(rng.randrange(2, 14))) for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r["v"] for r in rows.filter(F.col("v").rlike(S._PATHS_SEARCHED)).collect()} == {v for v in values if re.search(S.PATHS, v)} != set()
+
+
 def test_running_sums(spark):
     for n in (0, 1, 2, 3, 15, 16, 17, 100):
         sizes = [(7 * k) % 5 for k in range(n)]
