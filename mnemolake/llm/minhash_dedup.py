@@ -327,16 +327,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the ids grow with the corpus, so they are not left to a broadcast at small sizes
     holders = own.filter(F.col("_text").rlike(native.WORD)).join(sig_of.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     texts = scratch.written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
-    links = scratch.written(confirm(_estimated(scratch.written(star), sig_of, least_estimate(percent / 100)), texts, shingle, percent))
+    star = scratch.written(star)
+    links = scratch.written(confirm(_estimated(star, sig_of, least_estimate(percent / 100)), texts, shingle, percent))
+    scratch.drop(star)
     comps = connected_components(links, scratch)
     labelled = members.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     still_open = _dealt(_open(labelled, "key").join(sig_of.hint("merge"), "id"), "key", ["n_shingles", "sig"])
     loose = scratch.written(still_open.groupBy("key", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct())
+    scratch.drop(members)
+    scratch.drop(sig_of)
     if not loose.isEmpty():
         groups = connected_components(loose, scratch).select(F.col("node").alias("id"), F.col("component").alias("loose"))
         labelled = groups.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
         near = _dealt(_open(labelled, "loose").join(texts.hint("merge"), "id"), "loose", ["_text"])
         more = scratch.written(near.groupBy("loose", "i", "j").applyInArrow(_exact(shingle, percent), "a long, b long"))
+        scratch.drop(texts)
         comps = connected_components(links.unionByName(more), scratch)
     classes = reps.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component"))
     # a class can hold the least id of its component only through its representative
@@ -365,14 +370,23 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that ``near_duplicates`` keeps, repeated rows once, with all their columns.
 
     Documents without shingles are all kept. Of documents without an id, which no id tells
-    apart, each distinct text stays. Only rows of ids that occur more than once are compared
-    as rows; others are joined with the list of ids that go or repeat.
+    apart, each distinct text stays. Whole rows are dealt once, to be joined with the narrow list
+    of the ids that go; those of ids that occur more than once, and those without an id, are
+    compared as rows, if there are any.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, percent).filter(native.quoted(id_col).isNotNull())
+    scratch = Scratch(docs.sparkSession)
+    identity = native.quoted(id_col)
     verdict, times, keeps, own_th = native.fresh(docs.columns, "_verdict_id", "_times", "_keeps", "_text_hash")
-    special = found.groupBy(native.quoted(id_col).alias(verdict)).agg(F.count(F.lit(1)).alias(times), F.min("kept").alias(keeps)).filter(f"{times} > 1 OR NOT {keeps}")
-    marked = docs.join(special, native.quoted(id_col) == F.col(verdict), "left")
+    found = near_duplicates(docs, id_col, text_col, shingle, percent).filter(identity.isNotNull())
+    special = found.groupBy(identity.alias(verdict)).agg(F.count(F.lit(1)).alias(times), F.min("kept").alias(keeps)).filter(f"{times} > 1 OR NOT {keeps}")
+    special = scratch.written(special)
     columns = [native.quoted(c) for c in docs.columns]
-    several = marked.filter(F.col(keeps) | native.quoted(id_col).isNull()).withColumn(own_th, F.xxhash64(native.quoted(text_col)))
-    single = marked.filter(F.col(verdict).isNull() & native.quoted(id_col).isNotNull())
-    return single.select(*columns).unionByName(several.dropDuplicates([id_col, own_th]).select(*columns))
+    out = docs.filter(identity.isNotNull()).join(special.hint("merge"), identity == F.col(verdict), "left_anti").select(*columns)
+    repeated = special.filter(keeps)
+    if not repeated.isEmpty():
+        several = docs.join(repeated.hint("merge"), identity == F.col(verdict), "left_semi").withColumn(own_th, F.xxhash64(native.quoted(text_col)))
+        out = out.unionByName(several.dropDuplicates([id_col, own_th]).select(*columns))
+    nameless = docs.filter(identity.isNull())
+    if not nameless.isEmpty():
+        out = out.unionByName(nameless.withColumn(own_th, F.xxhash64(native.quoted(text_col))).dropDuplicates([own_th]).select(*columns))
+    return out
