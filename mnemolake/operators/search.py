@@ -105,7 +105,6 @@ def bm25(df: DataFrame, query: str, id_col: str = "id", text_col: str = "content
         "id", F.size("w").alias("dl"), *(_count(F.col("w"), t).alias(f"t{k}") for k, t in enumerate(wanted))
     )
     n_terms = range(len(wanted))
-    n_terms = range(len(wanted))
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"df{k}") for k in n_terms))
     score = F.lit(0.0)
     for k in n_terms:
@@ -165,13 +164,16 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = 5, dense_weight: float = D
     return top(scored, k)
 
 
-def hybrid_search(df: DataFrame, query: str, vector: Sequence[float], k: int = 5, over_fetch: int = 3, index=None, floor: float | None = None) -> DataFrame:
+def hybrid_search(df: DataFrame, query: str, vector: Sequence[float], k: int = 5, over_fetch: int = 3, index=None, floor: float | None = None, whole: bool = False) -> DataFrame:
     """Dense and BM25 legs over the same filtered rows, ``over_fetch`` times as long, fused.
 
-    With a ``TermIndex`` of at least these rows the sparse leg reads its postings, and only
-    ids of ``df`` count; else the texts are searched.
+    With a ``TermIndex`` the sparse leg reads its postings, and else the texts: with one of
+    just these rows (``whole``) the best blocks of them, with one of more rows all, of which only ids
+    of ``df`` count.
     """
     dense = dense_topk(df, vector, k * over_fetch, floor).select("id", "score")
+    if index is not None and whole:
+        return rrf(dense, index.best(query, k * over_fetch), k)
     sparse = bm25(df, query) if index is None else index.scores(query, only=df)
     return rrf(dense, top(sparse, k * over_fetch), k)
 

@@ -1,4 +1,4 @@
-"""Queries over the memory relation, each with the same result in SQL."""
+"""Queries over the memory relation, each with the same result in SQL where it has one."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import dedup, scoring, search, store, term_index
+from ..operators import dedup, scoring, search, store, term_index, vector_index
 from ..sources.scratch import new_folder
 from ..sources.tables import MEMORIES_SQL, memories, table
 
@@ -289,7 +289,7 @@ def _with(body: str, terms: list[str], more: str = "") -> str:
 
 @query()
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_index(spark, sf_dir).scores(_ASKED), 10).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, sf_dir).best(_ASKED, 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -324,7 +324,7 @@ _FUSED = (
 
 @query()
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.hybrid_search(memories(spark, sf_dir, tombstones=False), _ASKED, _vector(spark, sf_dir), 10, index=_index(spark, sf_dir))
+    found = search.hybrid_search(memories(spark, sf_dir, tombstones=False), _ASKED, _vector(spark, sf_dir), 10, index=_index(spark, sf_dir), whole=True)
     return found.select("id", F.round("score", 6).alias("score"), "kind")
 
 
@@ -375,6 +375,29 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(memories(spark, sf_dir), 0.3).select("tenant", "a", "b", F.round("score", 6).alias("score"))
 
 
+def _with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories, and a copy of each whose components are moved a little, by its id."""
+    rows = memories(spark, sf_dir, tombstones=False).filter("embedding IS NOT NULL").select("id", "user_id", "embedding")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + 0.05 * F.sin((F.col("id") + 1) * (i + 1)))
+    return rows.unionByName(rows.select((F.col("id") + 1_000_000_000).alias("id"), "user_id", moved.cast("array<float>").alias("embedding")))
+
+
+@query()
+def near_dup_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at 0.8 by hashed directions; the tests compare them with those of all pairs."""
+    return dedup.near_pairs_hashed(_with_copies(spark, sf_dir), 0.8).select("tenant", "a", "b", F.round("score", 6).alias("score"))
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch_topk`` through a vector index; the tests measure its recall."""
+    corpus = _vectors(spark, sf_dir)
+    index = vector_index.VectorIndex(spark, _folder(spark, "vectors"))
+    index.build(corpus, k=5)
+    asked = corpus.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.search(asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # the later row of a pair is the new one; its score counts thrice, as few pairs of the tables are that alike
 _ACTION = "CASE WHEN least(1, 3 * p.s) >= 0.95 THEN CASE WHEN length(n.content) > 1.2 * length(o.content) THEN 'update' ELSE 'skip' END WHEN least(1, 3 * p.s) >= 0.85 THEN 'merge' ELSE 'add_with_relation' END"
 
@@ -452,7 +475,7 @@ def index_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.rebuild(rows.filter("id % 3 <> 0"))
     index.add(rows.filter("id % 3 = 0 OR id % 4 = 0"), 1)
     index.remove(rows.filter("id % 7 = 0"), 2)
-    return search.top(index.scores(_ASKED), 25).select("id", F.round("score", 6).alias("score"))
+    return index.best(_ASKED, 25).select("id", F.round("score", 6).alias("score"))
 
 
 ORACLE_SQL["index_add_remove"] = f"WITH {MEMORIES_SQL}, {_sql_bm25(_ASKED.split(), '(SELECT * FROM memories WHERE id % 7 <> 0)')} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 25"
@@ -461,7 +484,7 @@ ORACLE_SQL["index_add_remove"] = f"WITH {MEMORIES_SQL}, {_sql_bm25(_ASKED.split(
 @query()
 def hybrid_two_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the rows in each leg, and no dense hit below 0."""
-    found = search.hybrid_search(memories(spark, sf_dir, tombstones=False), _ASKED, _vector(spark, sf_dir), 10, 2, _index(spark, sf_dir), 0.0)
+    found = search.hybrid_search(memories(spark, sf_dir, tombstones=False), _ASKED, _vector(spark, sf_dir), 10, 2, _index(spark, sf_dir), 0.0, whole=True)
     return found.select("id", F.round("score", 6).alias("score"), "kind")
 
 
