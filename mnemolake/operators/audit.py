@@ -177,13 +177,6 @@ def alerts(series: DataFrame, metric: str, comparator: str, threshold: float, ru
     return df.withColumns({"_last": last, "_more": more, "_n": n}).filter((F.col("_n") == runs) & (F.col("_last") == runs) & (F.col("_more") == runs)).select(key, ts, metric)
 
 
-# Default rules: name, metric, comparator, threshold, minutes that it has to hold.
-ALERT_RULES = (
-    ("high_error_rate", "error_rate", "gt", 0.05, 5),
-    ("high_latency", "latency", "gt", 200.0, 2),
-)
-
-
 def cooled(starts: DataFrame, key: str, ts: str, cooldown: float) -> DataFrame:
     """Alert starts without those within ``cooldown`` seconds of the last one that was sent for the key."""
     kind = starts.schema[key].dataType.simpleString()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vx
+from ..functions.stem import stemmed_texts, with_stems
 from ..operators import dedup, scoring, search, store, term_index, vector_index
 from ..sources.scratch import new_folder
 from ..sources.tables import MEMORIES_SQL, memories, table
@@ -481,6 +482,22 @@ def index_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["index_add_remove"] = f"WITH {MEMORIES_SQL}, {_sql_bm25(_ASKED.split(), '(SELECT * FROM memories WHERE id % 7 <> 0)')} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 25"
 
 
+@query()
+def term_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of all texts with their stems and rows."""
+    found = _index(spark, sf_dir).terms().groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+    return with_stems(found).select("term", "stem", "rows")
+
+
+@query()
+def stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by stems, whatever endings the words have, through an index of the stems of all texts."""
+    index = term_index.TermIndex(spark, _folder(spark, "stems"))
+    index.rebuild(stemmed_texts(_texts(spark, sf_dir)))
+    asked = stemmed_texts(spark.createDataFrame([(0, "things in thanks andes")], "id long, content string")).first()["content"]
+    return index.best(asked, 10).select("id", F.round("score", 6).alias("score"))
+
+
 @query()
 def hybrid_two_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the rows in each leg, and no dense hit below 0."""

@@ -13,7 +13,7 @@ from ..functions import vector as vx
 from ..operators import audit, chunking, compress, evaluate, graph, injection, pii, query_expansion, scoring, search, summarize
 from ..sources.scratch import new_folder
 from ..sources.tables import MEMORIES_SQL, memories, table
-from ..streaming import state
+from ..streaming import alerting, state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -637,11 +637,48 @@ def alert_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("mean", 6).alias("mean"))
 
 
-@query()
+@query(
+    ", starts AS (SELECT event_type, bucket FROM (SELECT event_type, date_trunc('day', ts) AS bucket, avg(value) > 50 AS hit, lag(avg(value) > 50) OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts)) AS before FROM events GROUP BY 1, 2) WHERE hit AND before IS NOT NULL AND NOT before OR hit AND before IS NULL),"
+    " sent AS (SELECT event_type, min(bucket) AS bucket FROM starts GROUP BY 1 UNION ALL SELECT event_type, next FROM (SELECT s.event_type, (SELECT min(t.bucket) FROM starts t WHERE t.event_type = s.event_type AND t.bucket >= s.bucket + INTERVAL 10 DAY) AS next FROM sent s) WHERE next IS NOT NULL)"
+    " SELECT event_type, bucket FROM sent".replace(", starts", "WITH RECURSIVE starts", 1)
+)
 def alerts_cooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one alert in ten days for each kind of event."""
     starts = audit.alerts(audit.metric_series(table(spark, sf_dir, "events")), "mean", "gt", 50.0, runs=1)
-    return audit.cooled(starts, "event_type", "bucket", 10 * 86400.0)
+    return audit.cooled(starts, "event_type", "bucket", 10 * 86400.0).select("event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"))
+
+
+_DAY = 86400.0
+#: Rules over the days of each kind of event; that of the count rests for longer than it holds.
+_ALERT_RULES = (
+    alerting.Rule("high_mean", "mean", "gt", 50.0, _DAY, "error", 4 * _DAY),
+    alerting.Rule("low_mean", "mean", "lt", 50.0, 0.0, "warning", 3 * _DAY),
+    alerting.Rule("peak", "most", "ge", 99.0, 0.5 * _DAY, "critical", 0.0),
+)
+_RULES_SQL = "(VALUES " + ", ".join(f"('{r.name}', '{r.metric}', '{r.severity}', {int(r.hold)}, {int(r.cooldown)})" for r in _ALERT_RULES) + ") r(rule, metric, severity, hold, cooldown)"
+_HITS_SQL = "CASE r.rule " + " ".join(f"WHEN '{r.name}' THEN s.{r.metric} {dict(gt='>', lt='<', ge='>=')[r.comparator]} {r.threshold}" for r in _ALERT_RULES) + " END"
+
+
+def _day_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = audit.metric_series(table(spark, sf_dir, "events"))
+    return alerting.samples_of(series, {"mean": F.col("mean"), "most": F.col("most")}, "event_type", "bucket")
+
+
+@query(
+    "WITH RECURSIVE series AS (SELECT date_trunc('day', ts) AS bucket, event_type, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1, 2),"
+    f" hits AS (SELECT r.*, s.event_type AS key, s.bucket, {_HITS_SQL} AS hit, coalesce(lag({_HITS_SQL}) OVER w, false) AS before FROM series s, {_RULES_SQL} WINDOW w AS (PARTITION BY r.rule, s.event_type ORDER BY s.bucket)),"
+    " edges AS (SELECT *, lead(bucket) OVER (PARTITION BY rule, key ORDER BY bucket) AS ended FROM hits WHERE hit <> before),"
+    " runs AS (SELECT *, row_number() OVER (PARTITION BY rule, key ORDER BY bucket) AS i FROM edges WHERE hit),"
+    " walk AS (SELECT rule, key, 0::BIGINT AS i, NULL::TIMESTAMP AS last, NULL::TIMESTAMP AS fired_at, NULL::TIMESTAMP AS resolved_at, NULL::VARCHAR AS severity FROM (SELECT DISTINCT rule, key FROM runs)"
+    " UNION ALL SELECT rule, key, i, CASE WHEN ok THEN f ELSE last END, CASE WHEN ok THEN f END, CASE WHEN ok THEN ended END, severity FROM"
+    " (SELECT *, f <= TIMESTAMP '2100-01-01' AND (ended IS NULL OR f < ended) AS ok FROM (SELECT r.rule, r.key, r.i, w.last, r.ended, r.severity,"
+    " greatest(r.bucket + INTERVAL 1 SECOND * r.hold, coalesce(w.last + INTERVAL 1 SECOND * r.cooldown, r.bucket + INTERVAL 1 SECOND * r.hold)) AS f FROM walk w JOIN runs r ON r.rule = w.rule AND r.key = w.key AND r.i = w.i + 1)))"
+    " SELECT rule, key, severity, fired_at, resolved_at FROM walk WHERE fired_at IS NOT NULL"
+)
+def alerts_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of three rules over the days of each kind of event."""
+    found = alerting.fired(_day_samples(spark, sf_dir), _ALERT_RULES, datetime(2100, 1, 1))
+    return found.select("rule", "key", "severity", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("fired_at", "resolved_at")))
 
 
 @query(
