@@ -69,6 +69,27 @@ def test_greedy_fill_passes_over_what_does_not_fit(spark):
     assert {r.id for r in summarize.greedy_fill(rows, "g", F.lit(100), "score", "cost", "id").collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("rounds", [1, 12])
+def test_greedy_fill_in_rounds(spark, monkeypatch, rounds):
+    """Groups of many rows, with costs of zero, ties, a null group and one that goes through both ways."""
+    monkeypatch.setattr(summarize, "ROUNDS", rounds)
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "b", None, "few"]) if k > 3 else "few", k, rng.choice([0.1, 0.5, 0.5, rng.random()]), rng.choice([0, 1, 5, 40, rng.randrange(90), 500])) for k in range(900)]
+    rows = [r for r in rows if r[0] != "few" or r[1] < 40]
+    budgets = {"a": 700, "b": 95, None: 300, "few": 80}
+    want = set()
+    for g, budget in budgets.items():
+        used = 0
+        for _, i, score, cost in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if used + cost <= budget:
+                used += cost
+                want.add((g, i))
+    df = spark.createDataFrame(rows, "g string, id long, score double, cost int")
+    budget = F.when(F.col("g") == "a", 700).when(F.col("g") == "b", 95).when(F.col("g") == "few", 80).otherwise(300)
+    got = summarize.greedy_fill(df, "g", budget, "score", "cost", "id", large=50).collect()
+    assert len(got) == len(want) and {(r["g"], r["id"]) for r in got} == want
+
+
 def test_leader_clusters(spark):
     members = spark.createDataFrame([("t", k, T0 + datetime.timedelta(minutes=k)) for k in range(6)], "tenant string, id long, created_at timestamp")
     pairs = spark.createDataFrame([("t", 3, 5, 0.9), ("t", 2, 3, 0.9), ("t", 0, 2, 0.9)], "tenant string, a long, b long, score double")
