@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the place of the one before.
     """
     pairs = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while not pairs.join(pairs.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty() or _several(pairs):
+    while not _settled(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = native.join_split(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -33,6 +33,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def _several(pairs: DataFrame) -> bool:
-    """Whether a node has more than one lesser neighbour."""
-    return not pairs.groupBy("u").count().filter("count > 1").isEmpty()
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour, which has none: asked of all nodes at once, as nodes and as neighbours."""
+    ends = pairs.select("u", F.lit(1).alias("lesser"), F.lit(0).alias("greater")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("lesser"), F.lit(1).alias("greater")))
+    each = ends.groupBy("u").agg(F.sum("lesser").alias("lesser"), F.max("greater").alias("greater"))
+    return each.filter("lesser > 1 OR lesser > 0 AND greater > 0").isEmpty()
