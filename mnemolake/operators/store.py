@@ -140,6 +140,13 @@ class MemoryTable:
         marks = {c: F.lit(False) for c in ("removed", "moved") if c not in df.columns}
         df.withColumns(marks | {"version": F.lit(version).cast("long")}).write.mode("append").partitionBy("user_id").parquet(self.path)
 
+    def append_once(self, df: DataFrame, version: int) -> bool:
+        """Append the rows unless there are none or the version is there already, as for a batch that is tried again; whether they were."""
+        if df.isEmpty() or self.exists() and not self.spark.read.parquet(self.path).filter(F.col("version") == version).isEmpty():
+            return False
+        self.append(df, version)
+        return True
+
     def _current(self, df: DataFrame) -> DataFrame:
         """The last version of each row; of one version, that of the tenant it moved to."""
         stays = df.withColumn("_stays", ~F.col("moved"))

@@ -521,6 +521,21 @@ def related_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.related(memories(spark, sf_dir, tombstones=False), 7, 5, _index(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), "kind")
 
 
+_Q7 = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
+ORACLE_SQL["related_memories"] = (
+    f"WITH {MEMORIES_SQL}, words AS (SELECT id, {_TERMS} AS t FROM memories), stats AS (SELECT count(*) AS n, avg(len(t))::DOUBLE AS mean FROM words),"
+    " postings AS (SELECT id, len(any_value(t)) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM words) GROUP BY id, term),"
+    " asked AS (SELECT DISTINCT term FROM postings WHERE id = 7), rarity AS (SELECT term, count(*) AS df FROM postings GROUP BY term),"
+    " sparse AS (SELECT p.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5::DOUBLE / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM postings p JOIN asked USING (term) JOIN rarity USING (term), stats WHERE p.id <> 7 GROUP BY p.id ORDER BY score DESC, p.id LIMIT 15),"
+    f" dense AS (SELECT id, {_sql_cos('embedding', _Q7)} AS score FROM memories WHERE embedding IS NOT NULL AND id <> 7 ORDER BY score DESC, id LIMIT 15),"
+    " d AS (SELECT id, score AS dense_score, 0.6::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS p FROM dense),"
+    " s AS (SELECT id, score AS sparse_score, 0.4::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS p FROM sparse)"
+    " SELECT coalesce(d.id, s.id) AS id, round(coalesce(d.p, 0) + coalesce(s.p, 0), 6) AS score,"
+    " CASE WHEN coalesce(dense_score, 0) > 0 AND coalesce(sparse_score, 0) > 0 THEN 'hybrid' WHEN coalesce(dense_score, 0) > 0 THEN 'dense' ELSE 'sparse' END AS kind"
+    " FROM d FULL OUTER JOIN s ON d.id = s.id ORDER BY coalesce(d.p, 0) + coalesce(s.p, 0) DESC, coalesce(d.id, s.id) LIMIT 5"
+)
+
+
 @query(f"SELECT id, round(s, 3) AS score FROM (SELECT id, created_at, round({_sql_cos('embedding', _Q0)}, 1) AS s FROM memories WHERE embedding IS NOT NULL) ORDER BY s DESC, created_at DESC, id LIMIT 20")
 def dense_ties_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of one decimal, which tie, newest first."""

@@ -440,7 +440,7 @@ def pii_redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", pii.redact_emails(F.col("content")).alias("redacted"))
 
 
-@query()
+@query("SELECT id, " + ", ".join(f"coalesce(len(regexp_extract_all(content, '{p}')), 0)::BIGINT AS {kind}_{k}" for k, (kind, p, _) in enumerate(pii.RECOGNIZERS)) + " FROM (SELECT id, regexp_replace(content, '[^\\x00-\\x7F\\P{L}]', '_', 'g') AS content FROM memories)")  # letters beyond ASCII are parts of words here too
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("id", *(c.alias(k) for k, c in pii.counts(F.col("content")).items()))
 

@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.folds import fold_sorted
+from ..operators.store import MemoryTable
 
 # Tokens that a working memory holds, summed importance at which it should reflect, summaries it keeps.
 CAPACITY, REFLECT_AT, SUMMARIES = 128_000, 10.0, 5
@@ -209,46 +211,61 @@ def working_memory(messages: DataFrame, session: str = "conv_id", order: str = "
 
 
 def archived_texts(messages: DataFrame, session: str = "conv_id", order: str = "turn", capacity: int = CAPACITY, manage_at: int | None = None) -> DataFrame:
-    """session, reason, text of what the sessions' messages send to the archive, in rows for ``archival_rows``."""
+    """session, place, reason, text of what the sessions' messages send to the archive, numbered in each session from 1, in rows for ``archival_rows``."""
 
     def step(memory: dict, row: dict) -> list[dict]:
-        return [{session: row[session], "reason": reason, "text": text} for reason, text in remember(memory, row["text"] or "", row["importance"], manage_at)]
+        sent = remember(memory, row["text"] or "", row["importance"], manage_at)
+        memory["archived"] += len(sent)
+        return [{session: row[session], "place": memory["archived"] - len(sent) + k + 1, "reason": reason, "text": text} for k, (reason, text) in enumerate(sent)]
 
     kind = messages.schema[session].dataType.simpleString()
-    return fold_sorted(messages.select(session, order, "text", "importance"), [session], [F.col(order)], f"{session} {kind}, reason string, text string", lambda: new_memory(capacity), step)
+    start = lambda: new_memory(capacity) | {"archived": 0}
+    return fold_sorted(messages.select(session, order, "text", "importance"), [session], [F.col(order)], f"{session} {kind}, place long, reason string, text string", start, step)
 
 
 def archival_rows(archived: DataFrame, first_id: int, at: datetime, session: str = "conv_id") -> DataFrame:
-    """Archived texts as memories of the user ``system``: semantic, of importance 0.7, with their source and session as metadata."""
-    rank = F.row_number().over(Window.partitionBy(session).orderBy("reason", F.xxhash64("text")))
-    own = archived.withColumn("_n", rank)
-    return own.select(
-        (F.lit(first_id) + F.pmod(F.xxhash64(session, "_n"), F.lit(1 << 40))).alias("id"), F.lit("system").alias("user_id"), F.col("text").alias("content"), F.lit(at).alias("created_at"),
+    """Archived texts as memories of the user ``system``: semantic, of importance 0.7, with their source and session as metadata; ids follow from the session and the place in it."""
+    return archived.select(
+        (F.lit(first_id) + F.pmod(F.xxhash64(session, "place"), F.lit(1 << 40))).alias("id"), F.lit("system").alias("user_id"), F.col("text").alias("content"), F.lit(at).alias("created_at"),
         F.lit(0.7).alias("importance"), F.lit(0).alias("access_count"), F.lit(1).alias("type"), F.create_map(F.lit("source"), "reason", F.lit("session_id"), F.col(session).cast("string")).alias("metadata"),
         F.lit(False).alias("is_deleted"),
     )
 
 
 def working_memory_stream(messages: DataFrame, session: str = "conv_id", order: str = "turn", capacity: int = CAPACITY, manage_at: int | None = None) -> DataFrame:
-    """session, reason, text of what each micro-batch archives; the session's memory is its state."""
+    """session, place, reason, text of what each micro-batch archives; the session's memory is its state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = new_memory(capacity)
+        memory, place = new_memory(capacity), 0
         if state.exists:
-            memory["context"], memory["importance"], memory["summaries"] = state.get[0], state.get[1], list(state.get[2])
+            memory["context"], memory["importance"], memory["summaries"], place = state.get[0], state.get[1], list(state.get[2]), state.get[3]
             _counted(memory)
         out = []
         for text, weight in pd.concat(list(batches)).sort_values(order)[["text", "importance"]].itertuples(index=False):
             out += remember(memory, text or "", weight, manage_at)
-        state.update((memory["context"], memory["importance"], memory["summaries"]))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=[session, "reason", "text"])
+        state.update((memory["context"], memory["importance"], memory["summaries"], place + len(out)))
+        yield pd.DataFrame([(key[0], place + k + 1, *x) for k, x in enumerate(out)], columns=[session, "place", "reason", "text"])
 
     kind = messages.schema[session].dataType.simpleString()
     return messages.groupBy(session).applyInPandasWithState(
-        step, f"{session} {kind}, reason string, text string", "context string, importance double, summaries array<string>", "append", GroupStateTimeout.NoTimeout
+        step, f"{session} {kind}, place long, reason string, text string", "context string, importance double, summaries array<string>, place long", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def archive_stream(messages: DataFrame, table: MemoryTable, checkpoint: str, first_id: int, at: datetime, session: str = "conv_id", capacity: int = CAPACITY, manage_at: int | None = None) -> StreamingQuery:
+    """The stream that keeps what sessions archive as memories of ``table``, as all messages at once would give it; runs over what is there and ends.
+
+    A micro-batch is one version of the table, by its number, and written once however often it
+    is tried; ids follow from the session and place, so a batch that comes again changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.append_once(archival_rows(batch, first_id, at, session), number + 1)
+
+    archived = working_memory_stream(messages, session, capacity=capacity, manage_at=manage_at)
+    return archived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def window_counts_stream(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """bucket, event_type, n, total of a stream by tumbling windows under a watermark."""
     counted = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

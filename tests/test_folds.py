@@ -733,3 +733,95 @@ def test_queries_without_sql_against_plain_folds(spark):
     events = plans.memory_queries.table(spark, sf, "events").collect()
     allowed = {r.event_id: r.allowed for r in plans.QUERIES["rate_limit"](spark, sf).collect()}
     assert allowed == limited([(r.event_id, r.user_id, r.event_type, (r.ts - T0).total_seconds()) for r in events], 86400.0, 2, 4)
+
+
+def memory_loop(messages, capacity, manage_at):
+    """A session's memory by the stated rules: (tokens, context, importance, summaries, archived texts with their reasons)."""
+    context, summaries, weight, archived = "", [], 0.0, []
+    tokens = lambda: int(len((context + " ".join(summaries)).split()) * 1.3) if context or summaries else 0
+
+    def third(text):
+        cut = len(text) // 3
+        for end in ("\n\n", ". "):
+            at = text.find(end, cut)
+            if 0 < at < len(text) / 2:
+                return at + 2
+        return cut
+
+    for text, importance in messages:
+        context = f"{context}\n\n{text}" if context else text
+        weight += importance
+        if tokens() > capacity * 0.9:
+            at = third(context)
+            if context[:at]:
+                archived.append(("truncation", context[:at]))
+            context = context[at:]
+        if manage_at is not None and tokens() > manage_at * 0.85:
+            if context.strip():
+                archived.append(("reflection", context))
+                summaries = [*summaries, context.split(".")[0]][-5:]
+                context, weight = "\n".join(summaries[-2:]), 0.0
+            if tokens() > manage_at * 0.9:
+                context = context[third(context) :]
+    return tokens(), len(context), weight, len(summaries), archived
+
+
+@pytest.mark.parametrize("name", ["working_memory", "working_memory_managed"])
+def test_working_memory_queries(spark, name):
+    sf = "/root/testdata/sf0.01"
+    sessions = {}
+    for r in plans.text_queries._messages(spark, sf).orderBy("conv_id", "turn").collect():
+        sessions.setdefault(r["conv_id"], []).append((r["text"] or "", r["importance"]))
+    limits = (400, 400) if name.endswith("managed") else (state.CAPACITY, None)
+    want = {}
+    for k, own in sessions.items():
+        tokens, chars, weight, summaries, archived = memory_loop(own, *limits)
+        want[k] = (len(own), tokens, chars, round(weight, 6), weight >= 10, summaries, len(archived))
+    got = {r[0]: tuple(r)[1:] for r in plans.QUERIES[name](spark, sf).collect()}
+    assert got == want and (name == "working_memory" or any(x[-1] for x in want.values()))
+
+
+def test_archive_of_a_stream(spark, tmp_path):
+    """All messages at once, a stream of files, and one that is stopped, started again and tries a batch twice keep the same memories."""
+    sf = "/root/testdata/sf0.01"
+    messages = plans.text_queries._messages(spark, sf).select("conv_id", "turn", "text", "importance").cache()
+    at, first = datetime.datetime(2024, 2, 1), 1 << 41
+    want = sorted((r["id"], r["content"]) for r in state.archival_rows(state.archived_texts(messages, capacity=300, manage_at=300), first, at).collect())
+    source = str(tmp_path / "in")
+    table = store.MemoryTable(spark, str(tmp_path / "table"))
+
+    def run():
+        stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        state.archive_stream(stream, table, str(tmp_path / "c"), first, at, capacity=300, manage_at=300).awaitTermination()
+
+    for k, turns in enumerate(("turn < 1", "turn BETWEEN 1 AND 2", "turn > 2")):
+        messages.filter(turns).coalesce(1).write.mode("append").parquet(source)
+        if k == 1:
+            run()
+    run()
+    got = table.read()
+    assert sorted((r["id"], r["content"]) for r in got.collect()) == want and len(want) > 20
+    assert not table.append_once(got.drop("version"), got.agg(F.max("version")).first()[0]) and got.filter("user_id = 'system' AND type = 1").count() == len(want)
+
+
+def test_reranked_queries(spark):
+    """Marginal relevance over the registered queries' hits, as a loop."""
+    sf = "/root/testdata/sf0.01"
+    vectors = {r["vec_id"]: np.array(r["embedding"], np.float64) / np.linalg.norm(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+
+    def order(scores, k):
+        left, chosen = sorted(scores, key=lambda i: (-scores[i], i)), []
+        while left and len(chosen) < k:
+            gain = [0.7 * scores[i] - 0.3 * (max(vectors[i] @ vectors[j] for j in chosen) if chosen else 0) for i in left]
+            chosen.append(left.pop(int(np.argmax(gain))))
+        return chosen
+
+    got = plans.QUERIES["mmr_rerank"](spark, sf).orderBy("query_id", "position").collect()
+    for q in {r["query_id"] for r in got}:
+        scores = {i: float(v @ vectors[q]) for i, v in vectors.items()}
+        best = dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:20])
+        assert [r["id"] for r in got if r["query_id"] == q] == order(best, 5)
+    from mnemolake.plans import memory_queries as mq
+
+    fused = {r["id"]: r["score"] for r in search.hybrid_search(mq.memories(spark, sf, tombstones=False), mq._ASKED, mq._vector(spark, sf), 10, index=mq._index(spark, sf)).collect() if r["id"] in vectors}
+    assert [r["id"] for r in plans.QUERIES["hybrid_reordered"](spark, sf).orderBy("position").collect()] == order(fused, len(fused))
