@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from contextlib import contextmanager
 
@@ -72,3 +73,6 @@ class Scratch:
         place = "" if table is None else f"/{next(k for k, t in enumerate(self.tables) if t is table)}.parquet"
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder + place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # plans and broadcasts of what read it are held until both sides collect their garbage, which may come late in a driver
+        gc.collect()
+        self.spark._jvm.System.gc()
