@@ -99,6 +99,12 @@ def _canonical(kind: Column, text: Column) -> Column:
     )
 
 
+def remainder(text: Column) -> Column:
+    """The number that digits and capital letters, as 10 to 35, make, modulo 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+
+
 def given_surrogates(key: str) -> dict[str, dict[str, str]]:
     """Each list's names with their surrogates: the next in the order by a hash of the key and the name, one cycle through the list."""
     out = {}
@@ -111,7 +117,7 @@ def given_surrogates(key: str) -> dict[str, dict[str, str]]:
 def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     """A surrogate of a canonical form, of its kind, length (names and addresses of hosts aside) and shape.
 
-    Surnames keep an ending that tells gender. Surnames and parts of mail addresses get longer
+    Valid card numbers and IBANs get valid check digits. Surnames keep an ending that tells gender. Surnames and parts of mail addresses get longer
     by a letter with every second attempt if they have one or two characters besides, with
     every eighth if more, as few others are that short.
     """
@@ -140,7 +146,11 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     card = F.concat(F.substring(form, 1, 1), F.array_join(F.transform(F.slice(chars, F.lit(2), F.size(chars) - 1), shaped), ""))
     body = F.substr(card, F.lit(1), F.char_length(card) - 1)
     checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda v: F.call_function("luhn_check", v))[0]
-    iban = F.concat(F.substring(form, 1, 2), F.array_join(F.transform(F.slice(chars, F.lit(3), F.size(chars) - 2), shaped), ""))
+    country, account = F.substring(form, 1, 2), F.array_join(F.transform(F.slice(chars, F.lit(5), F.size(chars) - 4), lambda c, i: shaped(c, i + 2)), "")
+    check = F.lpad((98 - remainder(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    drawn = F.array_join(F.transform(F.slice(chars, F.lit(3), F.lit(2)), shaped), "")
+    valid = remainder(F.concat(F.substr(form, F.lit(5)), F.substring(form, 1, 4))) == 1
+    iban = F.concat(country, F.when(valid, check).otherwise(drawn), account)
     octets = F.transform(F.split(form, "\\."), lambda o, i: (value(2 * i) % 254 + 1).cast("string"))
     out = F.when(kind == "card", F.when(F.call_function("luhn_check", form), checked).otherwise(card)).when(kind == "ip", F.array_join(octets, ".")).when(kind == "iban", iban)
     for name, following in given_surrogates(key).items():

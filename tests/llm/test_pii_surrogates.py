@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import regex
@@ -60,6 +61,24 @@ def test_formats_gender_and_script(spark):
     assert replaced(spark, texts) == out and replaced(spark, texts, key="other") != out
 
 
+def sound(iban):
+    """Whether the check digits of an IBAN are right."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_valid_ibans_stay_valid(spark):
+    """And those with wrong check digits, which are no one's, need not become valid."""
+    rng = random.Random(4)
+    valid = []
+    for _ in range(60):
+        country, account = rng.choice(["DE", "FR", "GB"]), "".join(rng.choice("0123456789ABZ") for _ in range(18))
+        valid.append(next(f"{country}{d:02d}{account}" for d in range(2, 99) if sound(f"{country}{d:02d}{account}")))
+    out = replaced(spark, [f"pay to {v} now" for v in valid] + ["pay to DE00370400440532013000 now", "pay to DE89 3704 0044 0532 0130 00 now"])
+    found = [t[7:-4] for t in out]
+    assert all(sound(x) and x != v and x[:2] == v[:2] for x, v in zip(found, valid)) and len(set(found)) == 62
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", found[61]) and sound(found[61].replace(" ", ""))
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
@@ -116,7 +135,10 @@ def draw(key, kind, form, attempt):
         out = body[0] + every(body[1:])
         return next(out[:-1] + str(d) for d in range(10) if luhn(out[:-1] + str(d))) if luhn(body) else out
     if kind == "iban":
-        return body[:2] + every(body[2:])
+        out = body[:2] + every(body[2:])
+        if sound(body):
+            out = next(f"{body[:2]}{d:02d}{out[4:]}" for d in range(2, 99) if sound(f"{body[:2]}{d:02d}{out[4:]}"))
+        return out
     if kind == "ip":
         return ".".join(str(value(2 * i) % 254 + 1) for i in range(4))
     return every(body) + ending
