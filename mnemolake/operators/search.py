@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,42 +49,80 @@ def newest_first() -> list[Column]:
     return [F.desc("created_at")]
 
 
+#: Queries that are sent to the tasks of the corpus as they are; more are dealt to blocks.
+FEW_QUERIES = 1024
+#: Rows of one part of the corpus, about, and scores that a worker holds at once.
+PART_ROWS, PRODUCT = 16384, 1 << 21
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay."""
+    v = vectors.astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(asked_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores): the k rows of the highest inner product for each query, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    m, out = min(k, len(ids)), []
+    for low in range(0, len(asked) if m else 0, step := max(1, PRODUCT // max(1, len(ids)))):
+        scores = asked[low : low + step] @ vectors.T
+        least = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
+        for r, q in enumerate(asked_ids[low : low + step]):
+            at = np.flatnonzero(scores[r] >= least[r])
+            at = at[np.argsort(-scores[r][at], kind="stable")[:m]]  # ids are in order, so equal scores are too
+            out.append((np.full(m, q), ids[at], scores[r][at]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", block: int = 512) -> DataFrame:
     """query_id, id, score, rank: the k nearest rows by cosine for each row of queries (query_id, vector).
 
-    Queries are dealt to blocks of about ``block`` and the corpus to as many parts as there are
-    shuffle partitions; each task multiplies a block by a part and keeps the k best of each
-    query, and a window keeps the k best of those. Nothing goes through the driver.
+    Up to FEW_QUERIES go to the tasks of the corpus, which is not shuffled; more are dealt to
+    blocks of about ``block``, and the corpus to parts of about PART_ROWS. Each task keeps the k
+    best of each query, and a window keeps the k best of those. Rows without a vector are left out.
     """
-    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").alias("v"), F.lit(0).alias("side"))
-    x = corpus.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.lit(1).alias("side"))
+    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    x = corpus.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    few = q.limit(FEW_QUERIES + 1).collect()
+    local = _of_few(few, x, k) if len(few) <= FEW_QUERIES else _of_blocks(q, x, k, block)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return local.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+
+
+def _of_few(few: list, x: DataFrame, k: int) -> DataFrame:
+    asked_ids = np.array([r["id"] for r in few], np.int64)
+    asked = units(np.array([r["v"] for r in few], np.float64)) if few else np.zeros((0, 1))
+    shared = x.sparkSession.sparkContext.broadcast((asked_ids, asked))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = shared.value
+        for batch in batches:
+            if batch.num_rows and len(own_ids):
+                v = units(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                yield pa.record_batch(list(map(pa.array, nearest(own_ids, own, batch.column(0).to_numpy(), v, k))), ["query_id", "id", "score"])
+
+    return x.mapInArrow(best, "query_id long, id long, score double")
+
+
+def _of_blocks(q: DataFrame, x: DataFrame, k: int, block: int) -> DataFrame:
+    n = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-x.count() // PART_ROWS))
     blocks = q.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
     own = F.when(F.col("side") == 0, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.lit(n))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.lit(n)).otherwise(F.col("blocks")) - 1))
-    dealt = q.unionByName(x).crossJoin(F.broadcast(blocks)).withColumns({"own": own, "other": other})
+    both = q.withColumn("side", F.lit(0)).unionByName(x.withColumn("side", F.lit(1)))
+    dealt = both.crossJoin(F.broadcast(blocks)).withColumns({"own": own, "other": other})  # one row of a number
     i, j = (F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")).alias(c) for s, c in ((0, "i"), (1, "j")))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = [], []
-        for s in (0, 1):
-            side = pdf[pdf["side"] == s]
-            if not len(side):
-                return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            v = np.stack(side["v"].to_numpy()).astype(np.float64)
-            ids.append(side["id"].to_numpy())
-            vectors.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))
-        out = []
-        for low in range(0, len(ids[0]), 64):
-            scores = vectors[0][low : low + 64] @ vectors[1].T
-            m = min(k, scores.shape[1])
-            order = np.lexsort((np.broadcast_to(ids[1], scores.shape), -scores), axis=1)[:, :m]
-            out.append(pd.DataFrame({"query_id": np.repeat(ids[0][low : low + 64], m), "id": ids[1][order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
-        return pd.concat(out)
-
-    local = dealt.select("id", "v", "side", i, j).groupBy("i", "j").applyInPandas(best, "query_id long, id long, score double")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return local.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+        sides = [pdf[pdf["side"] == s] for s in (0, 1)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        (asked_ids, asked), (ids, v) = ((side["id"].to_numpy(), units(np.stack(side["v"].to_numpy()))) for side in sides)
+        return pd.DataFrame(dict(zip(("query_id", "id", "score"), nearest(asked_ids, asked, ids, v, k))))
+
+    return dealt.select("id", "v", "side", i, j).groupBy("i", "j").applyInPandas(best, "query_id long, id long, score double")
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -13,23 +13,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import batch_topk
+from .search import PART_ROWS, batch_topk, nearest, units
 
 #: Most cells, which bounds the centroids that are broadcast; rows of a larger table make larger cells.
 MAX_CELLS = 1 << 14
 #: Rows of the sample that centroids are fitted on, for each cell, and queries of the sample that recall is measured with.
 SAMPLE_ROWS, SAMPLE_QUERIES = 64, 256
-#: Rows of one part of a cell, about, that a task compares with the queries of that cell.
-PART_ROWS = 16384
 #: The share of the true neighbours that the number of probed cells is chosen for.
 RECALL = 0.95
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    """Rows of vectors at length 1; zero vectors stay."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    return units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
 class VectorIndex:
@@ -134,18 +129,11 @@ class VectorIndex:
 
         def best(pdf: pd.DataFrame) -> pd.DataFrame:
             own = pdf["side"].to_numpy() == 0
-            q, x = pdf[own], pdf[~own].sort_values("id")
+            q, x = pdf[own], pdf[~own]
             if not len(q) or not len(x):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            a, b = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (q, x))
-            a, b = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (a, b))
-            ids, asked_ids, out = x["id"].to_numpy(), q["id"].to_numpy(), []
-            m = min(k, len(ids))
-            for low in range(0, len(a), 64):
-                scores = a[low : low + 64] @ b.T
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :m]  # ids are in order, so ties are too
-                out.append(pd.DataFrame({"query_id": np.repeat(asked_ids[low : low + 64], m), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
-            return pd.concat(out)
+            a, b = (units(np.stack(side["vector"].to_numpy())) for side in (q, x))
+            return pd.DataFrame(dict(zip(("query_id", "id", "score"), nearest(q["id"].to_numpy(), a, x["id"].to_numpy(), b, k))))
 
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         found = rows.unionByName(asked).repartition(n, "cell", "part").groupBy("cell", "part").applyInPandas(best, "query_id long, id long, score double")

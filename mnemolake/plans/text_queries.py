@@ -316,13 +316,13 @@ def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(_entities(spark, sf_dir))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _graph_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("content"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph of the conversations' turns."""
-    turns = _turns(spark, sf_dir)
+    turns = _graph_turns(spark, sf_dir)
     found = graph.document_entities(turns)
     return graph.nodes(found), graph.edges(turns, found)
 
@@ -366,7 +366,7 @@ def _related_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.col("content")
     for word, phrase in _SPOKEN:
         content = F.replace(content, F.lit(word), F.lit(phrase))
-    return _turns(spark, sf_dir).select("id", content.alias("content"))
+    return _graph_turns(spark, sf_dir).select("id", content.alias("content"))
 
 
 _RELATED_TEXTS = "(SELECT conv_id * 100 + turn AS doc, " + "replace(" * len(_SPOKEN) + "coalesce(text, '')" + "".join(f", '{word}', '{phrase}')" for word, phrase in _SPOKEN) + " AS t FROM conversations)"

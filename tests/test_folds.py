@@ -825,3 +825,92 @@ def test_reranked_queries(spark):
 
     fused = {r["id"]: r["score"] for r in search.hybrid_search(mq.memories(spark, sf, tombstones=False), mq._ASKED, mq._vector(spark, sf), 10, index=mq._index(spark, sf)).collect() if r["id"] in vectors}
     assert [r["id"] for r in plans.QUERIES["hybrid_reordered"](spark, sf).orderBy("position").collect()] == order(fused, len(fused))
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_compression_queries(spark):
+    """The registered queries on all texts but those that plain loops take too long for."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALLEST}/documents.parquet").collect()}
+    got = {r["id"]: r for r in plans.QUERIES["compress_stop_words"](spark, SMALLEST).collect()}
+    assert got.keys() == texts.keys()
+    short = {i: t for i, t in texts.items() if len(t.split()) < 500}
+    assert len(short) > 100 and all(got[i]["compressed"].split() == drop_words(t.split(), 0.7) for i, t in short.items() if t.strip())
+    got = {r["id"]: r for r in plans.QUERIES["compress_sentences"](spark, SMALLEST).collect()}
+    ascii_texts = {i: t for i, t in short.items() if t.isascii() and t.strip()}
+    for i, t in ascii_texts.items():
+        want = sentence_prune(t, 0.5)
+        assert (got[i]["compressed"], got[i]["n_tokens"], got[i]["n_kept"]) == want[:3] and got[i]["retention"] == pytest.approx(want[3], abs=1e-6)
+    assert len(ascii_texts) > 40
+
+
+def test_summary_query(spark):
+    """Each conversation's summary from its sentences, by scores and a greedy fill in loops."""
+    groups = {}
+    for r in plans.text_queries._units(spark, SMALLEST).collect():
+        if len(r["unit"]) >= 10:
+            groups.setdefault(r["key"], []).append(r)
+    want = {}
+    for key, own in groups.items():
+        centre = np.mean([r["vector"] for r in own], axis=0)
+        scored = []
+        for r in own:
+            v, words = np.array(r["vector"]), len(r["unit"].split())
+            length = np.linalg.norm(v) * np.linalg.norm(centre)
+            score = 0.3 * (v @ centre / length if length else 0) + 0.3 * r["importance"] + 0.2 * (0.3 if words < 5 else 1.0 if words <= 25 else 0.7 if words <= 50 else 0.4)
+            score += 0.1 * bool(re.search("[A-Z][a-z]+", r["unit"])) + 0.1 * bool(re.search("[0-9]{1,2}:[0-9]{2}|[0-9]{4}", r["unit"]))
+            scored.append((-round(score, 9), r["ordinal"], r))
+        target, used, chosen = max(int(sum(len(r["unit"]) // 4 for r in own) * 0.3), 500), 0, []
+        for _, _, r in sorted(scored, key=lambda x: x[:2]):
+            if used + len(r["unit"]) // 4 <= target:
+                used += len(r["unit"]) // 4
+                chosen.append(r)
+        by_source = {}
+        for r in sorted(chosen, key=lambda r: r["ordinal"]):
+            by_source.setdefault(r["source"], []).append(r["unit"])
+        want[key] = ("\n\n".join(" ".join(x) for x in by_source.values()), len(chosen))
+    got = {r["key"]: (r["summary"], r["n_sentences"]) for r in plans.QUERIES["summaries"](spark, SMALLEST).collect()}
+    assert got == want and any(n < len(groups[k]) for k, (_, n) in want.items())
+
+
+def test_topic_segments_query(spark):
+    groups = {}
+    for r in plans.text_queries._turns(spark, SMALLEST).collect():
+        groups.setdefault(r["key"], []).append((r["ordinal"], r["unit"], np.array(r["vector"], np.float64)))
+    want = set()
+    for key, own in groups.items():
+        own.sort(key=lambda x: x[0])
+        n, similar = len(own), []
+        for i in range(n - 1):
+            a, b = sum(v for _, _, v in own[max(0, i - 2) : i + 1]), sum(v for _, _, v in own[i + 1 : i + 4])
+            length = np.linalg.norm(a) * np.linalg.norm(b)
+            similar.append(a @ b / length if length else 0.0)
+        found = [own[i][0] + 1 for i in range(1, n - 2) if similar[i] < similar[i - 1] and similar[i] < similar[i + 1] and (similar[i - 1] + similar[i + 1]) / 2 - similar[i] >= 0.15]
+        last, cuts = 0, []
+        for b in found if n > 2 else []:
+            if b - last >= 2 and n - b >= 2:
+                cuts.append(b)
+                last = b
+        for low, high in zip([-1, *cuts], [*cuts, 1 << 60]):
+            inside = [(o, u) for o, u, _ in own if low <= o < high]
+            if inside:
+                want.add((key, inside[0][0], inside[-1][0], "\n".join(u for _, u in inside if u is not None)))
+    got = {(r["key"], r["start"], r["end"], r["text"]) for r in plans.QUERIES["topic_segments"](spark, SMALLEST).collect()}
+    assert got == want and len(want) > len(groups)
+
+
+def test_needle_query(spark):
+    sf = "/root/testdata/sf0.01"
+    e = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    hay = evaluate.needle_haystack(vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "id"), vectors, 50).collect()
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {}
+    for q in {r["query_id"] for r in hay}:
+        order = sorted((-round(cosine(e[q], e[r["id"]]), 12), r["id"]) for r in hay if r["query_id"] == q)
+        needle = next(r["id"] for r in hay if r["query_id"] == q and r["is_needle"])
+        rank = [i for _, i in order].index(needle) + 1
+        want[q] = (rank, rank <= 5)
+        assert len(order) == 51 and sorted(r["place"] for r in hay if r["query_id"] == q) == list(range(51))
+    assert {r["query_id"]: (r["rank"], r["hit"]) for r in plans.QUERIES["needle_ranks"](spark, sf).collect()} == want
