@@ -524,7 +524,7 @@ def related_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q7 = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 ORACLE_SQL["related_memories"] = (
     f"WITH {MEMORIES_SQL}, words AS (SELECT id, {_TERMS} AS t FROM memories), stats AS (SELECT count(*) AS n, avg(len(t))::DOUBLE AS mean FROM words),"
-    " postings AS (SELECT id, len(any_value(t)) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM words) GROUP BY id, term),"
+    " postings AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM words) GROUP BY id, dl, term),"
     " asked AS (SELECT DISTINCT term FROM postings WHERE id = 7), rarity AS (SELECT term, count(*) AS df FROM postings GROUP BY term),"
     " sparse AS (SELECT p.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5::DOUBLE / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM postings p JOIN asked USING (term) JOIN rarity USING (term), stats WHERE p.id <> 7 GROUP BY p.id ORDER BY score DESC, p.id LIMIT 15),"
     f" dense AS (SELECT id, {_sql_cos('embedding', _Q7)} AS score FROM memories WHERE embedding IS NOT NULL AND id <> 7 ORDER BY score DESC, id LIMIT 15),"
