@@ -459,7 +459,7 @@ def pii_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, v AS value, CASE WHEN length(v) > 5 THEN left(v, 2) || '***@***' ELSE '***@***' END AS shown FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '{pii.RECOGNIZERS[0][1]}'))) AS v FROM memories)")
 def pii_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("content", F.lit(pii.RECOGNIZERS[0][1]), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all("content", F.lit(tx.searched(pii.RECOGNIZERS[0][1])), F.lit(0)))
     return _texts(spark, sf_dir).select("id", F.explode(found).alias("value")).select("id", "value", pii.display_mask(F.lit("email"), F.col("value")).alias("shown"))
 
 

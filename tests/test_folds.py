@@ -406,13 +406,14 @@ def test_pii_spans(spark):
         assert [(*x[:3], round(x[3], 6)) for x in sorted(got[k], key=lambda x: x[1])] == pii_spans(t), t
 
 
-def test_redaction(spark):
-    def stand_in(kind, v, mode):
-        n = len(v)
-        if mode == "partial":
-            return v[: min(2, n // 2)] + "*" * (n - 2 * min(2, n // 2)) + v[n - min(2, n // 2) :]
-        return {"full": "*" * n, "hash": f"[HASH:{hashlib.sha256(v.encode()).hexdigest()[:8]}]", "remove": "", "replace": f"[{kind.replace('_', '').upper()}]"}[mode]
+def stand_in(kind, v, mode):
+    n = len(v)
+    if mode == "partial":
+        return v[: min(2, n // 2)] + "*" * (n - 2 * min(2, n // 2)) + v[n - min(2, n // 2) :]
+    return {"full": "*" * n, "hash": f"[HASH:{hashlib.sha256(v.encode()).hexdigest()[:8]}]", "remove": "", "replace": f"[{kind.replace('_', '').upper()}]"}[mode]
+
 
+def test_redaction(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(PRIVATE)], "id int, content string")
     for mode in pii.MODES:
         for options in ({}, {"include": ("email", "ssn")}, {"ignore": ("email",)}):
@@ -914,3 +915,40 @@ def test_needle_query(spark):
         want[q] = (rank, rank <= 5)
         assert len(order) == 51 and sorted(r["place"] for r in hay if r["query_id"] == q) == list(range(51))
     assert {r["query_id"]: (r["rank"], r["hit"]) for r in plans.QUERIES["needle_ranks"](spark, sf).collect()} == want
+
+
+def test_redaction_and_validation_queries(spark):
+    """All texts in all five ways, and the verdict on each from its spans and its risk."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALLEST}/documents.parquet").collect()}
+    got = {r["id"]: r for r in plans.QUERIES["pii_redacted"](spark, SMALLEST).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        out = {m: t for m in pii.MODES}
+        for kind, a, b, _ in reversed(pii_spans(t or "")):
+            out = {m: x[:a] + stand_in(kind, t[a:b], m) + x[b:] for m, x in out.items()}
+        assert {m: got[i][m] for m in pii.MODES} == out
+    risks = {r["id"]: (r["risk"], r["safe"]) for r in plans.QUERIES["injection_score"](spark, SMALLEST).collect()}
+    every = {r["id"]: r["t"] for r in plans.text_queries._with_attacks(spark, SMALLEST).collect()}
+    seen = {r["id"]: r for r in plans.QUERIES["content_validation"](spark, SMALLEST).collect()}
+    assert seen.keys() == every.keys() == risks.keys()
+    for i, t in every.items():
+        kinds, (risk, safe) = [k for k, *_ in pii_spans(t or "")], risks[i]
+        blockers = ["Content cannot be empty"] * (not (t or "").strip())
+        blockers += [f"Contains {len(kinds)} PII entities: {', '.join(dict.fromkeys(kinds))}"] * bool(kinds) + [f"Injection risk ({risk}) exceeds allowed level (low)"] * (not safe)
+        assert (seen[i]["valid"], seen[i]["pii_count"], seen[i]["risk"], seen[i]["blockers"]) == (not blockers, len(kinds), risk, "; ".join(blockers))
+        assert ("reject" in seen[i]["advice"]) == (risk in ("high", "critical")) and (seen[i]["advice"] == "") == (risk == "none")
+
+
+def test_archival_query(spark):
+    """The best of what all sessions archive, by BM25 in loops."""
+    sf = "/root/testdata/sf0.01"
+    sessions = {}
+    for r in plans.text_queries._messages(spark, sf).orderBy("conv_id", "turn").collect():
+        sessions.setdefault(r["conv_id"], []).append((r["text"] or "", r["importance"]))
+    texts = [[w for w in re.split(r"[^\w]+", t.lower()) if len(w) >= 2] for own in sessions.values() for _, t in memory_loop(own, 400, 400)[-1]]
+    mean, asked = sum(map(len, texts)) / len(texts), ("the", "of", "and")
+    df = {a: sum(a in t for t in texts) for a in asked}
+    score = lambda t: sum(math.log((len(texts) - df[a] + 0.5) / (df[a] + 0.5) + 1) * t.count(a) * 2.5 / (t.count(a) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for a in asked)
+    want = sorted((score(t) for t in texts if set(t) & set(asked)), reverse=True)[:10]
+    got = sorted((r["score"] for r in plans.QUERIES["archival_search"](spark, sf).collect()), reverse=True)
+    assert got == pytest.approx(want, abs=1e-5)

@@ -22,7 +22,7 @@ def test_rows_are_those_of_the_sql(spark, con, name):
 #: Queries without SQL that other tests compare, as queries, with loops or by recall.
 ELSEWHERE = {
     "budget_trim", "dup_leader_clusters", "pii_spans", "rate_limit", "working_memory", "working_memory_managed", "mmr_rerank", "hybrid_reordered", "summaries", "topic_segments", "needle_ranks",
-    "compress_sentences", "compress_stop_words", "term_stems", "stemmed_topk", "ann_topk", "near_dup_hashed",
+    "compress_sentences", "compress_stop_words", "pii_redacted", "content_validation", "archival_search", "term_stems", "stemmed_topk", "ann_topk", "near_dup_hashed",
 }
 
 
