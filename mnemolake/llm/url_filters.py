@@ -4,7 +4,10 @@ A URL's tokens are its scheme, the words of its host, the segments of its path a
 of its query; segments of digits are alike. FP-growth mines combinations of tokens that go
 with unwanted pages. A combination becomes a rule if enough labelled pages hold it and if
 the lower bound of its confidence, as of a sample of that size, is high enough; combinations
-that hold a smaller rule are left out, as they match nothing more.
+that hold a smaller rule are left out, as they match nothing more. Where a labelled URL has
+too many tokens for FP-growth, which makes every common combination, the same rules are found
+size by size, each size from combinations that neither are rules nor equal a smaller one in
+the pages that hold them.
 
 Rules are matched by an inverted index: each is posted under its rarest token, so a URL meets
 only rules whose rarest token it holds, and those are compared as sets. Only distinct sets of
@@ -15,6 +18,7 @@ the commonest sets by broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -27,7 +31,7 @@ from .store import written
 SUPPORT = 0.0005
 #: The least confidence, and the normal deviate of its lower bound (one in 200 on one side).
 CONFIDENCE, DEVIATE = 0.5, 2.58
-#: Most tokens of a labelled URL that are mined, its rarest: sets of n common tokens have 2 ** n combinations. Matching knows no such bound.
+#: Most tokens of a labelled URL for FP-growth: sets of n common tokens have 2 ** n combinations. What becomes of longer ones is said at ``mine_rules``; matching knows no such bound.
 MINED = 12
 #: What marks an unwanted page among tokens; no token of a URL begins like it.
 UNWANTED = "!"
@@ -101,12 +105,14 @@ def lower_bound(hits: Column, n: Column, deviate: float = DEVIATE) -> Column:
 
 
 def mine_rules(
-    pages: DataFrame, labels: DataFrame, unwanted: Column, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, mined: int = MINED,
+    pages: DataFrame, labels: DataFrame, unwanted: Column, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, mined: int = MINED, whole: bool = False,
 ) -> DataFrame:
     """tokens (array), n, hits of the rules that ``labels`` give: combinations of tokens, how many labelled pages hold them, and how many of those are unwanted.
 
     ``unwanted`` is a condition on ``labels``; rows for which it is null are passed over. Every
-    row of ``pages`` counts with every label of its id.
+    row of ``pages`` counts with every label of its id. With ``whole``, all tokens of every
+    labelled URL are mined, size by size if one has over ``mined``; else such a URL gives its
+    ``mined`` rarest tokens.
     """
     marks = labels.select(native.quoted(label_id_col).alias("_id"), unwanted.alias("_bad")).filter("_id IS NOT NULL AND _bad IS NOT NULL")
     rows = pages.select(native.quoted(id_col).alias("_id"), url_tokens(native.quoted(url_col)).alias("tokens"))
@@ -114,18 +120,21 @@ def mine_rules(
     sets = rows.join(marks, "_id").groupBy("tokens", "_bad").agg(F.count(F.lit(1)).alias("k"))
     sets = written(sets.filter(F.size("tokens") > 0))
     long = sets.filter(F.size("tokens") > mined)
-    if not long.isEmpty():
+    by_size = not long.isEmpty()
+    if by_size and not whole:
         counts = sets.select(F.explode("tokens").alias("token"), "k").groupBy("token").agg(F.sum("k").alias("n"))
         ranked = long.select("tokens", "_bad", "k", F.explode("tokens").alias("token")).join(counts, "token")
         rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, mined)
         cut = ranked.groupBy("tokens", "_bad", "k").agg(F.transform(rarest, lambda x: x["token"]).alias("_own")).select(F.col("_own").alias("tokens"), "_bad", "k")
         sets = sets.filter(F.size("tokens") <= mined).unionByName(cut)
-    item = F.when(F.col("_bad"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))
-    baskets = sets.select(F.concat("tokens", item).alias("items"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("_copy")).select("items")
     total = sets.agg(F.sum("k")).first()[0]
     schema = "tokens array<string>, n long, hits long"
     if not total:
         return pages.sparkSession.createDataFrame([], schema)
+    if by_size and whole:
+        return _rules_by_size(sets, total, support, confidence)
+    item = F.when(F.col("_bad"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))
+    baskets = sets.select(F.concat("tokens", item).alias("items"), F.explode(F.sequence(F.lit(1), F.col("k"))).alias("_copy")).select("items")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(UNWANTED)))
     hits = F.round(F.col("support") * total).cast("long")
@@ -135,6 +144,37 @@ def mine_rules(
     return found.join(larger, "tokens", "left_anti")
 
 
+def _rules_by_size(sets: DataFrame, total: int, support: float, confidence: float) -> DataFrame:
+    """tokens, n, hits of the rules of ``sets`` (tokens, _bad, k; k sums up to ``total``) that hold no smaller one.
+
+    A combination is grown only while it has the support, is no rule, and each token less would
+    add pages: where one less has the same pages, it has the same confidence and is grown instead.
+    All these hold for every part of a combination that they hold for, so no rule is passed over.
+    """
+    n, hits = F.col("n"), F.col("hits")
+    rows = written(sets.withColumn("row", F.monotonically_increasing_id()))
+    held = rows.select("row", "_bad", "k", F.explode("tokens").alias("token")).select("row", "_bad", "k", F.array("token").alias("tokens"))
+    rules, grown = [], None
+    while True:
+        counts = held.groupBy("tokens").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("_bad"), F.col("k")).otherwise(0)).alias("hits"))
+        # a bound that all hits could not pass is out of reach of any part of them
+        counts = counts.filter((hits >= support * total) & (lower_bound(hits, hits) >= confidence))
+        if grown is not None:
+            parts = counts.select("tokens", n, F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+            free = parts.join(grown.select(F.col("tokens").alias("part"), F.col("n").alias("more")), "part").filter("n < more").groupBy("tokens").agg(F.count(F.lit(1)).alias("parts"))
+            counts = counts.join(free.filter(F.col("parts") == F.size("tokens")).select("tokens"), "tokens", "left_semi")
+        counts = written(counts)
+        good = lower_bound(hits, n) >= confidence
+        rules.append(counts.filter(good))
+        grown = counts.filter(~good & (n < total))
+        if grown.isEmpty():
+            return reduce(DataFrame.unionByName, rules)
+        held = written(held.join(grown.select("tokens"), "tokens", "left_semi"))
+        start, last = F.slice("tokens", F.lit(1), F.size("tokens") - 1), F.element_at("tokens", -1)
+        one, other = held.select("row", "_bad", "k", "tokens", start.alias("start"), last.alias("last")), held.select("row", start.alias("start"), last.alias("next"))
+        held = one.join(other, ["row", "start"]).filter("last < next").select("row", "_bad", "k", F.concat("tokens", F.array("next")).alias("tokens"))
+
+
 def matched(sets: DataFrame, rules: DataFrame, proper: bool = False) -> DataFrame:
     """tokens of the ``sets`` (distinct, tokens) that hold all tokens of a rule; with ``proper``, and others besides."""
     each = rules.select(F.col("tokens").alias("rule"), F.explode("tokens").alias("token"))

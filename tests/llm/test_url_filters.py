@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from mnemolake.llm import url_filters as U
+from mnemolake.llm.queries import op13_url_filters
 
 PAGES, LABELS = "page_id long, url string", "doc_id long, quality int, toxic int"
 BAD = "quality = 0 OR toxic = 1"
@@ -130,3 +131,27 @@ def test_many_common_tokens(spark):
     pages = [(k, long) for k in range(40)] + [(100 + k, f"http://good.example.com/{k}") for k in range(40)]
     rules = check(spark, pages, [(i, int(i >= 100), 0) for i, _ in pages])
     assert rules and all(r[1] == 40 for r in rules)
+
+
+def test_long_urls_are_mined_whole(spark, tmp_path):
+    """What tells unwanted pages lies beyond the rarest tokens of long URLs."""
+    rare = lambda k: "/".join(f"r{k % 20}x{j}" for j in range(U.MINED))
+    bad = [(k, f"http://a.example.info/{rare(k)}/cheap/pills") for k in range(200)]
+    good = [(1000 + k, f"http://a.example.info/{rare(k)}/{('cheap', 'pills')[k % 2]}/{'/'.join('s%d' % j for j in range(40))}") for k in range(400)]
+    new = [(5000, "https://new.example.org/pills/of/cheap"), (5001, "https://new.example.org/cheap"), (5002, "https://new.example.org/pills")]
+    spark.createDataFrame(bad + good + new, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i >= 1000), 0) for i, _ in bad + good], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    verdicts = {r.page_id: r.verdict for r in op13_url_filters(spark, str(tmp_path)).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {i for i, _ in bad} | {5000}
+
+
+def test_rules_by_size_are_those_of_all_combinations(spark):
+    rng = random.Random(4)
+    for seed in range(3):
+        pages = made(rng, 300) + [(1000 + k, "http://x.org/" + "/".join(rng.sample("abcdefgh", rng.randrange(1, 7)) + ["z"])) for k in range(300)]
+        labels = [(i, 0 if "a" in u[12:] and "b" in u[12:] and rng.random() < 0.95 else int(rng.random() > 0.2), 0) for i, u in pages if i % 3]
+        p, q = spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, LABELS)
+        got = U.mine_rules(p, q, F.expr(BAD), support=0.01, mined=3, whole=True)
+        want = brute_rules(pages, labels, 0.01, 0.5, mined=99)
+        assert {(tuple(r["tokens"]), r["n"], r["hits"]) for r in got.collect()} == want
+        assert any(len(r[0]) > 1 for r in want)
