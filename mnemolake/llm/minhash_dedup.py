@@ -155,13 +155,14 @@ def _spread(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame
     """Pairs (a, b) with the columns of ``table`` (id, columns) for both ends, as a_ and b_.
 
     A pair's a may be that of very many: its row of the table is repeated once for each SPLIT
-    pairs, and these are dealt by a hash of b.
+    pairs, and these are dealt by a hash of b. The ends that are repeated, of which there are
+    fewer than one for each SPLIT pairs, are broadcast with their numbers.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    dealt = native.join_split(pairs, sizes, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    many = F.broadcast(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT))
+    parts = F.coalesce(F.ceil(F.col("n") / SPLIT).cast("int"), F.lit(1))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
     left = table.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    left = left.join(sizes.hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    left = left.join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     right = table.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
     return dealt.join(left.hint("merge"), ["a", "part"]).join(right.hint("merge"), "b").select("a", "b", *(f"a_{c}" for c in columns), *(f"b_{c}" for c in columns))
 
@@ -265,17 +266,17 @@ def _find(root: np.ndarray, i: int) -> int:
 
 
 def _exact(n: int, percent: int):
-    """Links between different components of a group's members, on full sets: a spanning forest of them."""
+    """Pairs of components that links between a group's members join, on full sets: a spanning forest of them."""
 
     def rows(table: pa.Table) -> pa.Table:
-        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        comps = table.column("comp").to_numpy()
         movers, others = _sides(table)
         parts = list(shingle_sets(table.column("_text"), n))
         sizes = np.concatenate([np.diff(offsets) for *_, offsets in parts])
         _, values = np.unique(np.concatenate([h for _, _, h, _ in parts]), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        _, local = np.unique(comps, return_inverse=True)
-        root = np.arange(int(local.max()) + 1)
+        named, local = np.unique(comps, return_inverse=True)
+        root = np.arange(len(named))
         mark = np.zeros(int(values.max()) + 1, np.int32)
         a, b = [], []
         for i in movers:
@@ -287,8 +288,8 @@ def _exact(n: int, percent: int):
                 x, y = _find(root, int(local[i])), _find(root, int(local[j]))
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
+                    a.append(named[x])
+                    b.append(named[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows
@@ -328,22 +329,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holders = own.filter(F.col("_text").rlike(native.WORD)).join(sig_of.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     texts = scratch.written(holders.groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("_text")))
     star = scratch.written(star)
-    links = scratch.written(confirm(_estimated(star, sig_of, least_estimate(percent / 100)), texts, shingle, percent))
+    # what several parts of a query read is written first, so that no part computes it anew
+    likely = scratch.written(_estimated(star, sig_of, least_estimate(percent / 100)))
+    links = scratch.written(confirm(likely, texts, shingle, percent))
     scratch.drop(star)
+    scratch.drop(likely)
     comps = connected_components(links, scratch)
     labelled = members.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    still_open = _dealt(_open(labelled, "key").join(sig_of.hint("merge"), "id"), "key", ["n_shingles", "sig"])
-    loose = scratch.written(still_open.groupBy("key", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct())
+    opened = scratch.written(_open(labelled, "key"))
     scratch.drop(members)
+    still_open = _dealt(opened.join(sig_of.hint("merge"), "id"), "key", ["n_shingles", "sig"])
+    loose = scratch.written(still_open.groupBy("key", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct())
+    scratch.drop(opened)
     scratch.drop(sig_of)
+    joined = None
     if not loose.isEmpty():
         groups = connected_components(loose, scratch).select(F.col("node").alias("id"), F.col("component").alias("loose"))
         labelled = groups.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("loose", "id", F.coalesce("component", "id").alias("comp"))
-        near = _dealt(_open(labelled, "loose").join(texts.hint("merge"), "id"), "loose", ["_text"])
+        near = _dealt(scratch.written(_open(labelled, "loose")).join(texts.hint("merge"), "id"), "loose", ["_text"])
         more = scratch.written(near.groupBy("loose", "i", "j").applyInArrow(_exact(shingle, percent), "a long, b long"))
         scratch.drop(texts)
-        comps = connected_components(links.unionByName(more), scratch)
+        # what the later links join are components, so those are settled anew, not all links
+        joined = connected_components(more, scratch).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     classes = reps.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component"))
+    if joined is not None:
+        classes = classes.join(joined.hint("merge"), "component", "left").select("fp", "copies", F.coalesce("joined", "component").alias("component"))
     # a class can hold the least id of its component only through its representative
     placed = native.join_split(sigs.filter("n_shingles > 0").select("_id", "n_shingles", "fp"), classes, "fp", "copies").select("_id", "n_shingles", "component")
     out = placed.unionByName(sigs.filter("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component")))

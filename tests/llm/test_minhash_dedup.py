@@ -157,6 +157,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
+def test_edges_of_one_task_settle_without_rounds(spark):
+    chain = [(k, k + 1) for k in range(200)]
+    random.Random(5).shuffle(chain)
+    for parts, most in ((1, 1), (7, 9)):
+        scratch = Scratch(spark)
+        found = connected_components(spark.createDataFrame(chain, "a long, b long").repartition(parts), scratch)
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(201)}
+        assert len(scratch.tables) <= most
+
+
 def test_shingle_sets_over_slices():
     texts = pa.chunked_array([["a b c d e"], ["A B c d", None]])
     got = [(low, high, np.diff(o).tolist()) for low, high, _, o in M.shingle_sets(texts)]
